@@ -57,14 +57,30 @@ def _flow_sums(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def dense_calendar(spans: DataFrame, keys: list[str]) -> DataFrame:
+def densify_months(sums: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Twelve ``Mes`` rows for every year between each key's first and last
-    year (years without data included).  ``spans`` has ``keys, lo, hi``."""
-    return (
-        spans.select(*keys, F.explode(F.sequence("lo", "hi")).alias("Ano"))
-        .select(*keys, "Ano", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("_m"))
-        .select(*keys, "Ano", month_key_from_parts("Ano", "_m").alias("Mes"))
+    year with data (years without data included), values filled with 0.
+
+    One aggregate over the already aggregated months: per key the year span
+    and a ``Mes -> values`` map (at most 12 entries per year, independent of
+    the number of transactions), then the calendar is generated and looked
+    up.  No second pass over the input and no join.
+    """
+    per_key = sums.groupBy(*keys).agg(
+        F.min("Ano").alias("_lo"), F.max("Ano").alias("_hi"),
+        F.map_from_entries(F.collect_list(F.struct("Mes", F.struct(*values)))).alias("_m"),
     )
+    cal = (
+        per_key.select(*keys, "_m", F.explode(F.sequence("_lo", "_hi")).alias("Ano"))
+        .select(*keys, "_m", "Ano", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("_mm"))
+        .withColumn("Mes", month_key_from_parts("Ano", "_mm"))
+        .withColumn("_v", F.try_element_at("_m", F.col("Mes")))
+    )
+    filled = []
+    for v in values:
+        zero = F.lit(0).cast(sums.schema[v].dataType)
+        filled.append(F.coalesce(F.col("_v")[v], zero).alias(v))
+    return cal.select(*keys, "Ano", "Mes", *filled)
 
 
 def _cumulative(col: str, window: Window) -> Column:
@@ -88,16 +104,7 @@ def monthly_summary(df: DataFrame, category: str | None = None,
         df, label = filter_category(df, category)
     df = classify_flows(enrich_time_index(df))
     sums = _flow_sums(df, keys).filter(F.col("Ano").isNotNull())
-    spans = sums.groupBy(*keys).agg(F.min("Ano").alias("lo"), F.max("Ano").alias("hi"))
-    cal = dense_calendar(spans, keys)
-    zero = F.lit(0).cast(sums.schema["Entradas"].dataType)
-    dense = cal.join(sums, on=[*keys, "Ano", "Mes"], how="left").select(
-        *keys, "Ano", "Mes",
-        F.coalesce("Entradas", zero).alias("Entradas"),
-        F.coalesce("Entradas_N", F.lit(0).cast("long")).alias("Entradas_N"),
-        F.coalesce("Saidas", zero).alias("Saidas"),
-        F.coalesce("Saidas_N", F.lit(0).cast("long")).alias("Saidas_N"),
-    )
+    dense = densify_months(sums, keys, ["Entradas", "Entradas_N", "Saidas", "Saidas_N"])
     w = (Window.partitionBy(*keys, "Ano").orderBy("Mes")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = dense.withColumn("Fluxo", F.col("Entradas") + F.col("Saidas")).withColumns({

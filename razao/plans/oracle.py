@@ -110,7 +110,74 @@ def cashflow_sql() -> dict[str, str]:
     }
 
 
+# Order priorities of the driver's ``orders`` table: the category values of
+# the ``cf`` view, fixed here because an SQL pivot needs its column list.
+CF_CATEGORIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+REPORT_YEAR = 1998
+
+
+def report_sql(year: int = REPORT_YEAR) -> dict[str, str]:
+    cf = "WITH " + CF_SQL.strip()
+    y = f"""{cf},
+y AS (
+  SELECT strftime(Data, '%Y-%m') AS Mes, CASE WHEN Valor >= 0 THEN 'In' ELSE 'Out' END AS Flow,
+         Categoria, Valor
+  FROM cf WHERE Data >= TIMESTAMP '{year}-01-01' AND Data < TIMESTAMP '{year + 1}-01-01'
+),
+net AS (SELECT CAST(year(Data) AS INTEGER) AS Ano, sum(Valor) AS net FROM cf WHERE Data IS NOT NULL GROUP BY 1),
+ob AS (
+  SELECT Ano AS Year,
+         coalesce(sum(net) OVER (ORDER BY Ano ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS Value
+  FROM net
+)"""
+    cat_cols = [(f, c, f"{c}__{f}") for f in ("In", "Out") for c in CF_CATEGORIES]
+    pivots = ",\n".join(
+        f"sum(CASE WHEN Flow = '{f}' AND Categoria = '{c}' THEN Valor END) AS \"{n}\""
+        for f, c, n in cat_cols)
+    coal = ", ".join(f'coalesce(pm."{n}", 0) AS "{n}"' for _, _, n in cat_cols)
+    outs = ", ".join(f'CAST("{n}" AS DOUBLE) AS "{n}"' for _, _, n in cat_cols)
+    panel = f"""{y},
+pm AS (
+  SELECT Mes, sum(CASE WHEN Flow = 'In' THEN Valor END) AS Entradas,
+         sum(CASE WHEN Flow = 'Out' THEN Valor END) AS Saidas,
+         {pivots}
+  FROM y GROUP BY Mes
+),
+months AS (SELECT {year} AS Ano, printf('%04d-%02d', {year}, m) AS Mes
+           FROM (SELECT unnest(generate_series(1, 12)) AS m) g),
+p AS (
+  SELECT mo.Ano, mo.Mes, coalesce(pm.Entradas, 0) AS Entradas, coalesce(pm.Saidas, 0) AS Saidas, {coal}
+  FROM months mo LEFT JOIN pm ON mo.Mes = pm.Mes
+),
+o AS (SELECT coalesce(max(Value), 0) AS open_v, count(*) > 0 AS found FROM ob WHERE Year = {year})
+SELECT Ano, Mes, CAST(Entradas + Saidas AS DOUBLE) AS Fluxo, CAST(Entradas AS DOUBLE) AS Entradas,
+       CAST(Saidas AS DOUBLE) AS Saidas, {outs},
+       CAST(o.open_v + sum(Entradas + Saidas) OVER (ORDER BY Mes ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS Saldo,
+       o.found AS Saldo_Inicial_Found
+FROM p, o"""
+    summary = f"""{y},
+pc AS (SELECT Flow, Categoria, sum(Valor) AS Total FROM y WHERE Categoria IS NOT NULL GROUP BY Flow, Categoria),
+nf AS (SELECT Categoria, count(DISTINCT Flow) AS n FROM pc GROUP BY Categoria),
+tot AS (SELECT coalesce(sum(CASE WHEN Flow = 'In' THEN Valor END), 0) AS E,
+               coalesce(sum(CASE WHEN Flow = 'Out' THEN Valor END), 0) AS S FROM y),
+r AS (
+  SELECT 'ENTRADAS' AS Categoria, E AS Total FROM tot
+  UNION ALL SELECT 'SAIDAS', S FROM tot
+  UNION ALL SELECT CASE WHEN nf.n > 1 THEN pc.Categoria || '__' || pc.Flow ELSE pc.Categoria END, pc.Total
+  FROM pc JOIN nf ON pc.Categoria = nf.Categoria
+)
+SELECT {year} AS Ano, Categoria, round_even(CAST(Total AS DOUBLE), 2) AS Total,
+       round_even(CAST(Total * 100 AS BIGINT)::DOUBLE / 12, 0) / 100 AS Media,
+       round_even(CASE WHEN Categoria = 'ENTRADAS' THEN 100.0 WHEN tot.E = 0 THEN 0.0
+                       ELSE abs(CAST(Total AS DOUBLE)) / CAST(tot.E AS DOUBLE) * 100 END, 2) AS Pct_Entradas
+FROM r, tot"""
+    opening = f"""{y}
+SELECT Year, CAST(Value AS DECIMAL(38,2)) AS Value FROM ob"""
+    return {"report_panel": panel, "report_summary": summary, "report_opening": opening}
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(cashflow_sql())
+    out.update(report_sql())
     return out

@@ -40,3 +40,32 @@ QUERIES: dict[str, Query] = {
     "cf_yearly": cf_yearly,
     "cf_yearly_category": cf_yearly_category,
 }
+
+
+# --------------------------------------------------------------------------
+# report: panel, summary, opening balances
+# --------------------------------------------------------------------------
+from ..operators import report as rpt  # noqa: E402
+
+REPORT_YEAR = 1998
+
+
+def report_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpt.opening_balances(views.cash_flow(spark, sf_dir, with_category=False))
+
+
+def report_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cf = views.cash_flow(spark, sf_dir)
+    opening = rpt.opening_balances(views.cash_flow(spark, sf_dir, with_category=False))
+    return rpt.cashflow_panel(cf, REPORT_YEAR, opening=opening)
+
+
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpt.cashflow_summary(views.cash_flow(spark, sf_dir), REPORT_YEAR)
+
+
+QUERIES.update({
+    "report_opening": report_opening,
+    "report_panel": report_panel,
+    "report_summary": report_summary,
+})
