@@ -15,14 +15,14 @@ def _c(col: Column | str) -> Column:
 
 def br_date(col: Column | str) -> Column:
     """``dd/MM/yyyy`` text -> DATE; invalid text gives NULL (quarantine)."""
-    return F.try_to_date(F.trim(_c(col)), F.lit("dd/MM/yyyy"))
+    return F.try_to_date(F.trim(_c(col)), "dd/MM/yyyy")
 
 
 def day_month_in_year(day_month: Column | str, year: Column | str | int) -> Column:
     """``dd/MM`` text plus a statement year -> DATE (NULL when invalid)."""
     y = F.lit(year) if isinstance(year, int) else _c(year)
     return F.try_to_date(F.concat(F.trim(_c(day_month)), F.lit("/"), y.cast("string")),
-                         F.lit("dd/MM/yyyy"))
+                         "dd/MM/yyyy")
 
 
 def year_of(col: Column | str) -> Column:

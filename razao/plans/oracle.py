@@ -176,8 +176,76 @@ SELECT Year, CAST(Value AS DECIMAL(38,2)) AS Value FROM ob"""
     return {"report_panel": panel, "report_summary": summary, "report_opening": opening}
 
 
+
+def _br_amount_sql(v: str) -> str:
+    t = f"trim({v})"
+    return (f"TRY_CAST(CASE WHEN contains({t}, ',') THEN replace(replace({t}, '.', ''), ',', '.') "
+            f"ELSE {t} END AS DECIMAL(20,4))")
+
+
+def _br_number_sql(v: str) -> str:
+    return f"TRY_CAST(replace(replace(trim({v}), '.', ''), ',', '.') AS DECIMAL(20,4))"
+
+
+def _cd_amount_sql(v: str) -> str:
+    t = f"trim({v})"
+    stripped = "regexp_replace(" + t + ", '[CD]', '', 'g')"
+    return (f"(CASE WHEN ends_with({t}, 'D') THEN -1 ELSE 1 END * "
+            f"abs({_br_number_sql(stripped)}))")
+
+
+def statements_sql() -> dict[str, str]:
+    from .views import T0_CD_SQL, T0_PP_SQL, T0_SQL
+
+    def std(view: str, drop: str, amount: str, savings: bool = False) -> str:
+        date = "try_strptime(trim(Data), '%d/%m/%Y')::DATE"
+        if savings:
+            cols = (f"{date} AS Data, CAST({amount} AS DOUBLE) AS Valor, "
+                    "coalesce(\"Histórico\", '') AS Categoria, '' AS Descricao")
+        else:
+            cols = (f"{date} AS Data, CAST({amount} AS DOUBLE) AS Valor, '' AS Categoria, "
+                    "'' AS Descricao, \"Lançamento\" AS Lancamento, coalesce(Detalhes, '') AS Detalhes, "
+                    "\"N° documento\" AS Documento")
+        return (f"SELECT {cols} FROM {view} WHERE NOT ({drop}) "
+                f"AND {date} IS NOT NULL AND {amount} IS NOT NULL")
+
+    def drops(view: str, drop: str, amount: str) -> str:
+        date = "try_strptime(trim(Data), '%d/%m/%Y')"
+        reason = (f"CASE WHEN {drop} THEN 'dropped' WHEN {date} IS NULL THEN 'bad_date' "
+                  f"WHEN {amount} IS NULL THEN 'bad_amount' END")
+        return (f"SELECT reason, Lancamento, count(*) AS n FROM (SELECT {reason} AS reason, "
+                f"\"Lançamento\" AS Lancamento FROM {view}) q WHERE reason IS NOT NULL "
+                "GROUP BY reason, Lancamento")
+
+    cc_drop = "coalesce(\"Lançamento\" IN ('Saldo do dia', 'Saldo Anterior', 'S A L D O'), FALSE)"
+    pj_drop = ("(coalesce(\"Lançamento\" IN ('BB Rende Fácil'), FALSE) "
+               "OR coalesce(Valor IN ('0,00 C'), FALSE))")
+    t0 = "WITH " + T0_SQL.strip() + "\n"
+    cd = "WITH " + T0_CD_SQL.strip() + "\n"
+    pp = "WITH " + T0_PP_SQL.strip() + "\n"
+    cc_std = t0 + std("t0", cc_drop, _br_amount_sql("Valor"))
+    return {
+        "t0_standardize": cc_std,
+        "t0_header_alias": cc_std,
+        "t0_drops": t0 + drops("t0", cc_drop, _br_amount_sql("Valor")),
+        "pj_standardize": cd + std("t0_cd", pj_drop, _cd_amount_sql("Valor")),
+        "pj_drops": cd + drops("t0_cd", pj_drop, _cd_amount_sql("Valor")),
+        "pp_standardize": pp + std("t0_pp", "FALSE", _cd_amount_sql("Valor"), savings=True),
+        "amount_br": t0 + ("SELECT \"N° documento\" AS Documento, Valor AS Texto, "
+                           f"CAST({_br_amount_sql('Valor')} AS DOUBLE) AS Valor, "
+                           f"CAST({_br_number_sql('Valor')} AS DOUBLE) AS Valor_Numero FROM t0"),
+        "amount_cd": cd + ("SELECT \"N° documento\" AS Documento, Valor AS Texto, "
+                           f"CAST({_cd_amount_sql('Valor')} AS DOUBLE) AS Valor FROM t0_cd"),
+        "currency_text": (
+            "SELECT c_custkey, c_acctbal, lpad(format('{:,.2f}', abs(c_acctbal)), "
+            "CAST(greatest(11, length(format('{:,.2f}', abs(c_acctbal)))) AS INTEGER), ' ') || "
+            "CASE WHEN c_acctbal < 0 THEN ' -' ELSE ' +' END AS Texto FROM customer"),
+    }
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(cashflow_sql())
     out.update(report_sql())
+    out.update(statements_sql())
     return out

@@ -69,3 +69,72 @@ QUERIES.update({
     "report_panel": report_panel,
     "report_summary": report_summary,
 })
+
+
+# --------------------------------------------------------------------------
+# statements: raw -> canonical, drops, amounts, currency text
+# --------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import amounts as amt  # noqa: E402
+from ..operators import statements as stm  # noqa: E402
+
+
+def _canonical_out(df: DataFrame) -> DataFrame:
+    return df.withColumn("Valor", F.col("Valor").cast("double"))
+
+
+def t0_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _canonical_out(stm.standardize(views.statement_personal(spark, sf_dir), "bb-cc"))
+
+
+def t0_header_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = views.statement_personal(spark, sf_dir, legacy_header=True)
+    return _canonical_out(stm.standardize(raw, "bb-cc"))
+
+
+def t0_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stm.drop_report(views.statement_personal(spark, sf_dir), "bb-cc")
+
+
+def pj_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _canonical_out(stm.standardize(views.statement_company(spark, sf_dir), "bb-ccpj"))
+
+
+def pj_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stm.drop_report(views.statement_company(spark, sf_dir), "bb-ccpj")
+
+
+def pp_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _canonical_out(stm.standardize(views.statement_savings(spark, sf_dir), "bb-pp"))
+
+
+def amount_br(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = views.statement_personal(spark, sf_dir)
+    return raw.select(F.col("`N° documento`").alias("Documento"), F.col("Valor").alias("Texto"),
+                      amt.br_amount("Valor").cast("double").alias("Valor"),
+                      amt.br_number("Valor").cast("double").alias("Valor_Numero"))
+
+
+def amount_cd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = views.statement_company(spark, sf_dir)
+    return raw.select(F.col("`N° documento`").alias("Documento"), F.col("Valor").alias("Texto"),
+                      amt.cd_amount("Valor").cast("double").alias("Valor"))
+
+
+def currency_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = views.read_table(spark, sf_dir, "customer")
+    return c.select("c_custkey", "c_acctbal", amt.currency_text("c_acctbal").alias("Texto"))
+
+
+QUERIES.update({
+    "t0_standardize": t0_standardize,
+    "t0_header_alias": t0_header_alias,
+    "t0_drops": t0_drops,
+    "pj_standardize": pj_standardize,
+    "pj_drops": pj_drops,
+    "pp_standardize": pp_standardize,
+    "amount_br": amount_br,
+    "amount_cd": amount_cd,
+    "currency_text": currency_text,
+})

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.amounts import MONEY
-from ..sources.tables import read_table
+from ..sources.tables import read_table  # noqa: F401  (re-exported)
 
 
 # --------------------------------------------------------------------------
@@ -53,3 +53,109 @@ cf AS (
          l.l_linestatus AS Descricao
   FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
 )"""
+
+
+# --------------------------------------------------------------------------
+# Raw statements (T0): every column text, Brazilian number and date text
+# --------------------------------------------------------------------------
+
+def br_text(value, negative=None):
+    """Brazilian amount text of a DOUBLE: ``1.234,50`` (``-`` prefix when
+    ``negative``)."""
+    body = F.translate(F.format_number(F.abs(value), 2), ",.", ".,")
+    if negative is None:
+        return body
+    return F.when(negative, F.concat(F.lit("-"), body)).otherwise(body)
+
+
+def statement_personal(spark: SparkSession, sf_dir: str, legacy_header: bool = False) -> DataFrame:
+    """``events`` as a personal-account statement.
+
+    error / signup / view events become the three balance-row entries;
+    purchases are outflows; click amounts use a plain dot decimal (no comma),
+    which the personal rule reads as is.
+    """
+    ev = read_table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    entry = (F.when(et == "error", F.lit("Saldo do dia"))
+             .when(et == "signup", F.lit("Saldo Anterior"))
+             .when(et == "view", F.lit("S A L D O"))
+             .otherwise(et))
+    valor = (F.when(et == "click", F.format_string("%.2f", F.col("value")))
+             .otherwise(br_text(F.col("value"), et == "purchase")))
+    entry_name = "Histórico" if legacy_header else "Lançamento"
+    doc_name = "Número do documento" if legacy_header else "N° documento"
+    return ev.select(
+        F.date_format("ts", "dd/MM/yyyy").alias("Data"),
+        entry.alias(entry_name),
+        F.col("props").alias("Detalhes"),
+        F.col("event_id").cast("string").alias(doc_name),
+        valor.alias("Valor"),
+    )
+
+
+def statement_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer`` as a company-account statement (``C``/``D`` suffixes).
+
+    BUILDING rows are ``BB Rende Fácil`` transfers, HOUSEHOLD rows balance
+    rows, balances below 100 in absolute value print as ``0,00 C``.
+    """
+    c = read_table(spark, sf_dir, "customer")
+    seg = F.col("c_mktsegment")
+    entry = (F.when(seg == "BUILDING", F.lit("BB Rende Fácil"))
+             .when(seg == "HOUSEHOLD", F.lit("Saldo do dia")).otherwise(seg))
+    bal = F.col("c_acctbal")
+    valor = (F.when(F.abs(bal) < 100, F.lit("0,00 C"))
+             .otherwise(F.concat(br_text(bal), F.when(bal < 0, F.lit(" D")).otherwise(F.lit(" C")))))
+    data = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"),
+                                    F.pmod(F.col("c_custkey"), F.lit(366)).cast("int")), "dd/MM/yyyy")
+    return c.select(
+        data.alias("Data"), entry.alias("Lançamento"), F.col("c_name").alias("Detalhes"),
+        F.col("c_custkey").cast("string").alias("N° documento"), valor.alias("Valor"))
+
+
+def statement_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``supplier`` as a savings statement: ``Data, Histórico, Valor``."""
+    s = read_table(spark, sf_dir, "supplier")
+    bal = F.col("s_acctbal")
+    data = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"),
+                                    F.pmod(F.col("s_suppkey"), F.lit(366)).cast("int")), "dd/MM/yyyy")
+    return s.select(
+        data.alias("Data"), F.col("s_name").alias("Histórico"),
+        F.concat(br_text(bal), F.when(bal < 0, F.lit(" D")).otherwise(F.lit(" C"))).alias("Valor"))
+
+
+def _br_text_sql(v: str) -> str:
+    return f"translate(format('{{:,.2f}}', abs({v})), ',.', '.,')"
+
+
+T0_SQL = f"""
+t0 AS (
+  SELECT strftime(ts, '%d/%m/%Y') AS Data,
+         CASE event_type WHEN 'error' THEN 'Saldo do dia' WHEN 'signup' THEN 'Saldo Anterior'
+                         WHEN 'view' THEN 'S A L D O' ELSE event_type END AS "Lançamento",
+         props AS Detalhes, CAST(event_id AS VARCHAR) AS "N° documento",
+         CASE WHEN event_type = 'click' THEN printf('%.2f', value)
+              WHEN event_type = 'purchase' THEN '-' || {_br_text_sql('value')}
+              ELSE {_br_text_sql('value')} END AS Valor
+  FROM events
+)"""
+
+T0_CD_SQL = f"""
+t0_cd AS (
+  SELECT strftime(DATE '2024-01-01' + CAST(c_custkey % 366 AS INTEGER), '%d/%m/%Y') AS Data,
+         CASE c_mktsegment WHEN 'BUILDING' THEN 'BB Rende Fácil' WHEN 'HOUSEHOLD' THEN 'Saldo do dia'
+              ELSE c_mktsegment END AS "Lançamento",
+         c_name AS Detalhes, CAST(c_custkey AS VARCHAR) AS "N° documento",
+         CASE WHEN abs(c_acctbal) < 100 THEN '0,00 C'
+              ELSE {_br_text_sql('c_acctbal')} || CASE WHEN c_acctbal < 0 THEN ' D' ELSE ' C' END END AS Valor
+  FROM customer
+)"""
+
+T0_PP_SQL = f"""
+t0_pp AS (
+  SELECT strftime(DATE '2024-01-01' + CAST(s_suppkey % 366 AS INTEGER), '%d/%m/%Y') AS Data,
+         s_name AS "Histórico",
+         {_br_text_sql('s_acctbal')} || CASE WHEN s_acctbal < 0 THEN ' D' ELSE ' C' END AS Valor
+  FROM supplier
+)"""
