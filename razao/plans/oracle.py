@@ -243,9 +243,171 @@ def statements_sql() -> dict[str, str]:
     }
 
 
+
+AS_OF = "1998-06-30 00:00:00"
+STAMP_AS_OF = "2025-01-01 00:00:00"
+BUDGET_DATA_COLUMNS = ["Type", "Status", "Contract", "Name", "Value", "Date_Due", "Date_Exe", "Tags",
+                       "Method", "Protocol", "File_Receipt", "File_Invoice", "File_NF"]
+REC_COLUMNS = ["RecId", "RecTable", "RecTimestamp", "RecStatus"] + BUDGET_DATA_COLUMNS
+
+
+def _txt(cols: list[str], alias: str = "") -> str:
+    a = f"{alias}." if alias else ""
+    return ", ".join(f"CAST({a}{c} AS VARCHAR) AS {c}" for c in cols)
+
+
+def budget_sql() -> dict[str, str]:
+    from .views import BUD_RAW_SQL, BUD_SQL
+
+    bud = "WITH " + BUD_SQL.strip()
+    signed = f"""{bud},
+s AS (SELECT *, CASE WHEN Type = 'Revenue' THEN 1 ELSE -1 END AS Sign,
+             CASE WHEN Type = 'Revenue' THEN 1 ELSE -1 END * Value AS Value_Signed FROM bud),
+e AS (SELECT * FROM s WHERE Status IS DISTINCT FROM 'Prospected' AND Status IS DISTINCT FROM 'Cancelled'),
+t AS (SELECT round(coalesce(sum(CASE WHEN Type = 'Revenue' THEN Value_Signed END), 0), 3) AS r,
+             round(coalesce(sum(CASE WHEN Type = 'Expense' THEN Value_Signed END), 0), 3) AS x FROM e)
+"""
+
+    def by(key: str) -> str:
+        return (signed + f"SELECT {key}, CAST(sum(Value_Signed) AS DOUBLE) AS Value_Signed FROM e "
+                f"WHERE {key} IS NOT NULL GROUP BY {key}")
+
+    raw = "WITH " + BUD_RAW_SQL.strip()
+    tpl = f"""{bud},
+tpl AS (SELECT RecId, CASE Status WHEN 'Executed' THEN 'W' WHEN 'Expected' THEN 'MS'
+                   WHEN 'Prospected' THEN 'QS' WHEN 'Cancelled' THEN 'ME' ELSE 'YS' END AS Freq, Value FROM bud),
+days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1999-01-01', INTERVAL 1 DAY)) AS DATE) AS d)
+SELECT RecId, Freq, CAST(Value AS DOUBLE) AS Value, d AS Date_Due FROM tpl, days
+WHERE Freq = 'D' OR (Freq = 'W' AND dayofweek(d) = 0) OR (Freq = 'MS' AND day(d) = 1)
+   OR (Freq = 'QS' AND day(d) = 1 AND month(d) IN (1, 4, 7, 10)) OR (Freq = 'YS' AND dayofyear(d) = 1)
+   OR (Freq = 'ME' AND d = last_day(d))"""
+    cust = """
+cust AS (
+  SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN 'Revenue' ELSE 'Expense' END AS Type, 'Expected' AS Status,
+         'C' || CAST(c_custkey % 20 AS VARCHAR) AS Contract, c_name AS Name,
+         CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS Value, c_mktsegment AS Tags
+  FROM customer
+)"""
+    bud_txt = f"SELECT {_txt(REC_COLUMNS)} FROM bud"
+    new_cols = []
+    for c in BUDGET_DATA_COLUMNS:
+        new_cols.append(f"CAST({c} AS VARCHAR) AS {c}" if c in ("Type", "Status", "Contract", "Name", "Value", "Tags")
+                        else f"'' AS {c}")
+    insert = f"""{bud},{cust}
+{bud_txt}
+UNION ALL
+SELECT printf('Rec%04d', (SELECT max(CAST(substr(RecId, 4) AS BIGINT)) FROM bud) + row_number() OVER (ORDER BY c_custkey)) AS RecId,
+       'Budget' AS RecTable, '{STAMP_AS_OF}' AS RecTimestamp, 'On' AS RecStatus, {', '.join(new_cols)}
+FROM cust"""
+    edit_sel = []
+    for c in REC_COLUMNS:
+        if c == "RecId":
+            edit_sel.append("b.RecId")
+        elif c == "RecTimestamp":
+            edit_sel.append(f"CASE WHEN e.RecId IS NOT NULL THEN '{STAMP_AS_OF}' ELSE b.RecTimestamp END AS RecTimestamp")
+        elif c == "Status":
+            edit_sel.append("CASE WHEN e.RecId IS NOT NULL THEN 'Executed' ELSE CAST(b.Status AS VARCHAR) END AS Status")
+        elif c == "Date_Exe":
+            edit_sel.append("CASE WHEN e.RecId IS NOT NULL THEN e.dexe ELSE CAST(b.Date_Exe AS VARCHAR) END AS Date_Exe")
+        else:
+            edit_sel.append(f"CAST(b.{c} AS VARCHAR) AS {c}")
+    edit = f"""{bud},
+ed AS (SELECT printf('Rec%04d', o_orderkey + 1) AS RecId,
+              CAST(CAST(o_orderdate AS DATE) + 30 AS VARCHAR) AS dexe
+       FROM orders WHERE o_orderpriority = '2-HIGH')
+SELECT {', '.join(edit_sel)} FROM bud b LEFT JOIN ed e ON b.RecId = e.RecId"""
+    arch_sel = []
+    for c in REC_COLUMNS:
+        if c == "RecId":
+            arch_sel.append("b.RecId")
+        elif c == "RecTimestamp":
+            arch_sel.append(f"CASE WHEN a.RecId IS NOT NULL THEN '{STAMP_AS_OF}' ELSE b.RecTimestamp END AS RecTimestamp")
+        elif c == "RecStatus":
+            arch_sel.append("CASE WHEN a.RecId IS NOT NULL THEN 'Off' ELSE b.RecStatus END AS RecStatus")
+        else:
+            arch_sel.append(f"CAST(b.{c} AS VARCHAR) AS {c}")
+    archive = f"""{bud},
+ar AS (SELECT printf('Rec%04d', o_orderkey + 1) AS RecId FROM orders
+       WHERE o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1996-01-01')
+SELECT {', '.join(arch_sel)} FROM bud b LEFT JOIN ar a ON b.RecId = a.RecId"""
+    conform_cols = ", ".join(
+        f"CAST({c} AS VARCHAR) AS {c}" for c in BUDGET_DATA_COLUMNS)
+    conform = f"""{raw}
+SELECT printf('Rec%04d', row_number() OVER (ORDER BY o_orderkey)) AS RecId, 'Budget' AS RecTable,
+       '{STAMP_AS_OF}' AS RecTimestamp, 'On' AS RecStatus, {conform_cols}
+FROM bud_raw"""
+    first_cols = []
+    for c in BUDGET_DATA_COLUMNS:
+        first_cols.append(f"CAST({c} AS VARCHAR) AS {c}" if c in ("Name", "Value") else f"'' AS {c}")
+    first = f"""WITH li AS (
+  SELECT printf('Rec%04d', l_orderkey + 1) AS RecId, 'Line ' || CAST(l_linenumber AS VARCHAR) AS Name,
+         CAST(l_extendedprice AS DECIMAL(18,2)) AS Value,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn
+  FROM lineitem
+)
+SELECT RecId, 'Budget' AS RecTable, '{STAMP_AS_OF}' AS RecTimestamp, 'On' AS RecStatus, {', '.join(first_cols)}
+FROM li WHERE rn = 1"""
+    vertical = f"""{bud}
+SELECT _id AS RecId, Field, Value
+FROM (SELECT RecId AS _id, {_txt(REC_COLUMNS)} FROM bud)
+UNPIVOT INCLUDE NULLS (Value FOR Field IN ({', '.join(REC_COLUMNS)}))"""
+    secs = (f"(epoch(TIMESTAMP '{STAMP_AS_OF}') - epoch(CAST(Date_Due AS TIMESTAMP)))")
+    days = f"CAST(floor({secs} / 86400) AS BIGINT)"
+    running = f"""{bud},
+r AS (SELECT RecId, Date_Due, CAST({secs} AS BIGINT) AS Seconds_Total, {days} AS dd FROM bud),
+r2 AS (SELECT *, CAST(floor(dd / 365) AS BIGINT) AS Years, Seconds_Total - dd * 86400 AS rest FROM r),
+r3 AS (SELECT *, dd - Years * 365 AS rdays FROM r2)
+SELECT RecId, Seconds_Total, Years, CAST(floor(rdays / 30) AS BIGINT) AS Months,
+       CAST(rdays - floor(rdays / 30) * 30 AS BIGINT) AS Days,
+       CAST(floor(rest / 3600) AS BIGINT) AS Hours, CAST(floor((rest % 3600) / 60) AS BIGINT) AS Minutes,
+       CAST(rest % 60 AS BIGINT) AS Seconds,
+       CAST(trunc(datediff('day', CAST(Date_Due AS DATE), DATE '{STAMP_AS_OF[:10]}') / 365) AS BIGINT) AS Age
+FROM r3"""
+    text = f"""{bud},
+r AS (SELECT RecId, CAST(floor((epoch(TIMESTAMP '{STAMP_AS_OF}') - epoch(CAST(Date_Due AS TIMESTAMP))) / 86400) AS BIGINT) AS dd FROM bud),
+r2 AS (SELECT RecId, dd, CAST(floor(dd / 365) AS BIGINT) AS y FROM r)
+SELECT RecId, 'yr: ' || y || ', mth: ' || CAST(floor((dd - y * 365) / 30) AS BIGINT) AS Running,
+       'Expected years: ' || y || ', d: ' || CAST((dd - y * 365) - floor((dd - y * 365) / 30) * 30 AS BIGINT) AS Custom
+FROM r2"""
+    return {
+        "budget_totals": signed + ("SELECT CAST(r AS DOUBLE) AS Total_Revenue, CAST(x AS DOUBLE) AS Total_Expenses, "
+                                   "CAST(r + x AS DOUBLE) AS Total_Net, (r + x) <= 0 AS Ascending FROM t"),
+        "budget_by_status": by("Status"),
+        "budget_by_contract": by("Contract"),
+        "budget_by_tags": by("Tags"),
+        "budget_tag_tokens": signed + ("SELECT token, count(*) AS count FROM (SELECT unnest(string_split_regex("
+                                       "trim(Tags), '\\s+')) AS token FROM e) q WHERE token <> '' GROUP BY token"),
+        "budget_by_type": signed + ("SELECT 'Total_Expenses' AS measure, CAST(x AS DOUBLE) AS value FROM t "
+                                    "UNION ALL SELECT 'Total_Revenue', CAST(r AS DOUBLE) FROM t "
+                                    "UNION ALL SELECT 'Total_Net', CAST(r + x AS DOUBLE) FROM t"),
+        "budget_auto_status": bud + (f"\nSELECT RecId, Status, Method, Date_Due, CASE WHEN Method = 'Automatic' AND "
+                                     f"Status = 'Expected' AND CAST(Date_Due AS TIMESTAMP) <= TIMESTAMP '{AS_OF}' "
+                                     "THEN 'Executed' ELSE Status END AS Status_Updated FROM bud"),
+        "budget_recurrence": tpl,
+        "budget_formulas": signed + (f"SELECT RecId, Sign, CAST(Value_Signed AS DOUBLE) AS Value_Signed, "
+                                     f"CASE WHEN Method = 'Automatic' AND Status = 'Expected' AND "
+                                     f"CAST(Date_Due AS TIMESTAMP) <= TIMESTAMP '{AS_OF}' THEN 'Executed' "
+                                     "ELSE Status END AS Status FROM s"),
+        "rec_conform": conform,
+        "rec_insert": insert,
+        "rec_edit": edit,
+        "rec_archive": archive,
+        "rec_next_id": bud + ("\nSELECT coalesce(max(CAST(substr(RecId, 4) AS BIGINT)), 0) AS last, "
+                              "printf('Rec%04d', coalesce(max(CAST(substr(RecId, 4) AS BIGINT)), 0) + 1) AS next FROM bud"),
+        "rec_vertical": vertical,
+        "rec_active": bud + "\nSELECT * FROM bud WHERE RecStatus = 'On'",
+        "rec_lookup": bud + ("\nSELECT * FROM bud WHERE RecId IN (SELECT printf('Rec%04d', l_orderkey + 1) "
+                             "FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F')"),
+        "rec_first_dup": first,
+        "running_time": running,
+        "interval_text": text,
+    }
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(cashflow_sql())
     out.update(report_sql())
     out.update(statements_sql())
+    out.update(budget_sql())
     return out

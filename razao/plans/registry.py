@@ -138,3 +138,184 @@ QUERIES.update({
     "amount_cd": amount_cd,
     "currency_text": currency_text,
 })
+
+
+# --------------------------------------------------------------------------
+# budget and record tables
+# --------------------------------------------------------------------------
+from ..functions import dates as dts  # noqa: E402
+from ..operators import budget as bdg  # noqa: E402
+from ..operators import records as rec  # noqa: E402
+
+AS_OF = "1998-06-30 00:00:00"          # fixed "now" of clock-reading operators
+STAMP_AS_OF = "2025-01-01 00:00:00"    # fixed audit stamp of record edits
+RECURRENCE_YEAR = 1998
+
+
+def _signed_budget(spark, sf_dir):
+    return bdg.signed(views.budget(spark, sf_dir))
+
+
+def budget_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bdg.totals(_signed_budget(spark, sf_dir))
+
+
+def budget_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bdg.summary_by(_signed_budget(spark, sf_dir), "Status")
+
+
+def budget_by_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bdg.summary_by(_signed_budget(spark, sf_dir), "Contract")
+
+
+def budget_by_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bdg.summary_by(_signed_budget(spark, sf_dir), "Tags")
+
+
+def budget_tag_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bdg.tag_tokens(_signed_budget(spark, sf_dir))
+
+
+def budget_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bdg.summary_by_type(_signed_budget(spark, sf_dir))
+
+
+def budget_auto_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = views.budget(spark, sf_dir)
+    return b.select("RecId", "Status", "Method", "Date_Due",
+                    bdg.auto_status(AS_OF).alias("Status_Updated"))
+
+
+def _freq_of_status() -> "F.Column":
+    s = F.col("Status")
+    return (F.when(s == "Executed", F.lit("W")).when(s == "Expected", F.lit("MS"))
+            .when(s == "Prospected", F.lit("QS")).when(s == "Cancelled", F.lit("ME"))
+            .otherwise(F.lit("YS")))
+
+
+def budget_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tpl = views.budget(spark, sf_dir).withColumn("Freq", _freq_of_status())
+    out = bdg.expand_annual(tpl.select("RecId", "Freq", "Value", "Date_Due"), RECURRENCE_YEAR)
+    return out.withColumn("Value", F.col("Value").cast("double"))
+
+
+def budget_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bdg.apply_formulas(views.budget(spark, sf_dir), bdg.budget_formulas(AS_OF))
+    return b.select("RecId", "Sign", F.col("Value_Signed").cast("double").alias("Value_Signed"), "Status")
+
+
+def rec_conform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.conform(views.budget_raw(spark, sf_dir), "Budget", bdg.BUDGET_DATA_COLUMNS,
+                       order_cols=["o_orderkey"], as_of=STAMP_AS_OF)
+
+
+def _customer_entries(spark, sf_dir):
+    c = views.read_table(spark, sf_dir, "customer")
+    bal = F.col("c_acctbal")
+    return c.select(
+        "c_custkey",
+        F.when(bal >= 0, F.lit("Revenue")).otherwise(F.lit("Expense")).alias("Type"),
+        F.lit("Expected").alias("Status"),
+        F.concat(F.lit("C"), F.pmod(F.col("c_custkey"), F.lit(20)).cast("string")).alias("Contract"),
+        F.col("c_name").alias("Name"),
+        F.abs(bal).cast(amt.MONEY).alias("Value"),
+        F.col("c_mktsegment").alias("Tags"),
+    )
+
+
+def rec_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.insert_records(views.budget(spark, sf_dir), _customer_entries(spark, sf_dir),
+                              bdg.BUDGET_DATA_COLUMNS, "Budget", order_cols=["c_custkey"],
+                              as_of=STAMP_AS_OF)
+
+
+def _edits(spark, sf_dir):
+    o = views.read_table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "2-HIGH")
+    return o.select(
+        F.format_string("Rec%04d", F.col("o_orderkey") + 1).alias("RecId"),
+        F.create_map(F.lit("Status"), F.lit("Executed"), F.lit("Date_Exe"),
+                     F.date_add(F.to_date("o_orderdate"), 30).cast("string")).alias("changes"))
+
+
+def rec_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.edit_records(views.budget(spark, sf_dir), _edits(spark, sf_dir), as_of=STAMP_AS_OF,
+                            data_columns=bdg.BUDGET_DATA_COLUMNS)
+
+
+def rec_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = views.read_table(spark, sf_dir, "orders")
+    ids = o.filter((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))) \
+        .select(F.format_string("Rec%04d", F.col("o_orderkey") + 1).alias("RecId"))
+    return rec.archive_records(views.budget(spark, sf_dir), ids, as_of=STAMP_AS_OF)
+
+
+def rec_next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.next_id(views.budget(spark, sf_dir))
+
+
+def rec_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.vertical(views.budget(spark, sf_dir))
+
+
+def rec_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.active(views.budget(spark, sf_dir))
+
+
+def rec_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = views.read_table(spark, sf_dir, "lineitem")
+    ids = li.filter((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")) \
+        .select(F.format_string("Rec%04d", F.col("l_orderkey") + 1).alias("RecId"))
+    return rec.lookup(views.budget(spark, sf_dir), ids)
+
+
+def rec_first_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = views.read_table(spark, sf_dir, "lineitem")
+    rows = li.select(
+        F.format_string("Rec%04d", F.col("l_orderkey") + 1).alias("RecId"),
+        F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")).alias("Name"),
+        F.col("l_extendedprice").cast(amt.MONEY).alias("Value"),
+        "l_linenumber", "l_partkey", "l_suppkey")
+    # "first" = smallest line number; part and supplier break ties
+    return rec.conform(rows, "Budget", bdg.BUDGET_DATA_COLUMNS,
+                       order_cols=["l_linenumber", "l_partkey", "l_suppkey"],
+                       as_of=STAMP_AS_OF)
+
+
+def running_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = views.budget(spark, sf_dir).select("RecId", "Date_Due")
+    secs = dts.running_seconds("Date_Due", STAMP_AS_OF)
+    parts = dts.interval_parts(secs)
+    return b.select("RecId", secs.alias("Seconds_Total"), parts.alias("p"),
+                    dts.age_years("Date_Due", STAMP_AS_OF).alias("Age")) \
+        .select("RecId", "Seconds_Total", "p.*", "Age")
+
+
+def interval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = views.budget(spark, sf_dir).select("RecId", "Date_Due")
+    parts = dts.interval_parts(dts.running_seconds("Date_Due", STAMP_AS_OF))
+    return b.select("RecId", dts.interval_text(parts).alias("Running"),
+                    dts.interval_text(parts, {"Years": "Expected years", "Days": "d"}).alias("Custom"))
+
+
+QUERIES.update({
+    "budget_totals": budget_totals,
+    "budget_by_status": budget_by_status,
+    "budget_by_contract": budget_by_contract,
+    "budget_by_tags": budget_by_tags,
+    "budget_tag_tokens": budget_tag_tokens,
+    "budget_by_type": budget_by_type,
+    "budget_auto_status": budget_auto_status,
+    "budget_recurrence": budget_recurrence,
+    "budget_formulas": budget_formulas,
+    "rec_conform": rec_conform,
+    "rec_insert": rec_insert,
+    "rec_edit": rec_edit,
+    "rec_archive": rec_archive,
+    "rec_next_id": rec_next_id,
+    "rec_vertical": rec_vertical,
+    "rec_active": rec_active,
+    "rec_lookup": rec_lookup,
+    "rec_first_dup": rec_first_dup,
+    "running_time": running_time,
+    "interval_text": interval_text,
+})

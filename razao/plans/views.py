@@ -159,3 +159,86 @@ t0_pp AS (
          {_br_text_sql('s_acctbal')} || CASE WHEN s_acctbal < 0 THEN ' D' ELSE ' C' END AS Valor
   FROM supplier
 )"""
+
+
+# --------------------------------------------------------------------------
+# bud: budget record table (orders)
+# --------------------------------------------------------------------------
+
+def _budget_columns(o):
+    st = F.col("o_orderstatus")
+    pr = F.col("o_orderpriority")
+    typ = (F.when(st == "O", F.lit("Revenue")).when(st == "F", F.lit("Expense"))
+           .when(st == "P", F.lit("Transfer")))
+    status = (F.when(pr == "1-URGENT", F.lit("Executed")).when(pr == "2-HIGH", F.lit("Expected"))
+              .when(pr == "3-MEDIUM", F.lit("Prospected")).when(pr == "5-LOW", F.lit("Cancelled")))
+    word = F.lower(F.regexp_replace(pr, r"^[0-9]+-", ""))
+    return {
+        "Type": typ,
+        "Status": status,
+        "Contract": F.concat(F.lit("C"), F.pmod(F.col("o_custkey"), F.lit(20)).cast("string")),
+        "Name": F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")),
+        "Value": F.col("o_totalprice").cast(MONEY),
+        "Date_Due": F.to_date("o_orderdate"),
+        "Date_Exe": F.lit(""),
+        "Tags": F.concat_ws(" ", F.lower(typ), word),
+        "Method": F.when(F.pmod(F.col("o_orderkey"), F.lit(2)) == 0, F.lit("Automatic"))
+        .otherwise(F.lit("Manual")),
+        "Protocol": F.lit(""),
+        "File_Receipt": F.lit(""),
+        "File_Invoice": F.lit(""),
+        "File_NF": F.lit(""),
+    }
+
+
+def budget_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budget rows without record columns, plus the ordering key and one
+    extra column (``o_clerk_note``) that conforming must drop."""
+    o = read_table(spark, sf_dir, "orders")
+    cols = _budget_columns(o)
+    return o.select("o_orderkey", *[c.alias(n) for n, c in cols.items()],
+                    F.lit("x").alias("o_clerk_note"))
+
+
+def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as a budget record table (``RecId`` from the order key)."""
+    o = read_table(spark, sf_dir, "orders")
+    cols = _budget_columns(o)
+    return o.select(
+        F.format_string("Rec%04d", F.col("o_orderkey") + 1).alias("RecId"),
+        F.lit("Budget").alias("RecTable"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("RecTimestamp"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("Off")).otherwise(F.lit("On")).alias("RecStatus"),
+        *[c.alias(n) for n, c in cols.items()],
+    )
+
+
+BUD_COLS_SQL = """
+  CASE o_orderstatus WHEN 'O' THEN 'Revenue' WHEN 'F' THEN 'Expense' WHEN 'P' THEN 'Transfer' END AS Type,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'Executed' WHEN '2-HIGH' THEN 'Expected'
+       WHEN '3-MEDIUM' THEN 'Prospected' WHEN '5-LOW' THEN 'Cancelled' END AS Status,
+  'C' || CAST(o_custkey % 20 AS VARCHAR) AS Contract,
+  'Order ' || CAST(o_orderkey AS VARCHAR) AS Name,
+  CAST(o_totalprice AS DECIMAL(18,2)) AS Value,
+  CAST(o_orderdate AS DATE) AS Date_Due,
+  '' AS Date_Exe,
+  concat_ws(' ', lower(CASE o_orderstatus WHEN 'O' THEN 'Revenue' WHEN 'F' THEN 'Expense'
+                      WHEN 'P' THEN 'Transfer' END),
+            lower(regexp_replace(o_orderpriority, '^[0-9]+-', ''))) AS Tags,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Automatic' ELSE 'Manual' END AS Method,
+  '' AS Protocol, '' AS File_Receipt, '' AS File_Invoice, '' AS File_NF"""
+
+BUD_SQL = f"""
+bud AS (
+  SELECT printf('Rec%04d', o_orderkey + 1) AS RecId, 'Budget' AS RecTable,
+         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS RecTimestamp,
+         CASE WHEN o_orderstatus = 'P' THEN 'Off' ELSE 'On' END AS RecStatus,
+         {BUD_COLS_SQL}
+  FROM orders
+)"""
+
+BUD_RAW_SQL = f"""
+bud_raw AS (
+  SELECT o_orderkey, {BUD_COLS_SQL}, 'x' AS o_clerk_note
+  FROM orders
+)"""
