@@ -404,10 +404,64 @@ FROM r2"""
     }
 
 
+
+def catalog_sql() -> dict[str, str]:
+    from .views import CAT_SQL
+
+    alias = "CASE WHEN length({n}) >= 2 THEN substr({n}, 1, 1) || substr({n}, length({n}), 1) ELSE {n} END"
+    latest = f"""WITH {CAT_SQL.strip()},
+latest AS (
+  SELECT name, seq, source, description, size, Date, {alias.format(n='name')} AS alias
+  FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS rn FROM cat) q WHERE rn = 1
+)
+"""
+    renamed = f"""WITH {CAT_SQL.strip()},
+l0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS rn FROM cat) q WHERE rn = 1),
+rn AS (SELECT name AS old_name, regexp_replace(name, '^User_', 'Member_') AS new_name FROM l0 WHERE source = 'purchase'),
+keyed AS (SELECT coalesce(rn.new_name, c.name) AS name, seq, source, description, size, Date
+          FROM cat c LEFT JOIN rn ON c.name = rn.old_name)
+SELECT name, seq, source, description, size, Date, {alias.format(n='name')} AS alias
+FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS r FROM keyed) q WHERE r = 1"""
+    fields = ["seq", "source", "description", "size", "Date", "alias"]
+    txt = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in fields)
+    inss_rows = "(1, NULL, 1518.00, 0.075), (2, 1518.00, 2793.88, 0.09), (3, 2793.88, 4190.83, 0.12), (4, 4190.83, 8157.41, 0.14)"
+    irrf_rows = ("(1, 2428.81, NULL, 2826.65, 0.075, 182.16), (2, 2826.66, 2826.65, 3751.05, 0.15, 394.16), "
+                 "(3, 3751.06, 3751.05, 4664.68, 0.225, 675.49), (4, 4664.68, 4664.68, NULL, 0.275, 908.73)")
+    sal = "sal AS (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(18,2)) AS amount FROM customer)"
+    return {
+        "catalog_latest": latest + "SELECT * FROM latest",
+        "catalog_remove": latest + ("SELECT * FROM latest WHERE name NOT IN (SELECT 'User_' || CAST(user_id AS VARCHAR) "
+                                    "FROM events WHERE event_type = 'signup' AND value > 300)"),
+        "catalog_refresh": renamed,
+        "catalog_size": latest + "SELECT count(*) AS size FROM latest",
+        "catalog_metadata_rows": latest + (f"SELECT name, field, value FROM (SELECT name, {txt} FROM latest) "
+                                           f"UNPIVOT INCLUDE NULLS (value FOR field IN ({', '.join(fields)}))"),
+        "catalog_alias": (f"SELECT name, {alias.format(n='name')} AS alias FROM "
+                          "(SELECT DISTINCT CAST(user_id AS VARCHAR) AS name FROM events) q"),
+        "dict_table": ("SELECT CAST(event_id AS VARCHAR) AS key, CAST(user_id AS VARCHAR) AS \"user\", "
+                       "event_type AS type FROM events"),
+        "catalog_preview": latest + ("SELECT *, 'head' AS part FROM (SELECT * FROM latest ORDER BY name ASC LIMIT 5) h "
+                                     "UNION ALL SELECT *, 'tail' AS part FROM (SELECT * FROM latest ORDER BY name DESC LIMIT 5) t"),
+        "tax_inss": (f"WITH {sal}, t AS (SELECT * FROM (VALUES {inss_rows}) v(bracket, lo_excl, hi, rate))\n"
+                     "SELECT c_custkey, CAST(amount AS DOUBLE) AS amount, t.bracket AS inss_bracket, "
+                     "CAST(t.rate AS DOUBLE) AS inss_rate FROM sal LEFT JOIN t ON "
+                     "(t.lo_excl IS NULL OR amount > t.lo_excl) AND amount <= t.hi"),
+        "tax_irrf": (f"WITH {sal}, t AS (SELECT bracket, CAST(lo AS DECIMAL(18,2)) lo, CAST(lo_excl AS DECIMAL(18,2)) lo_excl, "
+                     "CAST(hi AS DECIMAL(18,2)) hi, CAST(rate AS DECIMAL(6,4)) rate, CAST(ded AS DECIMAL(18,2)) ded "
+                     f"FROM (VALUES {irrf_rows}) v(bracket, lo, lo_excl, hi, rate, ded))\n"
+                     "SELECT c_custkey, CAST(amount AS DOUBLE) AS amount, t.bracket AS irrf_bracket, "
+                     "CAST(t.rate AS DOUBLE) AS irrf_rate, CAST(t.ded AS DOUBLE) AS irrf_deduction, "
+                     "CAST(amount * t.rate - t.ded AS DOUBLE) AS irrf_tax FROM sal LEFT JOIN t ON "
+                     "(CASE WHEN t.lo_excl IS NULL THEN amount >= t.lo ELSE amount > t.lo_excl END) "
+                     "AND (t.hi IS NULL OR amount <= t.hi)"),
+    }
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(cashflow_sql())
     out.update(report_sql())
     out.update(statements_sql())
     out.update(budget_sql())
+    out.update(catalog_sql())
     return out

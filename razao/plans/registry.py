@@ -319,3 +319,92 @@ QUERIES.update({
     "running_time": running_time,
     "interval_text": interval_text,
 })
+
+
+# --------------------------------------------------------------------------
+# catalog, tax
+# --------------------------------------------------------------------------
+from ..operators import catalog as cat  # noqa: E402
+from ..operators import tax as taxo  # noqa: E402
+
+
+def _catalog(spark, sf_dir):
+    return cat.latest(views.catalog_log(spark, sf_dir)).withColumn("alias", cat.alias_of("name"))
+
+
+def catalog_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalog(spark, sf_dir)
+
+
+def catalog_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = views.read_table(spark, sf_dir, "events")
+    names = ev.filter((F.col("event_type") == "signup") & (F.col("value") > 300)).select(
+        F.concat(F.lit("User_"), F.col("user_id").cast("string")).alias("name"))
+    return cat.remove(_catalog(spark, sf_dir), names)
+
+
+def catalog_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = cat.latest(views.catalog_log(spark, sf_dir))
+    renames = latest.filter(F.col("source") == "purchase").select(
+        F.col("name").alias("old_name"), F.regexp_replace("name", "^User_", "Member_").alias("new_name"))
+    return cat.refresh(views.catalog_log(spark, sf_dir), renames).withColumn("alias", cat.alias_of("name"))
+
+
+def catalog_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.size(_catalog(spark, sf_dir))
+
+
+def catalog_metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.metadata_rows(_catalog(spark, sf_dir))
+
+
+def catalog_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = views.read_table(spark, sf_dir, "events")
+    names = ev.select(F.col("user_id").cast("string").alias("name")).distinct()
+    return names.select("name", cat.alias_of("name").alias("alias"))
+
+
+def dict_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = views.read_table(spark, sf_dir, "events")
+    inner = F.map_concat(
+        F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type")),
+        F.when(F.col("event_type") == "purchase",
+               F.create_map(F.lit("value"), F.col("value").cast("string")))
+        .otherwise(F.create_map().cast("map<string,string>")))
+    entries = ev.select(F.col("event_id").cast("string").alias("key"), "event_id", inner.alias("fields"))
+    return cat.dict_table(entries, "key", "fields", "event_id")
+
+
+def catalog_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.preview(_catalog(spark, sf_dir))
+
+
+def _salaries(spark, sf_dir):
+    c = views.read_table(spark, sf_dir, "customer")
+    return c.select("c_custkey", F.col("c_acctbal").cast(amt.MONEY).alias("amount"))
+
+
+def tax_inss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = taxo.inss(_salaries(spark, sf_dir), "amount")
+    return out.withColumns({"amount": F.col("amount").cast("double"),
+                            "inss_rate": F.col("inss_rate").cast("double")})
+
+
+def tax_irrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = taxo.irrf(_salaries(spark, sf_dir), "amount")
+    return out.withColumns({c: F.col(c).cast("double") for c in
+                            ("amount", "irrf_rate", "irrf_deduction", "irrf_tax")})
+
+
+QUERIES.update({
+    "catalog_latest": catalog_latest,
+    "catalog_remove": catalog_remove,
+    "catalog_refresh": catalog_refresh,
+    "catalog_size": catalog_size,
+    "catalog_metadata_rows": catalog_metadata_rows,
+    "catalog_alias": catalog_alias,
+    "dict_table": dict_table,
+    "catalog_preview": catalog_preview,
+    "tax_inss": tax_inss,
+    "tax_irrf": tax_irrf,
+})

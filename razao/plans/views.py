@@ -242,3 +242,30 @@ bud_raw AS (
   SELECT o_orderkey, {BUD_COLS_SQL}, 'x' AS o_clerk_note
   FROM orders
 )"""
+
+
+# --------------------------------------------------------------------------
+# cat: catalog append log (events)
+# --------------------------------------------------------------------------
+
+def catalog_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event appends a metadata row for object ``User_<user_id>``;
+    ``seq`` (event id) is the append order."""
+    ev = read_table(spark, sf_dir, "events")
+    name = F.concat(F.lit("User_"), F.col("user_id").cast("string"))
+    return ev.select(
+        name.alias("name"),
+        F.col("event_id").alias("seq"),
+        F.col("event_type").alias("source"),
+        F.col("props").alias("description"),
+        F.col("value").alias("size"),
+        F.col("ts").alias("Date"),
+    )
+
+
+CAT_SQL = """
+cat AS (
+  SELECT 'User_' || CAST(user_id AS VARCHAR) AS name, event_id AS seq, event_type AS source,
+         props AS description, value AS size, ts AS Date
+  FROM events
+)"""
