@@ -457,6 +457,27 @@ FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS r FRO
     }
 
 
+
+def invoices_sql() -> dict[str, str]:
+    from .views import NFSE_EXPECTED_SQL
+
+    base = "WITH " + NFSE_EXPECTED_SQL.strip() + "\n"
+    taker = ("coalesce(tomador_cnpj || ' (CNPJ) -- ' || tomador_nome, tomador_nif || ' (NIF) -- ' || tomador_nome, "
+             "tomador_nome)")
+    name = "'NFSe_' || split_part(regexp_extract(file_data, '([^/]+)$', 1), '.', 1)"
+    return {
+        "nfse_extract": base + "SELECT * FROM nfse",
+        "nfse_party_label": base + (f"SELECT file_data, prestador_cnpj || ' -- ' || prestador_nome AS Prestador, "
+                                    f"{taker} AS Tomador FROM nfse"),
+        "nfse_catalog": base + (f"SELECT {name} AS name, {name} AS alias, CAST(NULL AS BIGINT) AS size, "
+                                "CAST(NULL AS VARCHAR) AS color, CAST(NULL AS VARCHAR) AS source, "
+                                "CAST(NULL AS VARCHAR) AS description, file_data, Date, "
+                                f"prestador_cnpj || ' -- ' || prestador_nome AS Prestador, {taker} AS Tomador, "
+                                "ValorServico, p_tributo_SN AS PTributoSN, servico_codigo AS ServicoID, "
+                                "CAST(NULL AS VARCHAR) AS Projeto FROM nfse"),
+    }
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(cashflow_sql())
@@ -464,4 +485,5 @@ def all_sql() -> dict[str, str]:
     out.update(statements_sql())
     out.update(budget_sql())
     out.update(catalog_sql())
+    out.update(invoices_sql())
     return out

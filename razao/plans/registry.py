@@ -408,3 +408,50 @@ QUERIES.update({
     "tax_inss": tax_inss,
     "tax_irrf": tax_irrf,
 })
+
+
+# --------------------------------------------------------------------------
+# invoices
+# --------------------------------------------------------------------------
+from ..operators import invoices as nfs  # noqa: E402
+
+
+def _invoices(spark, sf_dir):
+    return nfs.valid(nfs.extract(views.invoice_documents(spark, sf_dir), keep=["file_data"]))
+
+
+def nfse_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the nested invoice rows, flattened for comparison."""
+    i = _invoices(spark, sf_dir)
+    p, t, s = F.col("Prestador"), F.col("Tomador"), F.col("servico")
+    return i.select(
+        "file_data", "nfse_id", "local_emissao", "local_prestacao", "numero_nfse",
+        "codigo_local_incidencia", "descricao_servico", "valor_liquido", "data_processo", "Date",
+        p["cnpj"].alias("prestador_cnpj"), p["nome"].alias("prestador_nome"),
+        p["endereco"]["logradouro"].alias("prestador_logradouro"), p["endereco"]["numero"].alias("prestador_numero"),
+        p["endereco"]["bairro"].alias("prestador_bairro"), p["endereco"]["cidade"].alias("prestador_cidade"),
+        p["endereco"]["uf"].alias("prestador_uf"), p["endereco"]["cep"].alias("prestador_cep"),
+        p["telefone"].alias("prestador_telefone"), p["email"].alias("prestador_email"),
+        t["cnpj"].alias("tomador_cnpj"), t["nif"].alias("tomador_nif"), t["nome"].alias("tomador_nome"),
+        t["endereco"]["logradouro"].alias("tomador_logradouro"), t["endereco"]["numero"].alias("tomador_numero"),
+        t["endereco"]["complemento"].alias("tomador_complemento"), t["endereco"]["bairro"].alias("tomador_bairro"),
+        t["endereco"]["cidade"].alias("tomador_cidade"), t["endereco"]["cep"].alias("tomador_cep"),
+        s["codigo_servico"].alias("servico_codigo"), s["descricao_servico"].alias("servico_descricao"),
+        "ValorServico", s["p_tributo_SN"].alias("p_tributo_SN"),
+    )
+
+
+def nfse_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nfs.catalog(_invoices(spark, sf_dir))
+
+
+def nfse_party_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _invoices(spark, sf_dir)
+    return i.select("file_data", nfs.emitter_label().alias("Prestador"), nfs.taker_label().alias("Tomador"))
+
+
+QUERIES.update({
+    "nfse_extract": nfse_extract,
+    "nfse_catalog": nfse_catalog,
+    "nfse_party_label": nfse_party_label,
+})

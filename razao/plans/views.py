@@ -269,3 +269,99 @@ cat AS (
          props AS description, value AS size, ts AS Date
   FROM events
 )"""
+
+
+# --------------------------------------------------------------------------
+# nfse_xml: one NFS-e XML document per order (orders x customer)
+# --------------------------------------------------------------------------
+
+def _el(tag: str, value) -> "F.Column":
+    return F.concat(F.lit(f"<{tag}>"), value, F.lit(f"</{tag}>"))
+
+
+def invoice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file_data, xml``: an invoice per order, issued by a provider per
+    nation to the ordering customer.  Customers with a negative balance
+    are foreign takers (NIF and a foreign address); orders with status P
+    have a nil incidence code; orders with status O carry no tax share."""
+    o = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    c = read_table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    j = o.join(c, o.o_custkey == c.c_custkey, "inner")
+    nk = F.col("c_nationkey").cast("string")
+    ck = F.col("c_custkey").cast("string")
+    price = F.format_string("%.2f", F.col("o_totalprice"))
+    national = F.col("c_acctbal") >= 0
+    toma_id = F.when(national, _el("CNPJ", F.format_string("%014d", F.col("c_custkey")))) \
+        .otherwise(_el("NIF", F.concat(F.lit("NIF-"), ck)))
+    toma_place = F.when(national, _el("endNac", F.concat(
+        _el("cMun", F.lit("4314902")), _el("CEP", F.format_string("%08d", F.col("c_custkey")))))) \
+        .otherwise(_el("endExt", F.concat(_el("cPais", F.lit("US")), _el("cEndPost", F.lit("10001")),
+                                          _el("xCidade", F.lit("New York")), _el("xEstProvReg", F.lit("NY")))))
+    incid = F.when(F.col("o_orderstatus") == "P", F.lit('<cLocIncid xsi:nil="true"/>')) \
+        .otherwise(_el("cLocIncid", nk))
+    trib = F.when(F.col("o_orderstatus") == "O", F.lit("")).otherwise(_el("trib", _el("totTrib", _el(
+        "pTotTribSN", F.format_string("%.2f", (F.pmod(F.col("o_custkey"), F.lit(7)) + 1).cast("double"))))))
+    xml = F.concat(
+        F.lit('<?xml version="1.0" encoding="utf-8"?><NFSe versao="1.00" '
+              'xmlns="http://www.sped.fazenda.gov.br/nfse" '
+              'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance">'),
+        F.concat(F.lit('<infNFSe Id="NFS'), F.col("o_orderkey").cast("string"), F.lit('">')),
+        _el("xLocEmi", F.col("c_mktsegment")), _el("xLocPrestacao", F.col("c_mktsegment")),
+        _el("nNFSe", F.col("o_orderkey").cast("string")), incid,
+        _el("xTribNac", F.col("o_orderpriority")),
+        _el("dhProc", F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-03:00"))),
+        _el("emit", F.concat(
+            _el("CNPJ", F.format_string("%014d", F.col("c_nationkey"))),
+            _el("xNome", F.concat(F.lit("PRESTADOR "), nk)),
+            _el("enderNac", F.concat(_el("xLgr", F.concat(F.lit("RUA "), nk)), _el("nro", nk),
+                                     _el("xBairro", F.lit("CENTRO")), _el("cMun", F.lit("4314902")),
+                                     _el("UF", F.lit("RS")),
+                                     _el("CEP", F.format_string("%08d", F.col("c_nationkey") * 1000)))),
+            _el("fone", F.lit("5132000000")),
+            _el("email", F.concat(F.lit("prestador"), nk, F.lit("@mail.com"))))),
+        _el("valores", F.concat(_el("vTotalRet", F.lit("0.00")), _el("vLiq", price))),
+        F.lit('<DPS versao="1.00"><infDPS Id="DPS">'),
+        _el("dCompet", F.date_format("o_orderdate", "yyyy-MM-dd")),
+        _el("toma", F.concat(toma_id, _el("xNome", F.col("c_name")), _el("end", F.concat(
+            toma_place, _el("xLgr", F.concat(F.lit("AV "), ck)), _el("nro", ck),
+            _el("xCpl", F.lit("SALA 1")), _el("xBairro", F.col("c_mktsegment")))))),
+        _el("serv", _el("cServ", F.concat(
+            _el("cTribNac", F.format_string("%06d", F.col("o_custkey"))),
+            _el("xDescServ", F.concat(F.lit("\nServico "), F.col("o_orderpriority")))))),
+        _el("valores", F.concat(_el("vServPrest", _el("vServ", price)), trib)),
+        F.lit("</infDPS></DPS></infNFSe></NFSe>"),
+    )
+    path = F.format_string("/invoices/NFSe_%06d.xml", F.col("o_orderkey"))
+    return j.select(path.alias("file_data"), xml.alias("xml"))
+
+
+NFSE_EXPECTED_SQL = """
+nfse AS (
+  SELECT printf('/invoices/NFSe_%06d.xml', o_orderkey) AS file_data,
+         'NFS' || CAST(o_orderkey AS VARCHAR) AS nfse_id,
+         c_mktsegment AS local_emissao, c_mktsegment AS local_prestacao,
+         CAST(o_orderkey AS VARCHAR) AS numero_nfse,
+         CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(c_nationkey AS VARCHAR) END AS codigo_local_incidencia,
+         o_orderpriority AS descricao_servico,
+         CAST(printf('%.2f', o_totalprice) AS DOUBLE) AS valor_liquido,
+         strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '-03:00' AS data_processo,
+         strftime(o_orderdate, '%Y-%m-%d') AS Date,
+         printf('%014d', c_nationkey) AS prestador_cnpj, 'PRESTADOR ' || CAST(c_nationkey AS VARCHAR) AS prestador_nome,
+         'RUA ' || CAST(c_nationkey AS VARCHAR) AS prestador_logradouro, CAST(c_nationkey AS VARCHAR) AS prestador_numero,
+         'CENTRO' AS prestador_bairro, '4314902' AS prestador_cidade, 'RS' AS prestador_uf,
+         printf('%08d', c_nationkey * 1000) AS prestador_cep, '5132000000' AS prestador_telefone,
+         'prestador' || CAST(c_nationkey AS VARCHAR) || '@mail.com' AS prestador_email,
+         CASE WHEN c_acctbal >= 0 THEN printf('%014d', c_custkey) END AS tomador_cnpj,
+         CASE WHEN c_acctbal < 0 THEN 'NIF-' || CAST(c_custkey AS VARCHAR) END AS tomador_nif,
+         c_name AS tomador_nome,
+         'AV ' || CAST(c_custkey AS VARCHAR) AS tomador_logradouro, CAST(c_custkey AS VARCHAR) AS tomador_numero,
+         'SALA 1' AS tomador_complemento, c_mktsegment AS tomador_bairro,
+         CASE WHEN c_acctbal >= 0 THEN '4314902' END AS tomador_cidade,
+         CASE WHEN c_acctbal >= 0 THEN printf('%08d', c_custkey) END AS tomador_cep,
+         printf('%06d', o_custkey) AS servico_codigo, chr(10) || 'Servico ' || o_orderpriority AS servico_descricao,
+         CAST(printf('%.2f', o_totalprice) AS DOUBLE) AS ValorServico,
+         CASE WHEN o_orderstatus = 'O' THEN 6.0 ELSE CAST(o_custkey % 7 + 1 AS DOUBLE) END AS p_tributo_SN
+  FROM orders JOIN customer ON o_custkey = c_custkey
+)"""
