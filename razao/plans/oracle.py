@@ -478,6 +478,26 @@ def invoices_sql() -> dict[str, str]:
     }
 
 
+
+def cdb_sql() -> dict[str, str]:
+    from .views import CDB_EXPECTED_SQL
+
+    base = "WITH " + CDB_EXPECTED_SQL.strip() + "\n"
+    return {
+        "cdb_extrato": base + ("SELECT file, account, make_date(year, month, day) AS Data, CAST(cap AS DOUBLE) AS Valor, "
+                               "CASE WHEN juros_row THEN 'Juros' ELSE 'Aplicacao' END AS Categoria, '' AS Descricao FROM cdb"),
+        "cdb_saldos": base + ("SELECT file, account, make_date(year, month, day) AS Data, CAST(cap AS DOUBLE) AS Capital_Inicial, "
+                              "CAST(juros AS DOUBLE) AS Juros, CAST(ir AS DOUBLE) AS IR_Projetado, "
+                              "CAST(cap + juros - ir AS DOUBLE) AS Capital_Projetado FROM cdb"),
+        "cdb_depositos": base + ("SELECT file, account, CAST(s_suppkey AS VARCHAR) AS Deposito, "
+                                 "make_date(year, month, day) AS Data_Aplicacao, CAST(cap AS DOUBLE) AS Capital, "
+                                 "CAST(cap + juros AS DOUBLE) AS Saldo, (s_suppkey % 90 + 10) / 100.0 AS Taxa, "
+                                 "make_date(year + 2, month, day) AS Data_Vencimento FROM cdb"),
+        "cdb_rendimentos": base + ("SELECT file, account, make_date(year, month, day) AS Data, "
+                                   "CAST(s_suppkey AS VARCHAR) AS Deposito, CAST(juros AS DOUBLE) AS Rendimento_Bruto FROM cdb"),
+    }
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(cashflow_sql())
@@ -486,4 +506,5 @@ def all_sql() -> dict[str, str]:
     out.update(budget_sql())
     out.update(catalog_sql())
     out.update(invoices_sql())
+    out.update(cdb_sql())
     return out

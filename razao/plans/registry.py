@@ -455,3 +455,45 @@ QUERIES.update({
     "nfse_catalog": nfse_catalog,
     "nfse_party_label": nfse_party_label,
 })
+
+
+# --------------------------------------------------------------------------
+# CDB text statements
+# --------------------------------------------------------------------------
+from ..operators import cdb as cdbo  # noqa: E402
+
+
+def _cdb(spark, sf_dir):
+    return cdbo.parse(views.cdb_statement_lines(spark, sf_dir))
+
+
+def _doubles(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in cols})
+
+
+def cdb_extrato(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _cdb(spark, sf_dir)["EXTRATO"].drop("pos")
+    return _doubles(e, ["Valor"])
+
+
+def cdb_saldos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _cdb(spark, sf_dir)["SALDOS"].drop("pos")
+    return _doubles(s, ["Capital_Inicial", "Juros", "IR_Projetado", "Capital_Projetado"])
+
+
+def cdb_depositos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _cdb(spark, sf_dir)["DEPOSITOS"].drop("pos")
+    return _doubles(d, ["Capital", "Saldo", "Taxa"])
+
+
+def cdb_rendimentos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _cdb(spark, sf_dir)["RENDIMENTOS"].drop("pos")
+    return _doubles(r, ["Rendimento_Bruto"])
+
+
+QUERIES.update({
+    "cdb_extrato": cdb_extrato,
+    "cdb_saldos": cdb_saldos,
+    "cdb_depositos": cdb_depositos,
+    "cdb_rendimentos": cdb_rendimentos,
+})

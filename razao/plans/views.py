@@ -365,3 +365,105 @@ nfse AS (
          CASE WHEN o_orderstatus = 'O' THEN 6.0 ELSE CAST(o_custkey % 7 + 1 AS DOUBLE) END AS p_tributo_SN
   FROM orders JOIN customer ON o_custkey = c_custkey
 )"""
+
+
+# --------------------------------------------------------------------------
+# stmt_lines: CDB text statements (supplier deposits, one file per nation)
+# --------------------------------------------------------------------------
+
+_ACC_BASE = 10 ** 12
+_SEC_BASE = 10 ** 10
+
+
+def _cdb_parts():
+    s = F.col("s_suppkey")
+    nk = F.col("s_nationkey")
+    return {
+        "file": F.format_string("CDB_%02d.txt", nk),
+        "year": (F.lit(2020) + F.pmod(nk, F.lit(5))).cast("int"),
+        "acc": F.when(F.pmod(s, F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(2)),
+        "day": (F.pmod(s, F.lit(28)) + 1).cast("int"),
+        "month": (F.pmod(s, F.lit(12)) + 1).cast("int"),
+        "cap": F.abs(F.col("s_acctbal")).cast(MONEY),
+        "juros": (F.pmod(s, F.lit(100)).cast("decimal(18,2)") + F.lit(0.5).cast("decimal(18,2)")),
+        "ir": (nk.cast("decimal(18,2)") + F.lit(0.25).cast("decimal(18,2)")),
+        "juros_row": F.pmod(s, F.lit(3)) == 0,
+    }
+
+
+def cdb_statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line table ``file, pos, line`` of print-style CDB statements: every
+    supplier is a deposit of one of two accounts in its nation's statement,
+    with an EXTRATO record (two lines), a SALDOS, a DEPOSITOS and a
+    RENDIMENTOS row; titles, column headers, noise rules, blank lines,
+    skipped balance lines and no-break spaces surround them."""
+    sup = read_table(spark, sf_dir, "supplier")
+    p = _cdb_parts()
+    s = sup.select("s_suppkey", "s_nationkey", "s_acctbal", *[c.alias(n) for n, c in p.items()])
+    s = s.withColumn("capproj", F.col("cap") + F.col("juros") - F.col("ir"))
+    br = lambda c: br_text(F.col(c))
+    acc_base = F.col("acc").cast("long") * F.lit(_ACC_BASE)
+
+    def sec(i):
+        return acc_base + F.lit(i * _SEC_BASE) + F.lit(100) + F.col("s_suppkey") * 10
+
+    hist = F.when(F.col("juros_row"), F.lit("Rendimento  mensal")).otherwise(F.lit("Aplicacao"))
+    line2 = F.concat(F.when(F.col("juros_row"), F.lit("   valor juros ")).otherwise(F.lit("   ")), br("cap"),
+                     F.when(F.col("s_acctbal") < 0, F.lit(" -")).otherwise(F.lit("")))
+    dm = F.format_string("%02d/%02d", F.col("day"), F.col("month"))
+    dmy = F.format_string("%02d/%02d/%d", F.col("day"), F.col("month"), F.col("year"))
+    venc = F.format_string("%02d/%02d/%d", F.col("day"), F.col("month"), F.col("year") + 2)
+    taxa = F.concat(F.lit("0,"), (F.pmod(F.col("s_suppkey"), F.lit(90)) + 10).cast("string"))
+    rec = F.array(
+        F.struct(sec(0) + 1, F.format_string("%s %s %d", dm, hist, F.col("s_suppkey"))),
+        F.struct(sec(0) + 2, line2),
+        F.struct(sec(1), F.concat_ws(" ", dmy, br("cap"), br("juros"), br("ir"), br("capproj"))),
+        F.struct(sec(2), F.concat_ws(" ", F.col("s_suppkey").cast("string"), dmy, br("cap"),
+                                     br_text(F.col("cap") + F.col("juros")), taxa, venc)),
+        F.struct(sec(3), F.concat_ws("  ", dm, F.col("s_suppkey").cast("string"), br("juros"))),
+    )
+    records = s.select("file", F.inline(rec).alias("pos", "line"))
+
+    files = sup.select(p["file"].alias("file"), p["year"].alias("year")).distinct()
+    y = F.col("year").cast("string")
+    head = F.array(
+        F.struct(F.lit(0).cast("long"), F.lit("EXTRATO CONTA INVESTIMENTO")),
+        F.struct(F.lit(1).cast("long"), F.concat(F.lit("Período: 01/01/"), y, F.lit(" a 31/12/"), y)),
+        F.struct(F.lit(2).cast("long"), F.lit("")),
+    )
+
+    def account_lines(a: int, title: str):
+        b = a * _ACC_BASE
+        out = [
+            (b + 1, F.lit(f"{title}     Agencia 1234")),
+            (b + 2, F.lit("Saldo anterior 0,00")),
+            (b + 3, F.lit("Data  Historico  Documento  Valor")),
+            (b + 4, F.lit("-----------------------------------")),
+            (b + 9 * 10 ** 9, F.lit("Saldo final 0,00")),
+            (b + 9 * 10 ** 9 + 1, F.lit("Total capital 0,00")),
+        ]
+        for i, sec_title in enumerate(["SALDO NOS ULTIMOS 6 MESES", "RESUMO DOS DEPOSITOS EM SER",
+                                       "RENDIMENTO BRUTO NO PERIODO POR DEPOSITO"], start=1):
+            sb = b + i * _SEC_BASE
+            out += [(sb + 1, F.lit(sec_title)), (sb + 2, F.lit("=======================")),
+                    (sb + 3, F.lit("Colunas do quadro")), (sb + 4, F.lit("   "))]
+        return [F.struct(F.lit(pos).cast("long"), txt) for pos, txt in out]
+
+    fixed_lines = files.select("file", F.inline(F.concat(
+        head, F.array(*account_lines(1, "BB CDB DI")), F.array(*account_lines(2, "BB CDB PROGRESSIVO"))
+    )).alias("pos", "line"))
+    return fixed_lines.unionByName(records)
+
+
+CDB_EXPECTED_SQL = f"""
+cdb AS (
+  SELECT printf('CDB_%02d.txt', s_nationkey) AS file,
+         CAST(2020 + s_nationkey % 5 AS INTEGER) AS year,
+         CASE WHEN s_suppkey % 2 = 0 THEN 'CDBDI' ELSE 'CDBPG' END AS account,
+         CAST(s_suppkey % 28 + 1 AS INTEGER) AS day, CAST(s_suppkey % 12 + 1 AS INTEGER) AS month,
+         CAST(abs(s_acctbal) AS DECIMAL(18,2)) AS cap,
+         CAST(s_suppkey % 100 AS DECIMAL(18,2)) + 0.50 AS juros,
+         CAST(s_nationkey AS DECIMAL(18,2)) + 0.25 AS ir,
+         s_suppkey % 3 = 0 AS juros_row, s_suppkey
+  FROM supplier
+)"""
