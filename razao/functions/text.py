@@ -69,13 +69,14 @@ def fields(col: Column | str) -> Column:
 def squeeze_blank_lines(col: Column | str) -> Column:
     """Runs of blank lines become one (the first of the run is kept)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c, r"(?m)^([ \t]*\n)(?:[ \t]*\n)+", "$1")
+    return F.regexp_replace(c, f"(?m)^({INLINE_WS_CLASS}*\n)(?:{INLINE_WS_CLASS}*\n)+", "$1")
 
 
 def hashtags(col: Column | str) -> Column:
     """All ``#word`` tags (Unicode word characters); NULL when none."""
     c = F.col(col) if isinstance(col, str) else col
-    found = F.regexp_extract_all(c, F.lit(r"(?U)#\w+"), 0)
+    # letters, digits and underscore of any script (Python's \w)
+    found = F.regexp_extract_all(c, F.lit(r"#[\p{L}\p{N}_]+"), 0)
     return F.when(F.size(found) > 0, found)
 
 
@@ -84,3 +85,16 @@ def wiki_links(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     found = F.regexp_extract_all(c, F.lit(r"\[\[.*?\]\]"), 0)
     return F.when(F.size(found) > 0, found)
+
+
+# Python's str.strip() whitespace, as a class both Java and RE2 regexes read.
+WS_CLASS = ("[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
+            "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
+INLINE_WS_CLASS = WS_CLASS.replace("\\n", "")
+
+
+def strip_ws(col: Column | str) -> Column:
+    """Strip leading / trailing whitespace as Python's ``str.strip`` does
+    (Spark's ``trim`` removes spaces only)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")

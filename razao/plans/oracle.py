@@ -498,6 +498,43 @@ def cdb_sql() -> dict[str, str]:
     }
 
 
+
+def notes_sql() -> dict[str, str]:
+    from ..functions.text import INLINE_WS_CLASS, WS_CLASS
+    from .views import NOTES_SQL
+
+    base = "WITH " + NOTES_SQL.strip() + "\n"
+    strip = f"regexp_replace(x, '^{WS_CLASS}+|{WS_CLASS}+$', '', 'g')"
+    body = f"list_transform(string_split(doc_text, chr(10)), lambda x: {strip})"
+    squeeze = f"'(?m)^({INLINE_WS_CLASS}*\\n)(?:{INLINE_WS_CLASS}*\\n)+'"
+    i = "CAST(doc_id AS VARCHAR)"
+    fm = (f"SELECT doc_id, 'title' AS key, ['Doc ' || {i}] AS value, FALSE AS is_list, 0 AS key_pos FROM notes "
+          "UNION ALL SELECT doc_id, 'lang', [lang], FALSE, 1 FROM notes "
+          "UNION ALL SELECT doc_id, 'source', [source], FALSE, 2 FROM notes "
+          "UNION ALL SELECT doc_id, 'tags', [lang, source], TRUE, 3 FROM notes "
+          f"UNION ALL SELECT doc_id, 'related', ['[[doc ' || CAST(doc_id + 1 AS VARCHAR) || ']]', source], TRUE, 4 FROM notes "
+          "UNION ALL SELECT doc_id, 'empty', CAST(NULL AS VARCHAR[]), TRUE, 7 FROM notes")
+    rendered = (f"'---' || chr(10) || 'title: Doc ' || {i} || chr(10) || 'lang: ' || lang || chr(10) || "
+                "'source: ' || source || chr(10) || 'tags:' || chr(10) || ' - ' || lang || chr(10) || ' - ' || source || "
+                f"chr(10) || 'related:' || chr(10) || ' - [[doc ' || CAST(doc_id + 1 AS VARCHAR) || ']]' || chr(10) || "
+                "' - ' || source || chr(10) || 'empty: ' || chr(10) || '---' || chr(10) || "
+                "lang || ' note #' || lang || chr(10) || chr(10) || '---' || chr(10) || chr(10) || "
+                f"array_to_string(list_concat(['', '', ''], {body}), chr(10)) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || "
+                f"'tail [[ref ' || {i} || ']]' || chr(10) || chr(10) || '---' || chr(10) || chr(10)")
+    return {
+        "note_frontmatter": base + fm,
+        "note_sections": base + (f"SELECT doc_id, [lang || ' note #' || lang] AS Head, "
+                                 f"list_concat(['', '', ''], {body}) AS Body, "
+                                 f"['tail [[ref ' || {i} || ']]'] AS Tail FROM notes"),
+        "note_tags": base + ("SELECT doc_id, CASE WHEN len(t) > 0 THEN t END AS tags FROM "
+                             "(SELECT doc_id, regexp_extract_all(text, '#[\\p{L}\\p{N}_]+') AS t FROM notes) q"),
+        "note_links": base + ("SELECT doc_id, CASE WHEN len(t) > 0 THEN t END AS links FROM "
+                              "(SELECT doc_id, regexp_extract_all(text, '\\[\\[.*?\\]\\]') AS t FROM notes) q"),
+        "note_squeeze": base + f"SELECT doc_id, regexp_replace(text, {squeeze}, '\\1', 'g') AS text FROM notes",
+        "note_render": base + f"SELECT doc_id, regexp_replace({rendered}, {squeeze}, '\\1', 'g') AS text FROM notes",
+    }
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(cashflow_sql())
@@ -507,4 +544,5 @@ def all_sql() -> dict[str, str]:
     out.update(catalog_sql())
     out.update(invoices_sql())
     out.update(cdb_sql())
+    out.update(notes_sql())
     return out

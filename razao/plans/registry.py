@@ -497,3 +497,44 @@ QUERIES.update({
     "cdb_depositos": cdb_depositos,
     "cdb_rendimentos": cdb_rendimentos,
 })
+
+
+# --------------------------------------------------------------------------
+# notes
+# --------------------------------------------------------------------------
+from ..operators import notes as nts  # noqa: E402
+
+
+def note_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nts.front_matter_long(views.note_documents(spark, sf_dir))
+
+
+def note_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nts.sections(views.note_documents(spark, sf_dir))
+
+
+def note_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nts.tags(views.note_documents(spark, sf_dir))
+
+
+def note_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nts.links(views.note_documents(spark, sf_dir))
+
+
+def note_squeeze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nts.squeeze(views.note_documents(spark, sf_dir))
+
+
+def note_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.note_documents(spark, sf_dir)
+    return nts.render(nts.front_matter_long(docs), nts.sections(docs))
+
+
+QUERIES.update({
+    "note_frontmatter": note_frontmatter,
+    "note_sections": note_sections,
+    "note_tags": note_tags,
+    "note_links": note_links,
+    "note_squeeze": note_squeeze,
+    "note_render": note_render,
+})

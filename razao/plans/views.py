@@ -467,3 +467,36 @@ cdb AS (
          s_suppkey % 3 = 0 AS juros_row, s_suppkey
   FROM supplier
 )"""
+
+
+# --------------------------------------------------------------------------
+# notes: one markdown note per document (whole text as the body)
+# --------------------------------------------------------------------------
+
+def note_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text``: front matter (title, lang, source, tags, related
+    list, empty key), a head line with a ``#lang`` tag, three blank lines,
+    the whole document text as body, and a tail with a ``[[ref]]`` link."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    i = F.col("doc_id").cast("string")
+    text = F.concat(F.concat_ws(
+        "\n", F.lit("---"), F.concat(F.lit('title: "Doc '), i, F.lit('"')),
+        F.concat(F.lit("lang: "), F.col("lang")), F.concat(F.lit("source: "), F.col("source")),
+        F.concat(F.lit("tags: "), F.col("lang"), F.lit(" - "), F.col("source")),
+        F.lit("related:"), F.concat(F.lit(" - [[doc "), (F.col("doc_id") + 1).cast("string"), F.lit("]]")),
+        F.concat(F.lit(" - "), F.col("source")), F.lit("empty:"), F.lit("---"),
+        F.concat(F.col("lang"), F.lit(" note #"), F.col("lang")), F.lit("---"), F.lit(""), F.lit(""), F.lit(""),
+        F.col("text"), F.lit("---"), F.concat(F.lit("tail [[ref "), i, F.lit("]]"))), F.lit("\n"))
+    return d.select("doc_id", text.alias("text"))
+
+
+NOTES_SQL = """
+notes AS (
+  SELECT doc_id, lang, source, text AS doc_text,
+         concat_ws(chr(10), '---', 'title: "Doc ' || CAST(doc_id AS VARCHAR) || '"', 'lang: ' || lang,
+                   'source: ' || source, 'tags: ' || lang || ' - ' || source, 'related:',
+                   ' - [[doc ' || CAST(doc_id + 1 AS VARCHAR) || ']]', ' - ' || source, 'empty:', '---',
+                   lang || ' note #' || lang, '---', '', '', '', text, '---',
+                   'tail [[ref ' || CAST(doc_id AS VARCHAR) || ']]') || chr(10) AS text
+  FROM documents
+)"""
