@@ -91,8 +91,9 @@ def _reason() -> Column:
             .when(F.col("_amount").isNull(), F.lit("bad_amount")))
 
 
-def standardize(df: DataFrame, dialect: Dialect | str) -> DataFrame:
-    """Canonical rows of a raw statement (good rows only)."""
+def standardize(df: DataFrame, dialect: Dialect | str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical rows of a raw statement (good rows only); ``keep`` columns
+    (e.g. the source file) are carried after the canonical ones."""
     d = DIALECTS[dialect] if isinstance(dialect, str) else dialect
     p = _parsed(df, d).filter(_reason().isNull())
     if d.category_from:
@@ -108,7 +109,7 @@ def standardize(df: DataFrame, dialect: Dialect | str) -> DataFrame:
         "Detalhes": F.coalesce(F.col("Detalhes"), F.lit("")) if "Detalhes" in p.columns else F.lit(""),
         "Documento": F.col("`N° documento`") if "N° documento" in p.columns else F.lit(""),
     }
-    return p.select(*[cols[c].alias(c) for c in d.projection])
+    return p.select(*[cols[c].alias(c) for c in d.projection], *[F.col(f"`{k}`") for k in keep])
 
 
 def quarantine(df: DataFrame, dialect: Dialect | str) -> DataFrame:

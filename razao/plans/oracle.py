@@ -535,6 +535,86 @@ def notes_sql() -> dict[str, str]:
     }
 
 
+
+def files_io_sql() -> dict[str, str]:
+    from .views import BUD_SQL, CF_SQL, T0_PP_SQL, T0_SQL
+
+    files = """WITH f0 AS (
+  SELECT *, ['bb-cc', 'bb-ccpj', 'bb-pp'][CAST(user_id % 3 AS INTEGER) + 1] AS account_type FROM events
+),
+f AS (
+  SELECT '/extratos/' || strftime(ts, '%Y') || '/' ||
+         concat_ws('_', 'EXTRATO', upper(split_part(account_type, '-', 1)),
+                   upper(split_part(account_type, '-', 2)) || CAST(user_id AS VARCHAR), strftime(ts, '%Y-%m-%d'))
+         || '_T0.csv' AS path, account_type, event_type
+  FROM f0
+)
+"""
+    t1 = "regexp_replace(path, '_T0(\\.[^./]+)$', '_T1\\1')"
+    base = "regexp_extract({p}, '([^/]+)$', 1)"
+    reg = ("reg AS (SELECT * FROM (VALUES ('bb-cc', 'Banco do Brasil', 'Conta Corrente PF'), "
+           "('bb-ccpj', 'Banco do Brasil', 'Conta Corrente PJ'), ('bb-pp', 'Banco do Brasil', 'Conta Poupança PF'), "
+           "('bb-cdb', 'Banco do Brasil', 'Aplicação CDB')) v(account_type, bank, account))")
+    tier = (files + f", {reg},\nd AS (SELECT DISTINCT path, account_type FROM f),\n"
+            "x AS (SELECT d.*, reg.bank, reg.account, CAST(regexp_extract(path, '/(\\d{4})/[^/]+$', 1) AS INTEGER) AS year, "
+            "upper(split_part(d.account_type, '-', 1)) AS bank_code, upper(split_part(d.account_type, '-', 2)) AS account_code "
+            "FROM d LEFT JOIN reg ON d.account_type = reg.account_type)\n"
+            f"SELECT path, year, {base.format(p=t1)} AS t1_file, bank_code, account_code, bank AS bank_name, "
+            "account AS account_name, "
+            "concat_ws('_', 'CAIXA', bank_code, account_code, CAST(year AS VARCHAR)) || '_DIARIO.csv' AS daily_file, "
+            "concat_ws('_', 'CAIXA', bank_code, account_code, CAST(year AS VARCHAR)) || '_MENSAL.csv' AS monthly_file, "
+            "concat_ws('_', 'CAIXA', bank_code, account_code, CAST(year AS VARCHAR)) || '_ANUAL.csv' AS yearly_file FROM x")
+    unproc = (files + f"SELECT DISTINCT path FROM f WHERE {base.format(p=t1)} NOT IN "
+              f"(SELECT {base.format(p=t1)} FROM f WHERE event_type = 'purchase')")
+    status = """WITH refs AS (
+  SELECT printf('Rec%04d', o_orderkey + 1) AS RecId, 'File_Invoice' AS field,
+         printf('/invoices/NFSe_%06d.xml', o_orderkey) AS file FROM orders
+  UNION ALL
+  SELECT printf('Rec%04d', o_orderkey + 1), 'File_Receipt', printf('/receipts/R_%06d.pdf', o_orderkey)
+  FROM orders WHERE o_orderstatus = 'F'
+),
+inv AS (SELECT DISTINCT printf('/invoices/NFSe_%06d.xml', o_orderkey) AS path
+        FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT RecId, field, file, CASE WHEN file IN (SELECT path FROM inv) THEN 'ok' ELSE 'missing' END AS status
+FROM refs"""
+    inventory = ("SELECT regexp_extract(filename, '([^/]+)$', 1) AS file, size AS length, "
+                 "CAST(size AS DOUBLE) / 1048576 AS size_mb FROM read_blob('/root/testdata/sf0.01/*.parquet')")
+    typed = ("SELECT l_extendedprice AS p, l_discount AS rm, l_tax AS tas FROM lineitem "
+             "WHERE l_returnflag <> 'R' AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL")
+    std = statements_sql()
+    cc_std = std["t0_standardize"].split("\nSELECT", 1)
+    pp_std = std["pp_standardize"].split("\nSELECT", 1)
+    multi = (f"WITH {T0_SQL.strip()}, {T0_PP_SQL.strip()},\n"
+             f"cc AS (SELECT{cc_std[1]}),\npp AS (SELECT{pp_std[1]})\n"
+             "SELECT CAST(Data AS VARCHAR) AS Data, CAST(CAST(Valor AS DECIMAL(20,4)) AS VARCHAR) AS Valor, "
+             "nullif(Categoria, '') AS Categoria, nullif(Descricao, '') AS Descricao, nullif(Lancamento, '') AS Lancamento, "
+             "nullif(Detalhes, '') AS Detalhes, nullif(Documento, '') AS Documento, CAST(year(Data) AS INTEGER) AS Ano FROM cc "
+             "UNION ALL SELECT CAST(Data AS VARCHAR), CAST(CAST(Valor AS DECIMAL(20,4)) AS VARCHAR), nullif(Categoria, ''), "
+             "nullif(Descricao, ''), NULL, NULL, NULL, NULL FROM pp")
+    rec_cols = ["RecId", "RecTable", "RecTimestamp", "RecStatus"] + BUDGET_DATA_COLUMNS
+    roundtrip = (f"WITH {BUD_SQL.strip()}\nSELECT "
+                 + ", ".join(f"nullif(CAST({c} AS VARCHAR), '') AS {c}" for c in rec_cols)
+                 + " FROM bud WHERE RecStatus = 'On'")
+    kv = ("SELECT conv_id, max_by(text, turn) FILTER (WHERE role = 'system') AS system, "
+          "max_by(text, turn) FILTER (WHERE role = 'user') AS \"user\", "
+          "max_by(text, turn) FILTER (WHERE role = 'assistant') AS assistant "
+          "FROM conversations WHERE role IN ('system', 'user', 'assistant') GROUP BY conv_id")
+    consolidated = (f"WITH {CF_SQL.strip()}\nSELECT Data, Categoria, CAST(Valor AS DOUBLE) AS Valor, Descricao, "
+                    "CAST(year(Data) AS INTEGER) AS Ano FROM cf")
+    return {
+        "tier_names": tier,
+        "files_unprocessed": unproc,
+        "file_status": status,
+        "file_inventory": inventory,
+        "typed_scan": typed,
+        "multi_file_scan": multi,
+        "roundtrip_export": roundtrip,
+        "kv_pivot": kv,
+        "cf_consolidated": consolidated,
+        "t0_incremental": std["t0_standardize"],
+    }
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(cashflow_sql())
@@ -545,4 +625,5 @@ def all_sql() -> dict[str, str]:
     out.update(invoices_sql())
     out.update(cdb_sql())
     out.update(notes_sql())
+    out.update(files_io_sql())
     return out

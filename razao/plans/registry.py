@@ -538,3 +538,144 @@ QUERIES.update({
     "note_squeeze": note_squeeze,
     "note_render": note_render,
 })
+
+
+# --------------------------------------------------------------------------
+# files, sources and sinks, incremental processing, consolidated outputs
+# --------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from ..operators import files as fls  # noqa: E402
+from ..operators import keyvalue as kvo  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sinks import writers as wr  # noqa: E402
+from ..sources import csv as csvs  # noqa: E402
+from ..streaming import incremental as inc  # noqa: E402
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+
+
+def _statement_files(spark, sf_dir):
+    """One raw statement file per (user, day) of ``events``, with its
+    account type from the user (three dialects)."""
+    ev = views.read_table(spark, sf_dir, "events")
+    acc = F.element_at(F.array(F.lit("bb-cc"), F.lit("bb-ccpj"), F.lit("bb-pp")),
+                       (F.pmod(F.col("user_id"), F.lit(3)) + 1).cast("int"))
+    code = fls.account_codes(acc)
+    day = F.date_format("ts", "yyyy-MM-dd")
+    path = F.concat(F.lit("/extratos/"), F.date_format("ts", "yyyy"), F.lit("/"),
+                    F.concat_ws("_", F.lit(fls.T0_PREFIX), code["bank"],
+                                F.concat(code["account"], F.col("user_id").cast("string")), day),
+                    F.lit("_T0.csv"))
+    return ev.select(path.alias("path"), acc.alias("account_type"), "user_id", "event_type", "ts")
+
+
+def tier_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _statement_files(spark, sf_dir).select("path", "account_type").distinct()
+    reg = F.broadcast(stm.registry_table(spark))          # 4 rows
+    f = f.join(reg, "account_type", "left")
+    code = fls.account_codes("account_type")
+    year = fls.year_of_folder("path")
+    names = fls.cash_names(code["bank"], code["account"], year)
+    return f.select("path", year.alias("year"), fls.base_name(fls.t1_name("path")).alias("t1_file"),
+                    code["bank"].alias("bank_code"), code["account"].alias("account_code"),
+                    F.col("bank").alias("bank_name"), F.col("account").alias("account_name"),
+                    names["DIARIO"].alias("daily_file"), names["MENSAL"].alias("monthly_file"),
+                    names["ANUAL"].alias("yearly_file"))
+
+
+def files_unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _statement_files(spark, sf_dir)
+    t0 = f.select("path").distinct()
+    # canonical outputs exist for the statements with a purchase
+    t1 = f.filter(F.col("event_type") == "purchase").select(fls.t1_name("path").alias("path")).distinct()
+    return fls.unprocessed(t0, t1)
+
+
+def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = views.read_table(spark, sf_dir, "orders")
+    rec_id = F.format_string("Rec%04d", F.col("o_orderkey") + 1)
+    refs = o.select(rec_id.alias("RecId"), F.explode(F.array(
+        F.struct(F.lit("File_Invoice").alias("field"),
+                 F.format_string("/invoices/NFSe_%06d.xml", F.col("o_orderkey")).alias("file")),
+        F.struct(F.lit("File_Receipt").alias("field"),
+                 F.when(F.col("o_orderstatus") == "F",
+                        F.format_string("/receipts/R_%06d.pdf", F.col("o_orderkey"))).alias("file")),
+    )).alias("r")).select("RecId", "r.field", "r.file").filter(F.col("file").isNotNull())
+    # the manifest of stored files is written and read back as a ';' table
+    folder = _scratch(spark, "manifest")
+    manifest = views.invoice_documents(spark, sf_dir).select(
+        F.lit("/invoices").alias("folder"), fls.base_name("file_data").alias("file"),
+        F.lit("NFSe_{n}.xml").alias("file_template"))
+    wr.write_table_csv(manifest, folder)
+    inv = csvs.read_table_csv(spark, folder, schema=csvs.MANIFEST_SCHEMA) \
+        .select(F.concat_ws("/", "folder", "file").alias("path"))
+    return fls.file_status(refs, inv)
+
+
+def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fls.inventory(spark, f"{sf_dir}/*.parquet").drop("path")
+
+
+def typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = views.read_table(spark, sf_dir, "lineitem")
+    folder = _scratch(spark, "typed_scan")
+    wr.write_table_csv(li.select(
+        F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("rm"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_tax")).alias("tas"),
+        F.col("l_linestatus").alias("label")), folder)
+    return csvs.read_typed(spark, folder, "p double, rm double, tas double, label string", ["p", "rm", "tas"])
+
+
+def multi_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    personal = stm.standardize(views.statement_personal(spark, sf_dir), "bb-cc")
+    savings = stm.standardize(views.statement_savings(spark, sf_dir), "bb-pp")
+    root = _scratch(spark, "multi_file_scan")
+    wr.write_table_csv(personal.withColumn("Ano", F.year("Data")), f"{root}/cc", partition_by=["Ano"])
+    wr.write_table_csv(savings, f"{root}/pp")
+    return csvs.read_many(spark, [f"{root}/cc", f"{root}/pp"]).drop("file")
+
+
+def roundtrip_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bdg.signed(views.budget(spark, sf_dir))
+    path = _scratch(spark, "records")
+    wr.export_records(b, path, bdg.BUDGET_DATA_COLUMNS, only_active=True)
+    return csvs.read_table_csv(spark, path)
+
+
+def kv_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = views.read_table(spark, sf_dir, "conversations")
+    return kvo.pivot_fields(conv, "conv_id", "role", "text", "turn", ["system", "user", "assistant"])
+
+
+def cf_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cfo.consolidated_daily(views.cash_flow(spark, sf_dir))
+    return out.withColumn("Valor", F.col("Valor").cast("double"))
+
+
+def t0_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _scratch(spark, "incremental")
+    raw = views.statement_personal(spark, sf_dir).withColumn(
+        "Mes", F.concat(F.substring("Data", 7, 4), F.lit("-"), F.substring("Data", 4, 2)))
+    raw.write.partitionBy("Mes").option("header", True).option("encoding", "ISO-8859-1") \
+        .option("quoteAll", True).csv(f"{root}/t0")
+    inc.run_incremental(spark, f"{root}/t0", f"{root}/t1", f"{root}/ckpt")
+    inc.run_incremental(spark, f"{root}/t0", f"{root}/t1", f"{root}/ckpt")   # no new files: no rows
+    t1 = spark.read.parquet(f"{root}/t1")
+    return t1.select(*stm.CANONICAL).withColumn("Valor", F.col("Valor").cast("double"))
+
+
+QUERIES.update({
+    "tier_names": tier_names,
+    "files_unprocessed": files_unprocessed,
+    "file_status": file_status,
+    "file_inventory": file_inventory,
+    "typed_scan": typed_scan,
+    "multi_file_scan": multi_file_scan,
+    "roundtrip_export": roundtrip_export,
+    "kv_pivot": kv_pivot,
+    "cf_consolidated": cf_consolidated,
+    "t0_incremental": t0_incremental,
+})
