@@ -93,8 +93,13 @@ WS_CLASS = ("[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000
 INLINE_WS_CLASS = WS_CLASS.replace("\\n", "")
 
 
+# The same characters as a plain set for ``trim(str, chars)``.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(col: Column | str) -> Column:
     """Strip leading / trailing whitespace as Python's ``str.strip`` does
-    (Spark's ``trim`` removes spaces only)."""
+    (Spark's one-argument ``trim`` removes spaces only)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.trim(c, F.lit(WS_CHARS))

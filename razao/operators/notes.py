@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashtags, squeeze_blank_lines, strip_ws, wiki_links
+from .partitioning import spread
 
 FRONT_MATTER = r"(?s)^---\s*\n(.*?)\n---\s*\n"
 SECTIONS = ["Head", "Body", "Tail"]
@@ -33,7 +34,7 @@ def front_matter_long(notes: DataFrame, id_col: str = "doc_id", text_col: str =
     line of the key's first appearance (the key order of the note).  Notes
     without front matter have no rows."""
     has = F.col(text_col).rlike(FRONT_MATTER)
-    fm = notes.filter(has).select(id_col, F.regexp_extract(text_col, FRONT_MATTER, 1).alias("_fm"))
+    fm = spread(notes).filter(has).select(id_col, F.regexp_extract(text_col, FRONT_MATTER, 1).alias("_fm"))
     lines = fm.select(id_col, F.posexplode(F.split("_fm", "\n")).alias("pos", "line")) \
         .filter(strip_ws("line") != "")
     is_key = F.col("line").contains(":")
@@ -81,26 +82,28 @@ def front_matter(notes: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def sections(notes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, Head, Body, Tail`` arrays of trimmed lines.
+    """``doc_id, Head, Body, Tail`` arrays of stripped lines.
 
     A leading front matter (first line ``---`` up to the next line that is
-    exactly ``---``) is skipped; then lines equal to ``---`` (trimmed) split
-    the note: none -> all Body; one -> Head | Body; two or more -> Head |
-    lines between the first and last | Tail (inner separators stay in the
-    Body).  A note whose first line opens a front matter that never closes
-    is left out (the reference fails on it)."""
-    lines = _lines(F.col(text_col))
-    x = notes.select(id_col, lines.alias("_l"))
+    exactly ``---``) is skipped; then lines equal to ``---`` (stripped)
+    split the note: none -> all Body; one -> Head | Body; two or more ->
+    Head | lines between the first and last | Tail (inner separators stay
+    in the Body).  A note whose first line opens a front matter that never
+    closes is left out (the reference fails on it).
+
+    The line array is materialised once per note (a one-element generator
+    keeps the optimizer from re-deriving it inside the array lambdas).
+    """
+    x = spread(notes).select(id_col, F.explode(F.array(_lines(F.col(text_col)))).alias("_l"))
+    n_all = F.size("_l")
     opens = strip_ws(F.element_at("_l", 1)) == "---"
-    idx = F.sequence(F.lit(2), F.greatest(F.size("_l"), F.lit(2)))
-    close = F.filter(idx, lambda i: F.element_at(F.col("_l"), i) == "---")
-    x = x.withColumn("_close", F.when(opens, F.element_at(close, 1)).otherwise(F.lit(0)))
-    x = x.filter(F.col("_close").isNotNull())
-    rest = F.slice("_l", F.col("_close") + 1, F.greatest(F.size("_l") - F.col("_close"), F.lit(0)))
-    x = x.withColumn("_r", F.when(F.col("_close") >= 0, rest))
+    close_rel = F.array_position(F.slice("_l", 2, F.greatest(n_all - 1, F.lit(1))), "---")
+    close = F.when(~opens, F.lit(0)).when(close_rel > 0, close_rel + 1)
+    x = x.withColumn("_close", close).filter(F.col("_close").isNotNull())
+    rest = F.slice("_l", F.col("_close") + 1, F.greatest(n_all - F.col("_close"), F.lit(0)))
+    x = x.select(id_col, F.explode(F.array(F.transform(rest, lambda v: strip_ws(v)))).alias("_r"))
     n = F.size("_r")
-    seps = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                    lambda i: (i <= n) & (strip_ws(F.element_at(F.col("_r"), i)) == "---"))
+    seps = F.filter(F.transform("_r", lambda v, i: F.when(v == "---", i + 1)), lambda i: i.isNotNull())
     x = x.withColumn("_s", seps)
     first = F.element_at("_s", 1)
     last = F.element_at("_s", -1)
@@ -115,23 +118,21 @@ def sections(notes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             .when(k == 1, sl(first + 1, n + 1))
             .otherwise(sl(first + 1, last)))
     tail = F.when(k >= 2, sl(last + 1, n + 1)).otherwise(empty)
-    trim_all = lambda c: F.transform(c, lambda s: strip_ws(s))
-    return x.select(id_col, trim_all(head).alias("Head"), trim_all(body).alias("Body"),
-                    trim_all(tail).alias("Tail"))
+    return x.select(id_col, head.alias("Head"), body.alias("Body"), tail.alias("Tail"))
 
 
 def tags(notes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``#word`` tags of the whole note (NULL when none)."""
-    return notes.select(id_col, hashtags(text_col).alias("tags"))
+    return spread(notes).select(id_col, hashtags(text_col).alias("tags"))
 
 
 def links(notes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``[[...]]`` links of the whole note (NULL when none)."""
-    return notes.select(id_col, wiki_links(text_col).alias("links"))
+    return spread(notes).select(id_col, wiki_links(text_col).alias("links"))
 
 
 def squeeze(notes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return notes.select(id_col, squeeze_blank_lines(text_col).alias("text"))
+    return spread(notes).select(id_col, squeeze_blank_lines(text_col).alias("text"))
 
 
 def render(meta_long: DataFrame, secs: DataFrame, id_col: str = "doc_id") -> DataFrame:
