@@ -143,8 +143,8 @@ def conform(df: DataFrame, table: str, data_columns: list[str], existing: DataFr
                        for c in organized])
     if existing is not None:
         # record tables are text after conforming (as when read from CSV)
-        out = existing.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in organized]) \
-            .unionByName(out)
+        out = existing.select(*[(F.col(f"`{c}`").cast("string") if c in existing.columns else F.lit(""))
+                                .alias(c) for c in organized]).unionByName(out)
     return out
 
 
