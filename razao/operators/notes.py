@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashtags, squeeze_blank_lines, strip_ws, wiki_links
-from .partitioning import spread
 
 FRONT_MATTER = r"(?s)^---\s*\n(.*?)\n---\s*\n"
 SECTIONS = ["Head", "Body", "Tail"]
@@ -34,7 +33,7 @@ def front_matter_long(notes: DataFrame, id_col: str = "doc_id", text_col: str =
     line of the key's first appearance (the key order of the note).  Notes
     without front matter have no rows."""
     has = F.col(text_col).rlike(FRONT_MATTER)
-    fm = spread(notes).filter(has).select(id_col, F.regexp_extract(text_col, FRONT_MATTER, 1).alias("_fm"))
+    fm = notes.filter(has).select(id_col, F.regexp_extract(text_col, FRONT_MATTER, 1).alias("_fm"))
     lines = fm.select(id_col, F.posexplode(F.split("_fm", "\n")).alias("pos", "line")) \
         .filter(strip_ws("line") != "")
     is_key = F.col("line").contains(":")
@@ -94,7 +93,7 @@ def sections(notes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     The line array is materialised once per note (a one-element generator
     keeps the optimizer from re-deriving it inside the array lambdas).
     """
-    x = spread(notes).select(id_col, F.explode(F.array(_lines(F.col(text_col)))).alias("_l"))
+    x = notes.select(id_col, F.explode(F.array(_lines(F.col(text_col)))).alias("_l"))
     n_all = F.size("_l")
     opens = strip_ws(F.element_at("_l", 1)) == "---"
     close_rel = F.array_position(F.slice("_l", 2, F.greatest(n_all - 1, F.lit(1))), "---")
@@ -123,16 +122,16 @@ def sections(notes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def tags(notes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``#word`` tags of the whole note (NULL when none)."""
-    return spread(notes).select(id_col, hashtags(text_col).alias("tags"))
+    return notes.select(id_col, hashtags(text_col).alias("tags"))
 
 
 def links(notes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``[[...]]`` links of the whole note (NULL when none)."""
-    return spread(notes).select(id_col, wiki_links(text_col).alias("links"))
+    return notes.select(id_col, wiki_links(text_col).alias("links"))
 
 
 def squeeze(notes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return spread(notes).select(id_col, squeeze_blank_lines(text_col).alias("text"))
+    return notes.select(id_col, squeeze_blank_lines(text_col).alias("text"))
 
 
 def render(meta_long: DataFrame, secs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.amounts import MONEY
+from ..operators.partitioning import spread
 from ..sources.tables import read_table  # noqa: F401  (re-exported)
 
 
@@ -284,7 +285,8 @@ def invoice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation to the ordering customer.  Customers with a negative balance
     are foreign takers (NIF and a foreign address); orders with status P
     have a nil incidence code; orders with status O carry no tax share."""
-    o = read_table(spark, sf_dir, "orders").select(
+    # XML building and parsing are CPU heavy: spread a single-split scan
+    o = spread(read_table(spark, sf_dir, "orders")).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
@@ -477,7 +479,8 @@ def note_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text``: front matter (title, lang, source, tags, related
     list, empty key), a head line with a ``#lang`` tag, three blank lines,
     the whole document text as body, and a tail with a ``[[ref]]`` link."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    # whole-text regexes and line arrays are CPU heavy: spread a single-split scan
+    d = spread(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source")
     i = F.col("doc_id").cast("string")
     text = F.concat(F.concat_ws(
         "\n", F.lit("---"), F.concat(F.lit('title: "Doc '), i, F.lit('"')),
