@@ -47,14 +47,19 @@ def filter_category(df: DataFrame, category: str | None) -> tuple[DataFrame, str
 
 def _flow_sums(df: DataFrame, keys: list[str]) -> DataFrame:
     """Per (keys, Ano, Mes): inflow / outflow sums and counts (one aggregate,
-    partial + final).  ``count`` skips NULL values like pandas does."""
-    is_in = F.col("Flow") == "In"
-    return df.groupBy(*keys, "Ano", "Mes").agg(
+    partial + final).  ``count`` skips NULL values like pandas does.
+
+    The grouping key is the integer (year, month); the ``yyyy-MM`` text is
+    formatted on the aggregated rows only, not once per transaction."""
+    is_in = F.col("Valor") >= 0          # the Flow rule; NULL counts as Out
+    is_out = ~F.coalesce(is_in, F.lit(False))
+    sums = df.groupBy(*keys, F.year("Data").alias("Ano"), F.month("Data").alias("_mm")).agg(
         F.sum(F.when(is_in, F.col("Valor"))).alias("Entradas"),
         F.count(F.when(is_in, F.col("Valor"))).alias("Entradas_N"),
-        F.sum(F.when(~is_in, F.col("Valor"))).alias("Saidas"),
-        F.count(F.when(~is_in, F.col("Valor"))).alias("Saidas_N"),
+        F.sum(F.when(is_out, F.col("Valor"))).alias("Saidas"),
+        F.count(F.when(is_out, F.col("Valor"))).alias("Saidas_N"),
     )
+    return sums.withColumn("Mes", month_key_from_parts("Ano", "_mm")).drop("_mm")
 
 
 def densify_months(sums: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -102,7 +107,6 @@ def monthly_summary(df: DataFrame, category: str | None = None,
         label = None
     else:
         df, label = filter_category(df, category)
-    df = classify_flows(enrich_time_index(df))
     sums = _flow_sums(df, keys).filter(F.col("Ano").isNotNull())
     dense = densify_months(sums, keys, ["Entradas", "Entradas_N", "Saidas", "Saidas_N"])
     w = (Window.partitionBy(*keys, "Ano").orderBy("Mes")

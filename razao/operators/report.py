@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import round_half_even
 from ..functions.dates import month_key_from_parts
-from .cashflow import classify_flows, enrich_time_index
+from .cashflow import classify_flows
 
 MAX_PIVOT_CATEGORIES = 1000
 
@@ -37,8 +37,8 @@ def opening_balances(cash_flow: DataFrame) -> DataFrame:
     ``Value``): the balance table a statement archive would hold, derived
     here from the cash flow itself (one aggregate, then a window over one
     row per year)."""
-    net = (enrich_time_index(cash_flow).filter(F.col("Ano").isNotNull())
-           .groupBy("Ano").agg(F.sum("Valor").alias("net")))
+    net = (cash_flow.filter(F.col("Data").isNotNull())
+           .groupBy(F.year("Data").alias("Ano")).agg(F.sum("Valor").alias("net")))
     w = Window.orderBy("Ano").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast(net.schema["net"].dataType)
     return net.select(F.col("Ano").alias("Year"),
@@ -46,8 +46,12 @@ def opening_balances(cash_flow: DataFrame) -> DataFrame:
 
 
 def _long_flows(df_year: DataFrame) -> DataFrame:
-    df = classify_flows(enrich_time_index(df_year))
-    return df.groupBy("Mes", "Flow", "Categoria").agg(F.sum("Valor").alias("v"))
+    """(Mes, Flow, Categoria) -> sum, grouped on the integer month; the
+    ``yyyy-MM`` text is formatted on the aggregated rows."""
+    df = classify_flows(df_year)
+    g = df.groupBy(F.year("Data").alias("_y"), F.month("Data").alias("_mm"), "Flow", "Categoria") \
+        .agg(F.sum("Valor").alias("v"))
+    return g.select(month_key_from_parts("_y", "_mm").alias("Mes"), "Flow", "Categoria", "v")
 
 
 def _category_columns(long: DataFrame, max_categories: int) -> list[tuple[str, str, str]]:
