@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 BASE_COLUMNS = ["RecId", "RecTable", "RecTimestamp", "RecStatus"]
 ID_PREFIX = "Rec"
 ID_DIGITS = 4
@@ -63,6 +65,7 @@ def consecutive_index(df: DataFrame, order_cols: list[str], start: int | Column
     order key should be unique for reproducible ids.
     """
     n = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ensure_checkpoint_dir(df.sparkSession)
     tagged = (df.repartitionByRange(int(n), *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id())

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import round_half_even
+from ..session import ensure_checkpoint_dir
 from ..functions.dates import month_key_from_parts
 from .cashflow import classify_flows
 
@@ -80,6 +81,7 @@ def cashflow_panel(cash_flow: DataFrame, year: int, opening=None,
     ``opening`` is a number, or a DataFrame ``(Year, Value)`` joined by year
     (broadcast: one row per year); None means 0.
     """
+    ensure_checkpoint_dir(cash_flow.sparkSession)
     long = _long_flows(year_filter(cash_flow, year)).checkpoint(eager=True)
     cols = _category_columns(long, max_categories)
     cal = F.explode(F.sequence(F.lit(1), F.lit(12))).alias("_mm")

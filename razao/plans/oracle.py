@@ -615,6 +615,21 @@ FROM refs"""
     }
 
 
+
+def roundtrip_sql() -> dict[str, str]:
+    from .views import CF_SQL
+
+    cf = cashflow_sql()
+    return {
+        "cf_file_pipeline": cf["cf_monthly"],
+        "t0_csv_scan": statements_sql()["t0_standardize"],
+        "report_panel_files": report_sql()["report_panel"],
+        "dataset_bootfile": (f"WITH {CF_SQL.strip()}\nSELECT 'CashFlow' AS id, 'CashFlow' AS name, 'Cw' AS alias, "
+                             "CAST(count(*) AS VARCHAR) AS size, strftime(min(Data), '%Y-%m-%d %H:%M:%S') AS start, "
+                             "strftime(max(Data), '%Y-%m-%d %H:%M:%S') AS \"end\" FROM cf"),
+    }
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(cashflow_sql())
@@ -626,4 +641,5 @@ def all_sql() -> dict[str, str]:
     out.update(cdb_sql())
     out.update(notes_sql())
     out.update(files_io_sql())
+    out.update(roundtrip_sql())
     return out

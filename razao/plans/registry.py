@@ -679,3 +679,64 @@ QUERIES.update({
     "cf_consolidated": cf_consolidated,
     "t0_incremental": t0_incremental,
 })
+
+
+def cf_file_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch tool end to end: daily cash flow written per year as ';'
+    CSV, read back with a typed schema, monthly summary."""
+    root = _scratch(spark, "cashflow_files")
+    daily = cfo.priority_order(views.cash_flow(spark, sf_dir, with_category=False))
+    wr.write_table_csv(daily.withColumn("Ano", F.year("Data")), f"{root}/diario", partition_by=["Ano"])
+    back = csvs.read_table_csv(
+        spark, f"{root}/diario",
+        schema="Data timestamp_ntz, Categoria string, Valor decimal(18,2), Descricao string, Ano int",
+        columns=["Data", "Categoria", "Valor", "Descricao"])
+    return cfo.monthly_summary(back)
+
+
+def t0_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw statements written as ',' CSV files (one folder per month),
+    scanned back as text (cp1252 rules) and standardised."""
+    root = _scratch(spark, "t0_csv")
+    raw = views.statement_personal(spark, sf_dir).withColumn(
+        "Mes", F.concat(F.substring("Data", 7, 4), F.lit("-"), F.substring("Data", 4, 2)))
+    raw.write.partitionBy("Mes").option("header", True).option("encoding", "ISO-8859-1") \
+        .option("quoteAll", True).csv(f"{root}/t0")
+    back = csvs.read_raw_statement(spark, f"{root}/t0", columns=inc.RAW_COLUMNS["bb-cc"])
+    t1 = stm.standardize(back, "bb-cc")
+    return t1.withColumn("Valor", F.col("Valor").cast("double"))
+
+
+def report_panel_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report panel with the opening balances read from a ';' balances file."""
+    path = _scratch(spark, "saldos")
+    opening = rpt.opening_balances(views.cash_flow(spark, sf_dir, with_category=False))
+    wr.write_table_csv(opening, path)
+    saldos = csvs.read_table_csv(spark, path, schema=csvs.BALANCES_SCHEMA)
+    return rpt.cashflow_panel(views.cash_flow(spark, sf_dir), REPORT_YEAR, opening=saldos)
+
+
+def dataset_bootfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dataset export with its metadata boot file, read back as one record
+    restricted to the expected fields."""
+    root = _scratch(spark, "dataset")
+    data = views.cash_flow(spark, sf_dir, with_category=False)
+    fields = [("name", F.lit("CashFlow")), ("alias", cat.alias_of(F.lit("CashFlow"))),
+              ("size", F.col("size").cast("string")), ("start", F.col("start").cast("string")),
+              ("end", F.col("end").cast("string")), ("source", F.lit("lineitem"))]
+    meta = data.agg(F.count(F.lit(1)).alias("size"), F.min("Data").alias("start"),
+                    F.max("Data").alias("end")).select(F.explode(F.array(*[
+                        F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in fields])).alias("m")) \
+        .select("m.field", "m.value")
+    data_path, meta_path = wr.export_dataset(data, meta, root, "cashflow", suffix="bootfile")
+    kv = csvs.read_key_values(spark, meta_path).withColumn("id", F.lit("CashFlow")) \
+        .withColumn("seq", F.monotonically_increasing_id())
+    return kvo.pivot_fields(kv, "id", "field", "value", "seq", ["name", "alias", "size", "start", "end"])
+
+
+QUERIES.update({
+    "cf_file_pipeline": cf_file_pipeline,
+    "t0_csv_scan": t0_csv_scan,
+    "report_panel_files": report_panel_files,
+    "dataset_bootfile": dataset_bootfile,
+})
