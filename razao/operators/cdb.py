@@ -18,19 +18,22 @@ orders the lines of a file).  The layout rules:
   quarantined);
 * fields are whitespace-separated, dates ``dd/mm`` take the statement year.
 
-Labels are forward fills (``last(..., ignorenulls)``) over windows of one
-file: a statement file is one document and one task reads it whole anyway.
-Pairing is an aggregate over (file, account, pair index) with two rows each.
+Labels come from a small per-file array of layout markers; section ranks
+are chunked scans (``operators.windows``), so a very long statement is not
+processed by one task.  Pairing is an aggregate over (file, account, pair
+index) with two rows each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import br_number
 from ..functions.dates import br_date, day_month_in_year
 from ..functions.text import clean_line, fields, is_blank
+from ..session import ensure_checkpoint_dir
+from .windows import DEFAULT_WIDTH, chunked_rank
 
 # Fixed values of the statement layout (same as the reference).
 ACCOUNTS = {"BB CDB DI": "CDBDI", "BB CDB PROGRESSIVO": "CDBPG"}
@@ -58,32 +61,53 @@ def _first_match(line: Column, mapping: dict[str, str]) -> Column:
     return out
 
 
-def labelled_lines(lines: DataFrame) -> DataFrame:
-    """Clean lines labelled with ``year``, ``account``, ``section`` and
-    ``rn`` (rank inside the section, EXTRATO skip lines removed)."""
-    year = F.regexp_extract("line", r"Período:\s*\d{1,2}/\d{1,2}/(\d{4})", 1)
-    per_file = Window.partitionBy("file")
-    ordered = per_file.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def labelled_lines(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Clean lines labelled with ``year``, ``account``, ``section``, ``rn``
+    (rank inside the section, EXTRATO skip lines removed) and ``n_lines``.
+
+    Layout markers (the period line, account headers, section titles) are a
+    handful per statement: they are aggregated into one sorted array per
+    file and joined back on ``file``, and each line takes the last account
+    marker before it and the last section title between that header and
+    itself.  The labelled lines are checkpointed once; the rank inside a
+    section is a chunked scan (``operators.windows``) over them, so a very
+    long statement is never one task.
+    """
+    year = F.nullif(F.regexp_extract("line", r"Período:\s*\d{1,2}/\d{1,2}/(\d{4})", 1), F.lit(""))
     x = lines.select("file", "pos", clean_line("line").alias("line"))
-    x = x.withColumn("year", F.max(F.nullif(year, F.lit("")).cast("int")).over(per_file))
     noise = F.lit(False)
     for n in NOISE:
         noise = noise | F.col("line").contains(n)
-    x = x.filter(~noise & ~is_blank("line"))
-    x = x.withColumn("account", F.last(_first_match(F.col("line"), ACCOUNTS), ignorenulls=True).over(ordered))
-    x = x.filter(F.col("account").isNotNull())
-    in_account = Window.partitionBy("file", "account").orderBy("pos") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("section", F.coalesce(
-        F.last(_first_match(F.col("line"), SECTION_TITLES), ignorenulls=True).over(in_account),
-        F.lit("EXTRATO")))
+    acc = _first_match(F.col("line"), ACCOUNTS)
+    sec = _first_match(F.col("line"), SECTION_TITLES)
+    kind = F.when(acc.isNotNull(), F.lit("A")).when(sec.isNotNull(), F.lit("S"))
+    # the period line may itself be noise; it is looked up before filtering
+    marks = x.select("file", F.struct(
+        F.col("pos").alias("p"),
+        F.when(year.isNotNull(), F.lit("Y")).when(~noise & ~is_blank("line"), kind).alias("k"),
+        F.coalesce(year, acc, sec).alias("v")).alias("m")).filter(F.col("m.k").isNotNull())
+    per_file = marks.groupBy("file").agg(F.array_sort(F.collect_list("m")).alias("_marks"))
+    x = x.filter(~noise & ~is_blank("line")).join(per_file, "file", "left")
+    pos = F.col("pos")
+    marks_col = F.coalesce(F.col("_marks"), F.array().cast("array<struct<p:bigint,k:string,v:string>>"))
+    last_acc = F.try_element_at(F.filter(marks_col, lambda m: (m["k"] == "A") & (m["p"] <= pos)), F.lit(-1))
+    x = x.withColumns({
+        "year": F.try_element_at(F.filter(marks_col, lambda m: m["k"] == "Y"), F.lit(1))["v"].cast("int"),
+        "account": last_acc["v"],
+        "_acc_pos": last_acc["p"],
+    }).filter(F.col("account").isNotNull())
+    last_sec = F.try_element_at(F.filter(marks_col, lambda m: (m["k"] == "S") & (m["p"] >= F.col("_acc_pos"))
+                                         & (m["p"] <= pos)), F.lit(-1))
+    x = x.withColumn("section", F.coalesce(last_sec["v"], F.lit("EXTRATO"))).drop("_marks", "_acc_pos")
     skip = F.lit(False)
     for s in EXTRATO_SKIP:
         skip = skip | F.col("line").contains(s)
     x = x.filter(~((F.col("section") == "EXTRATO") & skip))
-    in_section = Window.partitionBy("file", "account", "section").orderBy("pos")
-    return x.withColumns({"rn": F.row_number().over(in_section),
-                          "n_lines": F.count(F.lit(1)).over(Window.partitionBy("file", "account", "section"))})
+    # the ranked scan reads the labelled lines twice (rows, chunk sizes):
+    # cut the lineage once instead of re-deriving them per branch
+    ensure_checkpoint_dir(x.sparkSession)
+    x = x.checkpoint(eager=True)
+    return chunked_rank(x, ["file", "account", "section"], "pos", "rn", width, total_col="n_lines")
 
 
 def _records(df: DataFrame, section: str) -> DataFrame:
@@ -115,9 +139,9 @@ def extrato_records(lab: DataFrame) -> DataFrame:
                         (F.size("_parts") < 2).alias("_unpaired"))
 
 
-def parse(lines: DataFrame) -> dict[str, DataFrame]:
+def parse(lines: DataFrame, width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
     """The four sections as typed tables (plus ``quarantine``)."""
-    lab = labelled_lines(lines)
+    lab = labelled_lines(lines, width)
     ext = extrato_records(lab)
     e = _positional(ext.filter(~F.col("_unpaired")), HEADERS["EXTRATO"])
     extrato = e.select(

@@ -59,3 +59,14 @@ def test_unpaired_line_is_quarantined(spark):
     out = cdb.parse(cdb.statement_lines(spark.createDataFrame([("t.txt", text)], "file_data string, text string")))
     assert out["EXTRATO"].count() == 1
     assert [r.section for r in out["quarantine"].collect()] == ["EXTRATO"]
+
+
+def test_chunked_scans_match_plain_windows(spark):
+    """Chunk widths smaller than a section give the same labels and ranks."""
+    lines = cdb.statement_lines(spark.createDataFrame([("s.txt", TEXT)], "file_data string, text string"))
+    base = {r.pos: (r.account, r.section, r.rn, r.n_lines) for r in cdb.labelled_lines(lines).collect()}
+    for width in (1, 2, 3, 7):
+        got = {r.pos: (r.account, r.section, r.rn, r.n_lines) for r in cdb.labelled_lines(lines, width).collect()}
+        assert got == base
+    ext = cdb.parse(lines, width=2)["EXTRATO"].count()
+    assert ext == 2
