@@ -112,7 +112,6 @@ def labelled_lines(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
 
 def _records(df: DataFrame, section: str) -> DataFrame:
     """Body rows of a non-EXTRATO section: fields by position."""
-    names = HEADERS[section]
     body = df.filter((F.col("section") == section) & (F.col("rn") >= 3))
     f = fields("line")
     return body.select("file", "account", "year", "pos", f.alias("_f"))
