@@ -3,15 +3,14 @@
 Signed values, effective-budget filter, totals, summaries by status /
 contract / tags / type, tag token counts, the automatic status update, the
 column-formula registry and the recurrence expansion of an annual budget.
-Summaries are aggregates (partial + final); no row ever travels to the
-driver.
+Summaries are aggregates (partial + final); no row travels to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the budget table layout (same as the reference).
@@ -61,20 +60,28 @@ def totals(df: DataFrame, filter_effective: bool = True) -> DataFrame:
                       ((rev + exp) <= 0).alias("Ascending"))
 
 
-def summary_by(df: DataFrame, key: str, filter_effective: bool = True,
-               ascending: bool | None = None) -> DataFrame:
+def summary_by(df: DataFrame, key: str, filter_effective: bool = True) -> DataFrame:
     """Sum of signed values per ``key`` (NULL keys dropped, as a pandas
-    group-by does), ordered by value: ascending when the net is <= 0.
+    group-by does), ordered by value: ascending when the budget's net
+    (revenue + expenses, NULL keys included) is <= 0.
 
-    The direction is one scalar of ``totals``; pass ``ascending`` to skip
-    computing it.
+    One pass: the per-key aggregate also carries the key's revenue and
+    expense sums, and a window over the (few) summary rows adds them up to
+    the net that decides the direction.
     """
     d = _scope(df, filter_effective)
-    out = (d.filter(F.col(key).isNotNull()).groupBy(key)
-           .agg(F.sum("Value_Signed").cast("double").alias("Value_Signed")))
-    if ascending is None:
-        ascending = bool(totals(df, filter_effective).first()["Ascending"])
-    return out.orderBy(F.col("Value_Signed").asc() if ascending else F.col("Value_Signed").desc())
+    vt = d.schema["Value_Signed"].dataType
+    zero = F.lit(0).cast(vt)
+    per_key = d.groupBy(key).agg(
+        F.sum("Value_Signed").alias("_v"),
+        F.coalesce(F.sum(F.when(F.col("Type") == "Revenue", F.col("Value_Signed"))), zero).alias("_r"),
+        F.coalesce(F.sum(F.when(F.col("Type") == "Expense", F.col("Value_Signed"))), zero).alias("_e"),
+    )
+    everything = Window.partitionBy()
+    net = F.bround(F.sum("_r").over(everything), 3) + F.bround(F.sum("_e").over(everything), 3)
+    out = per_key.withColumn("_asc", net <= 0).filter(F.col(key).isNotNull())
+    order = F.when(F.col("_asc"), F.col("_v")).otherwise(-F.col("_v"))
+    return out.orderBy(order).select(key, F.col("_v").cast("double").alias("Value_Signed"))
 
 
 def tag_tokens(df: DataFrame, filter_effective: bool = True) -> DataFrame:

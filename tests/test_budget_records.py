@@ -22,6 +22,7 @@ def test_totals_and_status(spark):
     assert (t.Total_Revenue, t.Total_Expenses, t.Total_Net, t.Ascending) == (100.0, -35.0, 65.0, False)
     s = {r.Status: r.Value_Signed for r in bdg.summary_by(golden(spark), "Status").collect()}
     assert s == {"Executed": 93.0, "Expected": -30.0}       # null group dropped, null status kept in totals
+    assert [r.Status for r in bdg.summary_by(golden(spark), "Status").collect()] == ["Executed", "Expected"]
     order = [r.measure for r in bdg.summary_by_type(golden(spark)).collect()]
     assert order == ["Total_Revenue", "Total_Net", "Total_Expenses"]   # descending: net > 0
 
