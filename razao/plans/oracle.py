@@ -630,6 +630,17 @@ def roundtrip_sql() -> dict[str, str]:
     }
 
 
+
+def consolidated_yearly_sql() -> dict[str, str]:
+    cf = "WITH " + CF_SQL.strip()
+    text = yearly_sql(monthly_sql(cf, False)) + "\n" + finish_sql("yearly", YEARLY_COLS)
+    # per-year outputs: the cumulative columns equal the year's own values
+    text = text.replace("sum(Entradas) OVER w AS Entradas_Acum, sum(Saidas) OVER w AS Saidas_Acum,\n"
+                        "         sum(Fluxo) OVER w AS Fluxo_Acum",
+                        "Entradas AS Entradas_Acum, Saidas AS Saidas_Acum,\n         Fluxo AS Fluxo_Acum")
+    return {"cf_consolidated_yearly": text}
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(cashflow_sql())
@@ -642,4 +653,5 @@ def all_sql() -> dict[str, str]:
     out.update(notes_sql())
     out.update(files_io_sql())
     out.update(roundtrip_sql())
+    out.update(consolidated_yearly_sql())
     return out

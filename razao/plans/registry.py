@@ -740,3 +740,13 @@ QUERIES.update({
     "report_panel_files": report_panel_files,
     "dataset_bootfile": dataset_bootfile,
 })
+
+
+def cf_consolidated_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consolidated yearly file of the batch tool: each year's summary is
+    computed on its own, so its cumulatives restart every year."""
+    monthly = cfo.monthly_summary(views.cash_flow(spark, sf_dir, with_category=False), rounded=False)
+    return cfo.yearly_summary(monthly, cumulative_across_years=False).orderBy("Ano")
+
+
+QUERIES["cf_consolidated_yearly"] = cf_consolidated_yearly
