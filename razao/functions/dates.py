@@ -50,7 +50,8 @@ def running_seconds(start: Column | str, as_of: str) -> Column:
     """Whole seconds between ``start`` and ``as_of`` (``now - start``)."""
     end = as_of_literal(as_of)
     s = _c(start).cast("timestamp_ntz")
-    return F.unix_seconds(F.to_utc_timestamp(end, "UTC")) - F.unix_seconds(F.to_utc_timestamp(s, "UTC"))
+    # wall-clock difference of zone-less timestamps: no session time zone
+    return F.timestamp_diff("SECOND", s, end)
 
 
 def age_years(start: Column | str, as_of: str) -> Column:

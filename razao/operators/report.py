@@ -11,8 +11,6 @@ input is scanned once); the panel, totals and summary are computed from it.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +25,10 @@ MAX_PIVOT_CATEGORIES = 1000
 def year_filter(df: DataFrame, year: int, date_col: str = "Data") -> DataFrame:
     """Rows of one calendar year, as a range on the date column so that the
     predicate reaches the Parquet scan."""
-    lo = _dt.datetime(year, 1, 1)
-    hi = _dt.datetime(year + 1, 1, 1)
+    lo = F.lit(f"{year:04d}-01-01 00:00:00").cast("timestamp_ntz")
+    hi = F.lit(f"{year + 1:04d}-01-01 00:00:00").cast("timestamp_ntz")
     c = F.col(date_col)
-    return df.filter((c >= F.lit(lo).cast("timestamp_ntz")) & (c < F.lit(hi).cast("timestamp_ntz")))
+    return df.filter((c >= lo) & (c < hi))
 
 
 def opening_balances(cash_flow: DataFrame) -> DataFrame:

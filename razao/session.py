@@ -14,7 +14,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Settings the library relies on; applied by ``local_session`` and checked by
-# ``ensure_conf`` for a caller-provided session.
+# ``ensure_conf`` for a caller-provided session.  The data are zone-less
+# (TIMESTAMP_NTZ), but ``date_format`` and friends pass them through the
+# session zone, where a daylight-saving gap (e.g. a Brazilian midnight in
+# October) moves 00:00 to 01:00; UTC has no such gaps.
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",

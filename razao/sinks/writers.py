@@ -19,8 +19,7 @@ def write_table_csv(df: DataFrame, path: str, partition_by: list[str] | None = N
     """``;`` CSV with header (UTF-8)."""
     w = df.write.mode(mode).option("header", True).option("sep", ";").option("encoding", "UTF-8")
     if partition_by:
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w = w.partitionBy(*partition_by)
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     w.csv(path)
     return path
 
@@ -29,8 +28,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
                   mode: str = "overwrite") -> str:
     w = df.write.mode(mode)
     if partition_by:
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w = w.partitionBy(*partition_by)
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     w.parquet(path)
     return path
 
