@@ -641,6 +641,20 @@ def consolidated_yearly_sql() -> dict[str, str]:
     return {"cf_consolidated_yearly": text}
 
 
+
+def record_fields_sql() -> dict[str, str]:
+    from .views import BUD_SQL
+
+    cols = ["RecId", "RecTable", "RecTimestamp", "RecStatus"] + BUDGET_DATA_COLUMNS
+    txt = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols)
+    return {"rec_export_fields": f"""WITH {BUD_SQL.strip()},
+sel AS (SELECT * FROM bud WHERE RecId IN (SELECT printf('Rec%04d', l_orderkey + 1) FROM lineitem
+                                          WHERE l_returnflag = 'R' AND l_linestatus = 'F'))
+SELECT _id AS RecId, Field, nullif(Value, '') AS Value
+FROM (SELECT RecId AS _id, {txt} FROM sel)
+UNPIVOT INCLUDE NULLS (Value FOR Field IN ({', '.join(cols)}))"""}
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(cashflow_sql())
@@ -654,4 +668,5 @@ def all_sql() -> dict[str, str]:
     out.update(files_io_sql())
     out.update(roundtrip_sql())
     out.update(consolidated_yearly_sql())
+    out.update(record_fields_sql())
     return out

@@ -750,3 +750,13 @@ def cf_consolidated_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["cf_consolidated_yearly"] = cf_consolidated_yearly
+
+
+def rec_export_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the lookup set exported in Field;Value form and read back."""
+    path = _scratch(spark, "record_fields")
+    wr.export_record_fields(rec.vertical(rec_lookup(spark, sf_dir)), path)
+    return csvs.read_table_csv(spark, path, schema="RecId string, Field string, Value string")
+
+
+QUERIES["rec_export_fields"] = rec_export_fields

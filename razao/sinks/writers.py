@@ -58,8 +58,10 @@ def export_records(table: DataFrame, path: str, data_columns: list[str],
 
 
 def export_record_fields(vertical: DataFrame, path: str) -> str:
-    """Single records in ``Field;Value`` form (one folder of files)."""
-    return write_table_csv(vertical.select("RecId", "Field", "Value"), path, partition_by=["RecId"])
+    """Records in ``Field;Value`` form.  The batch tool writes one small file
+    per record; here all requested records go to one ``RecId;Field;Value``
+    table (a file per record would be millions of tiny files)."""
+    return write_table_csv(vertical.select("RecId", "Field", "Value"), path)
 
 
 def write_text(df: DataFrame, text_col: str, path: str) -> str:
