@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+# Fixed values of the record-table layout (same as the reference; the stamp
+# format without the reference's stray "0" after the month).
 BASE_COLUMNS = ["RecId", "RecTable", "RecTimestamp", "RecStatus"]
 ID_PREFIX = "Rec"
 ID_DIGITS = 4
