@@ -10,7 +10,7 @@ links and squeezing are regular expressions.  No Python UDF.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hashtags, squeeze_blank_lines, strip_ws, wiki_links
@@ -31,45 +31,53 @@ def front_matter_long(notes: DataFrame, id_col: str = "doc_id", text_col: str =
     when empty; scalar values are one-element arrays, ``tags`` splits on
     ``-``, outer double quotes of a scalar are removed; ``key_pos`` is the
     line of the key's first appearance (the key order of the note).  Notes
-    without front matter have no rows."""
+    without front matter have no rows.
+
+    The front matter of a note lives in that note's row: it is parsed with
+    array functions inside the row (no shuffle).  Keys keep their last
+    assignment; list items belong to the last key opened with an empty
+    value."""
     has = F.col(text_col).rlike(FRONT_MATTER)
     fm = notes.filter(has).select(id_col, F.regexp_extract(text_col, FRONT_MATTER, 1).alias("_fm"))
-    lines = fm.select(id_col, F.posexplode(F.split("_fm", "\n")).alias("pos", "line")) \
-        .filter(strip_ws("line") != "")
-    is_key = F.col("line").contains(":")
-    key = strip_ws(F.substring_index("line", ":", 1))
-    value = strip_ws(F.expr("substr(line, instr(line, ':') + 1)"))
-    lines = lines.withColumns({
-        "_is_key": is_key,
-        "_key": F.when(is_key, key),
-        "_value": F.when(is_key, value),
-    })
-    lines = lines.withColumn("_opens", F.col("_is_key") & (F.col("_value") == ""))
-    owner = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("_owner", F.last(F.when(F.col("_opens"), F.col("pos")), ignorenulls=True).over(owner))
-    items = (lines.filter(~F.col("_is_key") & F.col("_owner").isNotNull() & strip_ws("line").startswith("-"))
-             .select(id_col, F.col("_owner").alias("pos"),
-                     F.struct(F.col("pos").alias("p"),
-                              strip_ws(F.substring(strip_ws("line"), 2, 1 << 30)).alias("v")).alias("_item"))
-             .groupBy(id_col, "pos").agg(F.collect_list("_item").alias("_items")))
-    keys = (lines.filter("_is_key")
-            .groupBy(id_col, "_key").agg(F.max_by(F.struct("pos", "_value", "_opens"), "pos").alias("_last"),
-                                         F.min("pos").alias("key_pos"))
-            .select(id_col, F.col("_key").alias("key"), F.col("_last.pos").alias("pos"), "key_pos",
-                    F.col("_last._value").alias("_value"), F.col("_last._opens").alias("_opens")))
-    joined = keys.join(items, [id_col, "pos"], "left")
-    listed = F.transform(F.array_sort(F.coalesce("_items", F.array().cast("array<struct<p:int,v:string>>"))),
-                         lambda s: s["v"])
-    tags = F.filter(F.transform(F.split("_value", "-"), lambda v: strip_ws(v)), lambda v: v != "")
-    v = F.col("_value")
+
+    def parsed(line, i):
+        key = strip_ws(F.substring_index(line, ":", 1))
+        value = strip_ws(F.substring(line, F.instr(line, ":") + 1, 1 << 30))
+        is_key = line.contains(":")
+        return F.struct(
+            i.alias("i"), (strip_ws(line) == "").alias("blank"), is_key.alias("is_key"),
+            F.when(is_key, key).alias("key"), F.when(is_key, value).alias("value"),
+            (is_key & (value == "")).alias("opens"),
+            (~is_key & strip_ws(line).startswith("-")).alias("is_item"),
+            strip_ws(F.substring(strip_ws(line), 2, 1 << 30)).alias("item"))
+
+    # one parsed struct per line, materialised once (generator barrier)
+    x = fm.select(id_col, F.explode(F.array(F.transform(F.split("_fm", "\n"), parsed))).alias("_L"))
+    x = x.withColumn("_L", F.filter("_L", lambda r: ~r["blank"]))
+    opens_at = F.transform(F.filter("_L", lambda r: r["opens"]), lambda r: r["i"])
+    # owner of an item: the last list-opening key before it
+    items = F.transform(F.filter("_L", lambda r: r["is_item"]), lambda r: F.struct(
+        F.array_max(F.filter(opens_at, lambda j: j < r["i"])).alias("owner"), r["i"].alias("i"),
+        r["item"].alias("item")))
+    x = x.withColumns({"_items": items})
+    keys = F.filter("_L", lambda r: r["is_key"])
+    # the last assignment of each key, with the key's first position
+    finals = F.filter(keys, lambda r: ~F.exists(keys, lambda o: (o["key"] == r["key"]) & (o["i"] > r["i"])))
+    entries = F.transform(finals, lambda r: F.struct(
+        r["key"].alias("key"), r["i"].alias("i"), r["value"].alias("value"), r["opens"].alias("opens"),
+        F.array_min(F.transform(F.filter(keys, lambda o: o["key"] == r["key"]), lambda o: o["i"])).alias("key_pos"),
+        F.transform(F.filter("_items", lambda it: it["owner"] == r["i"]), lambda it: it["item"]).alias("listed")))
+    e = x.select(id_col, F.explode(entries).alias("e")).select(id_col, "e.*")
+    tags = F.filter(F.transform(F.split("value", "-"), lambda v: strip_ws(v)), lambda v: v != "")
+    v = F.col("value")
     quoted = (F.length(v) >= 1) & v.startswith('"') & v.endswith('"')
-    scalar = F.array(F.when(quoted, F.expr("substr(_value, 2, length(_value) - 2)")).otherwise(v))
-    value_arr = (F.when(F.col("_opens"), listed)
+    scalar = F.array(F.when(quoted, F.expr("substr(value, 2, length(value) - 2)")).otherwise(v))
+    value_arr = (F.when(F.col("opens"), F.col("listed"))
                  .when(F.col("key") == "tags", tags)
                  .otherwise(scalar))
-    is_list = F.col("_opens") | (F.col("key") == "tags")
-    return joined.select(id_col, "key", F.when(F.size(value_arr) > 0, value_arr).alias("value"),
-                         is_list.alias("is_list"), "key_pos")
+    is_list = F.col("opens") | (F.col("key") == "tags")
+    return e.select(id_col, "key", F.when(F.size(value_arr) > 0, value_arr).alias("value"),
+                    is_list.alias("is_list"), "key_pos")
 
 
 def front_matter(notes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,3 +42,13 @@ def test_render_roundtrip(spark):
     assert "head #ação\n\n---\n\nbody [[link]]\n\n---\n\ntail\n\n---\n" in text
     again = notes.front_matter_long(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert {r.key: r.value for r in again.collect()}["related"] == ["x", "y"]
+
+
+def test_front_matter_ownership_and_reassignment(spark):
+    text = "\n".join(["---", "a:", " - x", "b: 1", " - y", "a: again", "c:", "", " - z", "---", "body", ""])
+    m = {r.key: r for r in notes.front_matter_long(df(spark, text)).collect()}
+    # items after a scalar key still belong to the last opened list; a later
+    # scalar assignment of a list key wins
+    assert m["a"].value == ["again"] and not m["a"].is_list and m["a"].key_pos == 0
+    assert m["b"].value == ["1"]
+    assert m["c"].value == ["z"] and m["c"].is_list
