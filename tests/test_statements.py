@@ -60,3 +60,25 @@ def test_currency_text(spark):
     df = spark.createDataFrame([(1234.5,), (-0.5,), (12345678901.0,)], "v double")
     out = [r.t for r in df.select(amt.currency_text("v").alias("t")).collect()]
     assert out == ["   1,234.50 +", "       0.50 -", "12,345,678,901.00 +"]
+
+
+def test_raw_statement_cp1252_file(spark):
+    import os
+    import tempfile
+
+    from razao.sources.csv import read_raw_statement
+
+    folder = tempfile.mkdtemp(prefix="razao-t0-")
+    text = ('"Data","Lançamento","Detalhes","N° documento","Valor"\n'
+            '"03/11/2025","Pix – Recebido","Fulano","101","5.000,00"\n'
+            '"04/11/2025","Compra “loja”","","102","-403,00"\n'
+            '"04/11/2025","Saldo do dia","",,"5.597,00"\n')
+    with open(os.path.join(folder, "EXTRATO_BB_CC_2025-11_T0.csv"), "wb") as fh:
+        fh.write(text.encode("cp1252"))
+    raw = read_raw_statement(spark, folder)
+    rows = raw.orderBy("N° documento").collect()
+    assert [r["Lançamento"] for r in rows] == ["Saldo do dia", "Pix – Recebido", "Compra “loja”"]
+    assert rows[0]["N° documento"] == "" and rows[2]["Detalhes"] == ""     # empty cells stay ''
+    out = stm.standardize(raw, "bb-cc").orderBy("Documento").collect()
+    assert [(r.Lancamento, r.Valor) for r in out] == [("Pix – Recebido", Decimal("5000.0000")),
+                                                      ("Compra “loja”", Decimal("-403.0000"))]
