@@ -3,10 +3,11 @@ flow, running account balance from an opening-balance table, and the yearly
 summary by category.
 
 Plan shape: the year's transactions are filtered (pushed to the scan) and
-aggregated once into a long table ``(Mes, Flow, Categoria) -> sum, count``
-whose size is bounded by 12 x 2 x categories.  That table is checkpointed to
-the shared checkpoint folder (category discovery and the panel read it, the
-input is scanned once); the panel, totals and summary are computed from it.
+aggregated once into a long table ``(Mes, Flow, Categoria) -> sum`` whose
+size is bounded by 12 x 2 x categories.  For the panel that table is
+checkpointed to the shared checkpoint folder (category discovery and the
+panel both read it; the input is scanned once).  The summary is one
+aggregate per (flow, category) plus windows over those rows.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import round_half_even
-from ..session import ensure_checkpoint_dir
 from ..functions.dates import month_key_from_parts
+from ..session import ensure_checkpoint_dir
 from .cashflow import classify_flows
 
 MAX_PIVOT_CATEGORIES = 1000
@@ -53,6 +54,14 @@ def _long_flows(df_year: DataFrame) -> DataFrame:
     return g.select(month_key_from_parts("_y", "_mm").alias("Mes"), "Flow", "Categoria", "v")
 
 
+def cashflow_long(cash_flow: DataFrame, year: int) -> DataFrame:
+    """The panel in long form, ``Mes, Flow, Categoria, Valor`` (one row per
+    month, flow and category with movements): the shape to use when there
+    are too many categories for one column each."""
+    return _long_flows(year_filter(cash_flow, year)).withColumn("v", F.col("v").cast("double")) \
+        .withColumnRenamed("v", "Valor")
+
+
 def _category_columns(long: DataFrame, max_categories: int) -> list[tuple[str, str, str]]:
     """(flow, category, column name); a category present in both flows gets
     ``__In`` / ``__Out`` suffixes so the two columns do not clash."""
@@ -61,7 +70,7 @@ def _category_columns(long: DataFrame, max_categories: int) -> list[tuple[str, s
             .orderBy("Flow", "Categoria").limit(max_categories + 1).collect())
     if len(rows) > max_categories:
         raise ValueError(
-            f"more than {max_categories} category columns; use report_long() instead")
+            f"more than {max_categories} category columns; use cashflow_long() instead")
     pairs = [(r["Flow"], r["Categoria"]) for r in rows]
     ins = {c for f, c in pairs if f == "In"}
     outs = {c for f, c in pairs if f == "Out"}
