@@ -6,11 +6,30 @@ an oracle SQL text in ``oracle`` under the same name.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import amounts as amt
+from ..functions import dates as dts
+from ..operators import budget as bdg
 from ..operators import cashflow as cfo
+from ..operators import catalog as cat
+from ..operators import cdb as cdbo
+from ..operators import files as fls
+from ..operators import invoices as nfs
+from ..operators import keyvalue as kvo
+from ..operators import notes as nts
+from ..operators import records as rec
+from ..operators import report as rpt
+from ..operators import statements as stm
+from ..operators import tax as taxo
+from ..session import scratch_path
+from ..sinks import writers as wr
+from ..sources import csv as csvs
+from ..streaming import incremental as inc
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +64,6 @@ QUERIES: dict[str, Query] = {
 # --------------------------------------------------------------------------
 # report: panel, summary, opening balances
 # --------------------------------------------------------------------------
-from ..operators import report as rpt  # noqa: E402
 
 REPORT_YEAR = 1998
 
@@ -74,10 +92,6 @@ QUERIES.update({
 # --------------------------------------------------------------------------
 # statements: raw -> canonical, drops, amounts, currency text
 # --------------------------------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
-
-from ..functions import amounts as amt  # noqa: E402
-from ..operators import statements as stm  # noqa: E402
 
 
 def _canonical_out(df: DataFrame) -> DataFrame:
@@ -143,9 +157,6 @@ QUERIES.update({
 # --------------------------------------------------------------------------
 # budget and record tables
 # --------------------------------------------------------------------------
-from ..functions import dates as dts  # noqa: E402
-from ..operators import budget as bdg  # noqa: E402
-from ..operators import records as rec  # noqa: E402
 
 AS_OF = "1998-06-30 00:00:00"          # fixed "now" of clock-reading operators
 STAMP_AS_OF = "2025-01-01 00:00:00"    # fixed audit stamp of record edits
@@ -324,8 +335,6 @@ QUERIES.update({
 # --------------------------------------------------------------------------
 # catalog, tax
 # --------------------------------------------------------------------------
-from ..operators import catalog as cat  # noqa: E402
-from ..operators import tax as taxo  # noqa: E402
 
 
 def _catalog(spark, sf_dir):
@@ -413,7 +422,6 @@ QUERIES.update({
 # --------------------------------------------------------------------------
 # invoices
 # --------------------------------------------------------------------------
-from ..operators import invoices as nfs  # noqa: E402
 
 
 def _invoices(spark, sf_dir):
@@ -460,7 +468,6 @@ QUERIES.update({
 # --------------------------------------------------------------------------
 # CDB text statements
 # --------------------------------------------------------------------------
-from ..operators import cdb as cdbo  # noqa: E402
 
 
 def _cdb(spark, sf_dir):
@@ -502,7 +509,6 @@ QUERIES.update({
 # --------------------------------------------------------------------------
 # notes
 # --------------------------------------------------------------------------
-from ..operators import notes as nts  # noqa: E402
 
 
 def note_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,14 +549,6 @@ QUERIES.update({
 # --------------------------------------------------------------------------
 # files, sources and sinks, incremental processing, consolidated outputs
 # --------------------------------------------------------------------------
-import uuid  # noqa: E402
-
-from ..operators import files as fls  # noqa: E402
-from ..operators import keyvalue as kvo  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sinks import writers as wr  # noqa: E402
-from ..sources import csv as csvs  # noqa: E402
-from ..streaming import incremental as inc  # noqa: E402
 
 
 def _scratch(spark, name):
