@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the budget table layout (same as the reference).
@@ -65,9 +65,9 @@ def summary_by(df: DataFrame, key: str, filter_effective: bool = True) -> DataFr
     group-by does), ordered by value: ascending when the budget's net
     (revenue + expenses, NULL keys included) is <= 0.
 
-    One pass: the per-key aggregate also carries the key's revenue and
-    expense sums, and a window over the (few) summary rows adds them up to
-    the net that decides the direction.
+    One aggregate per key also carries the key's revenue and expense sums;
+    the net is a scalar subquery over those aggregated rows (its exchange is
+    reused), so no window gathers all keys into one task.
     """
     d = _scope(df, filter_effective)
     vt = d.schema["Value_Signed"].dataType
@@ -77,11 +77,11 @@ def summary_by(df: DataFrame, key: str, filter_effective: bool = True) -> DataFr
         F.coalesce(F.sum(F.when(F.col("Type") == "Revenue", F.col("Value_Signed"))), zero).alias("_r"),
         F.coalesce(F.sum(F.when(F.col("Type") == "Expense", F.col("Value_Signed"))), zero).alias("_e"),
     )
-    everything = Window.partitionBy()
-    net = F.bround(F.sum("_r").over(everything), 3) + F.bround(F.sum("_e").over(everything), 3)
-    out = per_key.withColumn("_asc", net <= 0).filter(F.col(key).isNotNull())
-    order = F.when(F.col("_asc"), F.col("_v")).otherwise(-F.col("_v"))
-    return out.orderBy(order).select(key, F.col("_v").cast("double").alias("Value_Signed"))
+    net = per_key.agg((F.bround(F.coalesce(F.sum("_r"), zero), 3)
+                       + F.bround(F.coalesce(F.sum("_e"), zero), 3)).alias("net")).scalar()
+    order = F.when(net <= 0, F.col("_v")).otherwise(-F.col("_v"))
+    return (per_key.filter(F.col(key).isNotNull()).orderBy(order)
+            .select(key, F.col("_v").cast("double").alias("Value_Signed")))
 
 
 def tag_tokens(df: DataFrame, filter_effective: bool = True) -> DataFrame:

@@ -139,31 +139,29 @@ def cashflow_summary(cash_flow: DataFrame, year: int) -> DataFrame:
     ``Media`` is the mean over the 12 months (zeros included);
     ``Pct_Entradas`` = |Total| / total inflow * 100, 0 when there is no
     inflow.  One aggregate per (flow, category) over the year's rows; the
-    flow totals, the name clash rule and the two total rows come from
-    windows over those few aggregated rows (no second pass over the input).
+    total inflow is a scalar subquery over those rows, the two total rows a
+    one-row aggregate of them, and the name clash rule a window per
+    category (at most two rows each).
     """
     df = classify_flows(year_filter(cash_flow, year))
     g = df.groupBy("Flow", "Categoria").agg(F.sum("Valor").alias("Total"))
     money = g.schema["Total"].dataType
     zero = F.lit(0).cast(money)
-    everything = Window.partitionBy()
-    g = g.withColumns({
-        "E": F.coalesce(F.sum(F.when(F.col("Flow") == "In", F.col("Total"))).over(everything), zero),
-        "S": F.coalesce(F.sum(F.when(F.col("Flow") == "Out", F.col("Total"))).over(everything), zero),
-        "_nf": F.size(F.collect_set("Flow").over(Window.partitionBy("Categoria"))),
-        "_first": F.row_number().over(Window.orderBy("Flow", "Categoria")) == 1,
-    })
-    name = F.when(F.col("_nf") > 1, F.concat("Categoria", F.lit("__"), "Flow")).otherwise(F.col("Categoria"))
-    row = lambda n, t: F.struct(n.cast("string").alias("Categoria"), t.alias("Total"))
-    own = F.when(F.col("Categoria").isNotNull(), F.array(row(name, F.col("Total")))) \
-        .otherwise(F.array().cast(f"array<struct<Categoria:string,Total:{money.simpleString()}>>"))
-    totals = F.array(row(F.lit("ENTRADAS"), F.col("E")), row(F.lit("SAIDAS"), F.col("S")))
-    rows = g.select("E", F.explode(F.when(F.col("_first"), F.concat(totals, own)).otherwise(own)).alias("r")) \
-        .select("r.Categoria", "r.Total", "E")
-    e = F.col("E").cast("double")
+    e_sum = F.coalesce(F.sum(F.when(F.col("Flow") == "In", F.col("Total"))), zero)
+    s_sum = F.coalesce(F.sum(F.when(F.col("Flow") == "Out", F.col("Total"))), zero)
+    n_flows = F.size(F.collect_set("Flow").over(Window.partitionBy("Categoria")))
+    per_cat = (g.filter(F.col("Categoria").isNotNull()).withColumn("_nf", n_flows)
+               .select(F.when(F.col("_nf") > 1, F.concat("Categoria", F.lit("__"), "Flow"))
+                       .otherwise(F.col("Categoria")).alias("Categoria"), "Total"))
+    totals = g.agg(e_sum.alias("E"), s_sum.alias("S")).select(F.explode(F.array(
+        F.struct(F.lit("ENTRADAS").alias("Categoria"), F.col("E").alias("Total")),
+        F.struct(F.lit("SAIDAS").alias("Categoria"), F.col("S").alias("Total")),
+    )).alias("r")).select("r.Categoria", "r.Total")
+    inflow = g.agg(e_sum.alias("E")).scalar()
+    e = inflow.cast("double")
     pct = F.when(F.col("Categoria") == "ENTRADAS", F.lit(100.0)).when(
         e == 0, F.lit(0.0)).otherwise(F.abs(F.col("Total").cast("double")) / e * 100)
-    return rows.select(
+    return totals.unionByName(per_cat).select(
         F.lit(year).alias("Ano"), "Categoria",
         round_half_even(F.col("Total").cast("double"), 2).alias("Total"),
         # exact decimal mean: Total / 12 can end in an exact 5 at the third
