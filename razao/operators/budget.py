@@ -60,28 +60,22 @@ def totals(df: DataFrame, filter_effective: bool = True) -> DataFrame:
                       ((rev + exp) <= 0).alias("Ascending"))
 
 
-def summary_by(df: DataFrame, key: str, filter_effective: bool = True) -> DataFrame:
+def summary_by(df: DataFrame, key: str, filter_effective: bool = True,
+               ascending: bool | None = None) -> DataFrame:
     """Sum of signed values per ``key`` (NULL keys dropped, as a pandas
     group-by does), ordered by value: ascending when the budget's net
     (revenue + expenses, NULL keys included) is <= 0.
 
-    One aggregate per key also carries the key's revenue and expense sums;
-    the net is a scalar subquery over those aggregated rows (its exchange is
-    reused), so no window gathers all keys into one task.
+    The direction shapes the plan (the sort order), so it is one scalar of
+    ``totals`` fetched first (a global aggregate, partial before its
+    shuffle); pass ``ascending`` to skip that job.
     """
     d = _scope(df, filter_effective)
-    vt = d.schema["Value_Signed"].dataType
-    zero = F.lit(0).cast(vt)
-    per_key = d.groupBy(key).agg(
-        F.sum("Value_Signed").alias("_v"),
-        F.coalesce(F.sum(F.when(F.col("Type") == "Revenue", F.col("Value_Signed"))), zero).alias("_r"),
-        F.coalesce(F.sum(F.when(F.col("Type") == "Expense", F.col("Value_Signed"))), zero).alias("_e"),
-    )
-    net = per_key.agg((F.bround(F.coalesce(F.sum("_r"), zero), 3)
-                       + F.bround(F.coalesce(F.sum("_e"), zero), 3)).alias("net")).scalar()
-    order = F.when(net <= 0, F.col("_v")).otherwise(-F.col("_v"))
-    return (per_key.filter(F.col(key).isNotNull()).orderBy(order)
-            .select(key, F.col("_v").cast("double").alias("Value_Signed")))
+    out = (d.filter(F.col(key).isNotNull()).groupBy(key)
+           .agg(F.sum("Value_Signed").cast("double").alias("Value_Signed")))
+    if ascending is None:
+        ascending = bool(totals(df, filter_effective).first()["Ascending"])
+    return out.orderBy(F.col("Value_Signed").asc() if ascending else F.col("Value_Signed").desc())
 
 
 def tag_tokens(df: DataFrame, filter_effective: bool = True) -> DataFrame:
