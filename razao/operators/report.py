@@ -85,8 +85,8 @@ def cashflow_panel(cash_flow: DataFrame, year: int, opening=None,
     running net) and ``Saldo_Inicial_Found`` (False when the opening-balance
     table has no row for the year and 0 was used).
 
-    ``opening`` is a number, or a DataFrame ``(Year, Value)`` joined by year
-    (broadcast: one row per year); None means 0.
+    ``opening`` is a number, or a DataFrame ``(Year, Value)`` whose value for
+    the year is read as a scalar subquery; None means 0.
     """
     ensure_checkpoint_dir(cash_flow.sparkSession)
     long = _long_flows(year_filter(cash_flow, year)).checkpoint(eager=True)
@@ -109,14 +109,14 @@ def cashflow_panel(cash_flow: DataFrame, year: int, opening=None,
     panel = panel.withColumn("Fluxo", F.col("Entradas") + F.col("Saidas"))
 
     if isinstance(opening, DataFrame):
-        # one row per year at most (first value wins, as in a lookup)
-        ob = F.broadcast(opening.filter(F.col("Year") == year).groupBy("Year").agg(
-            F.first("Value").cast(money).alias("_open")).select(
-            F.col("Year").cast("int").alias("Ano"), "_open",
-            F.lit(True).alias("Saldo_Inicial_Found")))
-        panel = panel.join(ob, "Ano", "left").withColumns({
-            "_open": F.coalesce("_open", zero),
-            "Saldo_Inicial_Found": F.coalesce("Saldo_Inicial_Found", F.lit(False)),
+        # a lookup of one value: scalar subqueries over the balances of the
+        # year (first value wins; none -> 0 and the flag is False)
+        of_year = opening.filter(F.col("Year") == year)
+        value = of_year.agg(F.first("Value").cast(money)).scalar()
+        found = of_year.agg(F.count(F.lit(1)) > 0).scalar()
+        panel = panel.withColumns({
+            "_open": F.coalesce(value, zero),
+            "Saldo_Inicial_Found": found,
         })
     else:
         panel = panel.withColumns({
