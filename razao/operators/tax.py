@@ -1,9 +1,12 @@
 """Tax-bracket lookups (INSS contribution, IRRF withholding).
 
-The bracket tables are tiny and fixed (4 rows), so the lookup is a
-broadcast range join: each amount finds the one bracket whose half-open
-interval ``(previous upper, upper]`` contains it.  Amounts above the last
-INSS bracket and below the first IRRF bracket have no row (left join, NULL).
+Each amount finds the one bracket whose half-open interval ``(previous
+upper, upper]`` contains it (the first IRRF bracket starts at its own lower
+bound).  The bracket tables are four fixed rows, so the lookup is compiled
+into one CASE expression over the amount: a projection inside whole-stage
+code generation, with no join and no shuffle.  Amounts above the last INSS
+bracket and below the first IRRF bracket get NULL.  ``inss_table`` /
+``irrf_table`` expose the same tables as DataFrames.
 """
 
 from __future__ import annotations
@@ -54,26 +57,46 @@ def irrf_table(spark: SparkSession) -> DataFrame:
     return df.withColumn("lo_excl", F.lag("hi").over(w))
 
 
+def _brackets(amount, rows):
+    """CASE over bracket rows ``(lo_inclusive, lo_exclusive, hi, payload)``:
+    the payload struct of the first matching bracket, else NULL."""
+    out = None
+    for lo_inc, lo_exc, hi, payload in rows:
+        cond = F.lit(True)
+        if lo_exc is not None:
+            cond = cond & (amount > F.lit(lo_exc).cast(BOUND))
+        elif lo_inc is not None:
+            cond = cond & (amount >= F.lit(lo_inc).cast(BOUND))
+        if hi is not None:
+            cond = cond & (amount <= F.lit(hi).cast(BOUND))
+        out = F.when(cond, payload) if out is None else out.when(cond, payload)
+    return out
+
+
 def inss(df: DataFrame, amount_col: str) -> DataFrame:
     """Add ``inss_bracket`` and ``inss_rate`` (NULL above the ceiling)."""
-    t = F.broadcast(inss_table(df.sparkSession)).alias("t")
     a = F.col(amount_col).cast(BOUND)
-    cond = F.when(F.col("t.lo_excl").isNull(), F.lit(True)).otherwise(a > F.col("t.lo_excl")) & (a <= F.col("t.hi"))
-    return df.join(t, cond, "left").select(*[F.col(f"`{c}`") for c in df.columns],
-                                           F.col("t.bracket").alias("inss_bracket"),
-                                           F.col("t.rate").alias("inss_rate"))
+    rows, prev = [], None
+    for i, (hi, rate) in enumerate(INSS_2025, start=1):
+        rows.append((None, _dec(prev), _dec(hi),
+                     F.struct(F.lit(i).alias("b"), F.lit(_dec(rate)).cast(RATE).alias("r"))))
+        prev = hi
+    hit = _brackets(a, rows)
+    return df.withColumns({"inss_bracket": hit["b"], "inss_rate": hit["r"]})
 
 
 def irrf(df: DataFrame, amount_col: str) -> DataFrame:
     """Add ``irrf_bracket``, ``irrf_rate``, ``irrf_deduction`` and
     ``irrf_tax`` = amount * rate - deduction (NULL below the exemption)."""
-    t = F.broadcast(irrf_table(df.sparkSession)).alias("t")
     a = F.col(amount_col).cast(BOUND)
-    lower = F.when(F.col("t.lo_excl").isNull(), a >= F.col("t.lo")).otherwise(a > F.col("t.lo_excl"))
-    upper = F.when(F.col("t.hi").isNull(), F.lit(True)).otherwise(a <= F.col("t.hi"))
-    out = df.join(t, lower & upper, "left")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns],
-                      F.col("t.bracket").alias("irrf_bracket"),
-                      F.col("t.rate").alias("irrf_rate"),
-                      F.col("t.deduction").alias("irrf_deduction"),
-                      (a * F.col("t.rate") - F.col("t.deduction")).alias("irrf_tax"))
+    rows, prev = [], None
+    for i, (lo, hi, rate, ded) in enumerate(IRRF_2025, start=1):
+        payload = F.struct(F.lit(i).alias("b"), F.lit(_dec(rate)).cast(RATE).alias("r"),
+                           F.lit(_dec(ded)).cast(BOUND).alias("d"))
+        rows.append((_dec(lo), _dec(prev), _dec(hi), payload))
+        prev = hi
+    hit = _brackets(a, rows)
+    return df.withColumns({
+        "irrf_bracket": hit["b"], "irrf_rate": hit["r"], "irrf_deduction": hit["d"],
+        "irrf_tax": a * hit["r"] - hit["d"],
+    })
