@@ -60,3 +60,11 @@ def test_missing_required_goes_to_quarantine(spark):
     assert nfs.valid(inv).count() == 0
     q = nfs.quarantine(inv).collect()
     assert q[0].missing == ["Tomador.nome"]
+
+
+def test_same_stem_in_two_folders_is_one_object(spark):
+    x = doc(1, "<CNPJ>1</CNPJ>", "", "")
+    df = spark.createDataFrame([("/a/NFSe_9.xml", x), ("/b/NFSe_9.xml", x.replace("<nNFSe>1<", "<nNFSe>2<"))],
+                               "file_data string, xml string")
+    rows = nfs.catalog(nfs.valid(nfs.extract(df, keep=["file_data"]))).collect()
+    assert [(r.name, r.file_data) for r in rows] == [("NFSe_NFSe_9", "/b/NFSe_9.xml")]
