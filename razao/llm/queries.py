@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chat_format, decontaminate, mixing, near_dedup, quality_classifier, quality_rules, secret_scan,
-               suffix_dedup)
+from . import (chat_format, decontaminate, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules,
+               secret_scan, suffix_dedup, token_output)
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.digest(token_output.training_order(table(spark, sf_dir, "documents")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -47,7 +55,9 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_near_dedup": op6_near_dedup,
