@@ -7,8 +7,8 @@ document with a smaller id.  Strings are judged on the input.
    smallest hash (the leftmost of equal ones).  It depends on the window's bytes
    alone, so equal windows in two documents have equal anchors at equal places.
    Consecutive windows with one anchor make a segment.  Only (anchor hash,
-   segment hash, place) is shuffled, packed by anchor bucket: about an eleventh
-   of the windows need an entry.
+   segment hash, place) is shuffled, packed by anchor bucket: one entry for some
+   18 windows.
 2. A segment that equals one of a smaller id is repeated as a whole.  What is
    left undecided are the first holders of segments whose anchor has other
    segments too.
@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import groups, joined, pack
+from .blobs import groups, joined, pack, unpack
 from .tables import stored
 from .textbatch import U64, PrefixHash, Texts, mix, slices
 
 WINDOW = 50
-ANCHOR = 24
+ANCHOR = 16
 #: a null id, in comparisons
 LAST = (1 << 63) - 1
 #: bytes of text whose anchors make one bucket, and go out in one packed row a bucket
@@ -50,7 +50,7 @@ PIECE = 8 << 20
 
 _PLACE = (1 << 24) - 1
 _48 = U64((1 << 48) - 1)
-_ENTRY = ("u8", "u8", "i8", "i4", "i4", "u1", "u1")
+_ENTRY = ("u8", "u8", "i4", "i4", "u1", "u1", "i8", "i4")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -119,14 +119,16 @@ def _anchored(docs: DataFrame, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_bytes = [], 0
+        held, names, held_bytes, n_docs = [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, held_bytes
-            ah, sh, ord_, key, lo, cnt = (np.concatenate(x) for x in zip(*held, strict=True))
-            held, held_bytes = [], 0
-            order = np.lexsort((ord_, sh, ah))
-            ah, sh, ord_, key, lo, cnt = (x[order] for x in (ah, sh, ord_, key, lo, cnt))
+            nonlocal held, names, held_bytes, n_docs
+            ah, sh, doc, lo, cnt = (np.concatenate(x) for x in zip(*held, strict=True))
+            ords, keys = (np.concatenate(x) for x in zip(*names, strict=True))
+            held, names, held_bytes, n_docs = [], [], 0, 0
+            order = np.lexsort((ords[doc], sh, ah))
+            ah, sh, doc, lo, cnt = (x[order] for x in (ah, sh, doc, lo, cnt))
+            ord_ = ords[doc]
             new = np.concatenate([[True], (ah[1:] != ah[:-1]) | (sh[1:] != sh[:-1])])
             first = ord_[np.flatnonzero(new)][np.cumsum(new) - 1]
             state = (ord_ > first).astype(np.uint8)  # 1: repeats
@@ -136,7 +138,8 @@ def _anchored(docs: DataFrame, buckets: int) -> DataFrame:
             cells = []
             for a, b in zip(starts, bounds[1:], strict=True):
                 i = order[a:b]
-                cells.append(pack(ah[i], sh[i], ord_[i], key[i], lo[i], cnt[i], state[i]))
+                used, at = np.unique(doc[i], return_inverse=True)
+                cells.append(pack(ah[i], sh[i], at.astype(np.int32), lo[i], cnt[i], state[i], ords[used], keys[used]))
             yield pa.RecordBatch.from_arrays([pa.array(of[order[starts]]), pa.array(cells, pa.binary())],
                                              ["bucket", "cell"])
 
@@ -146,10 +149,11 @@ def _anchored(docs: DataFrame, buckets: int) -> DataFrame:
             for run_ in slices(batch.column("text")):
                 for texts, start in _pieces(run_):
                     ah, sh, doc, lo, cnt = segments(texts)
-                    row = doc + texts.first
-                    held.append((ah, sh, ords[row], keys[row], (lo - texts.offsets[doc] + start).astype(np.int32),
-                                 cnt.astype(np.uint8)))
+                    held.append((ah, sh, doc + texts.first - run_.first + n_docs,
+                                 (lo - texts.offsets[doc] + start).astype(np.int32), cnt.astype(np.uint8)))
                     held_bytes += len(texts.data)
+                names.append((ords[run_.first: run_.first + run_.n], keys[run_.first: run_.first + run_.n]))
+                n_docs += run_.n
                 if held_bytes >= FLUSH_BYTES:
                     yield from flush()
         if held:
@@ -177,7 +181,9 @@ def _by_doc(ord_: np.ndarray, key: np.ndarray, lo: np.ndarray, cnt: np.ndarray,
 
 def _judge_segments(bucket: pa.Table) -> pa.Table:
     """Whole segments of one anchor bucket: repeats, and what is undecided."""
-    ah, sh, ord_, key, lo, cnt, state = joined(bucket.column("cell").to_pylist(), *_ENTRY)
+    parts = [unpack(c, *_ENTRY) for c in bucket.column("cell").to_pylist()]
+    ah, sh, lo, cnt, state = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4, 5))
+    ord_, key = (np.concatenate([p[i][p[2]] for p in parts]) for i in (6, 7))
     order = np.lexsort((ord_, sh, ah))
     ah, sh, ord_, key, lo, cnt, state = (x[order] for x in (ah, sh, ord_, key, lo, cnt, state))
     if not len(ah):
