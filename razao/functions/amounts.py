@@ -9,12 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from .text import strip_ws
+
 # Exact money type of canonical tables.  Sums stay exact (no float order
 # effects); results are cast to DOUBLE only at the output.
 MONEY = DecimalType(18, 2)
-# Parsed statement amounts keep up to four decimals: the personal-account
-# rule reads "1.234" (no comma) as 1.234, which MONEY would round.
-AMOUNT = DecimalType(20, 4)
+# Parsed statement amounts keep up to ten decimals: the personal-account
+# rule reads "1.23456" (no comma) as 1.23456, which MONEY would round.
+AMOUNT = DecimalType(30, 10)
 
 
 def _c(col: Column | str) -> Column:
@@ -28,7 +30,7 @@ def br_amount(col: Column | str) -> Column:
     1.234 (dot kept as decimal point when there is no comma).  Text that is
     not a number gives NULL (``try_cast``) so the caller can quarantine it.
     """
-    s = F.trim(_c(col))
+    s = strip_ws(_c(col))
     normal = F.when(
         s.contains(","), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     ).otherwise(s)
@@ -37,7 +39,7 @@ def br_amount(col: Column | str) -> Column:
 
 def br_number(col: Column | str) -> Column:
     """Plain Brazilian number: drop every ``.``, then ``,`` -> ``.``."""
-    s = F.trim(_c(col))
+    s = strip_ws(_c(col))
     return F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast(AMOUNT)
 
 
@@ -48,7 +50,7 @@ def cd_amount(col: Column | str) -> Column:
     taken as absolute value; the result is negative only when the trimmed text
     ends with ``D``.  Without a suffix the sign is lost (reference behaviour).
     """
-    s = F.trim(_c(col))
+    s = strip_ws(_c(col))
     value = F.abs(br_number(F.regexp_replace(s, "[CD]", "")))
     return F.when(s.endswith(F.lit("D")), -value).otherwise(value)
 

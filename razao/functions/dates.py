@@ -8,21 +8,24 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip_ws
+
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def br_date(col: Column | str) -> Column:
-    """``dd/MM/yyyy`` text -> DATE; invalid text gives NULL (quarantine)."""
-    return F.try_to_date(F.trim(_c(col)), "dd/MM/yyyy")
+    """``dd/MM/yyyy`` text (also ``d/M/yyyy``) -> DATE; invalid text gives NULL
+    (quarantine)."""
+    return F.try_to_date(strip_ws(_c(col)), "d/M/yyyy")
 
 
 def day_month_in_year(day_month: Column | str, year: Column | str | int) -> Column:
     """``dd/MM`` text plus a statement year -> DATE (NULL when invalid)."""
     y = F.lit(year) if isinstance(year, int) else _c(year)
-    return F.try_to_date(F.concat(F.trim(_c(day_month)), F.lit("/"), y.cast("string")),
-                         "dd/MM/yyyy")
+    return F.try_to_date(F.concat(strip_ws(_c(day_month)), F.lit("/"), y.cast("string")),
+                         "d/M/yyyy")
 
 
 def year_of(col: Column | str) -> Column:

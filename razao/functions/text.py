@@ -67,9 +67,19 @@ def fields(col: Column | str) -> Column:
 
 
 def squeeze_blank_lines(col: Column | str) -> Column:
-    """Runs of blank lines become one (the first of the run is kept)."""
+    """Runs of blank lines become one (the first of the run is kept).
+
+    Lines end with ``\n`` only; what follows the last one is not a line yet
+    and always stays.  The line array is filtered, so a run may be of any
+    length.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c, f"(?m)^({INLINE_WS_CLASS}*\n)(?:{INLINE_WS_CLASS}*\n)+", "$1")
+    lines = F.split(c, "\n", -1)
+    last = F.size(lines) - 1
+    blank = F.transform(lines, lambda x: strip_ws(x) == "")
+    again = F.transform(blank, lambda b, i: b & (i > 0) & (i < last) & F.coalesce(F.get(blank, i - 1), F.lit(False)))
+    kept = F.filter(F.arrays_zip(lines.alias("line"), again.alias("again")), lambda z: ~z["again"])
+    return F.array_join(F.transform(kept, lambda z: z["line"]), "\n")
 
 
 def hashtags(col: Column | str) -> Column:

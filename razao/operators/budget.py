@@ -129,35 +129,55 @@ def budget_formulas(as_of: str) -> dict[str, Formula]:
     }
 
 
-# Frequencies of the recurrence expansion (pandas offset aliases).
-FREQUENCIES = ("D", "W", "MS", "QS", "YS", "ME")
+# Frequencies of the recurrence expansion (pandas offset aliases), each with
+# an optional leading multiple ("2W"); W may name its weekday ("W-MON").
+FREQUENCIES = ("D", "B", "W", "MS", "ME", "QS", "QE", "YS", "YE")
+WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
+_FREQ = r"^(\d*)(D|B|W|MS|ME|QS|QE|YS|YE)(?:-([A-Z]{3}))?$"
 
 
 def recurrence_dates(year: int, freq: Column) -> Column:
     """Array of the dates of ``freq`` from Jan 1 of ``year`` to Jan 1 of the
-    next year, both ends included: D daily, W Sundays, MS / QS / YS month /
-    quarter / year starts, ME month ends.  Unknown frequency: NULL."""
+    next year, both ends included: D daily, B Monday to Friday, W Sundays (or
+    the weekday named), MS / QS / YS month / quarter / year starts, ME / QE /
+    YE their ends.  A leading number n takes every n-th date, from the first
+    on.  Unknown frequency (NULL, a multiple of 0): NULL."""
     start = F.lit(f"{year}-01-01").cast("date")
     end = F.lit(f"{year + 1}-01-01").cast("date")
+    count, unit, day = (F.regexp_extract(freq, _FREQ, i) for i in (1, 2, 3))
+    every = F.when(count == "", F.lit(1)).otherwise(count.try_cast("int"))
 
-    def seq(first: Column, step: str) -> Column:
-        return F.sequence(first, end, F.expr(f"INTERVAL {step}"))
+    def starts(months: int) -> Column:
+        return F.sequence(start, end, F.expr(f"INTERVAL {months} MONTH"))
 
-    first_sunday = F.next_day(F.date_sub(start, 1), "Sun")
-    month_ends = F.filter(F.transform(seq(start, "1 MONTH"), lambda d: F.last_day(d)),
-                          lambda d: d <= end)
-    return (F.when(freq == "D", seq(start, "1 DAY"))
-            .when(freq == "W", seq(first_sunday, "7 DAY"))
-            .when(freq == "MS", seq(start, "1 MONTH"))
-            .when(freq == "QS", seq(start, "3 MONTH"))
-            .when(freq == "YS", seq(start, "1 YEAR"))
-            .when(freq == "ME", month_ends))
+    def ends(months: int) -> Column:
+        # the last day of each period of the year
+        return F.transform(F.sequence(F.add_months(start, months - 1), end, F.expr(f"INTERVAL {months} MONTH")),
+                           lambda d: F.last_day(d))
+
+    days = F.sequence(start, end, F.expr("INTERVAL 1 DAY"))
+    weekday = F.when(day == "", F.lit("SUN")).otherwise(day)
+    dates = (F.when(unit == "D", days)
+             .when(unit == "B", F.filter(days, lambda d: F.weekday(d) < 5))
+             .when((unit == "W") & weekday.isin(*WEEKDAYS),
+                   F.filter(days, lambda d: F.upper(F.date_format(d, "EEE")) == weekday)))
+    for name, months in (("M", 1), ("Q", 3), ("Y", 12)):
+        dates = dates.when(unit == f"{name}S", starts(months)).when(unit == f"{name}E", ends(months))
+    dates = F.filter(F.filter(dates, lambda d: d <= end), lambda d, i: F.pmod(i, F.greatest(every, F.lit(1))) == 0)
+    return F.when((every > 0) & ((day == "") | (unit == "W")), dates)
 
 
 def expand_annual(template: DataFrame, year: int, freq_col: str = "Freq") -> DataFrame:
     """Repeat each template row for every date of its frequency in ``year``
     (``Date_Due`` set to that date).  Generated per row (explode), so the
-    work is spread with the template's partitions."""
+    work is spread with the template's partitions.  Rows of an unknown
+    frequency are in ``expand_quarantine``."""
     dates = recurrence_dates(year, F.col(freq_col))
     others = [F.col(f"`{c}`") for c in template.columns if c != "Date_Due"]
     return template.select(*others, F.explode(dates).alias("Date_Due"))
+
+
+def expand_quarantine(template: DataFrame, year: int, freq_col: str = "Freq") -> DataFrame:
+    """Template rows that ``expand_annual`` cannot expand, with a ``reason``."""
+    return template.filter(recurrence_dates(year, F.col(freq_col)).isNull()) \
+        .withColumn("reason", F.lit("bad_frequency"))

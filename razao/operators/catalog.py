@@ -41,8 +41,9 @@ def missing_names(catalog: DataFrame, names: DataFrame, name_col: str = "name")
 
 def refresh(log: DataFrame, renames: DataFrame, name_col: str = "name", seq_col: str = "seq") -> DataFrame:
     """Rebuild the catalog following renames (``old_name -> new_name``):
-    entries are re-keyed by their current name, then keep-last and sort."""
-    r = renames.select(F.col("old_name").alias(name_col), "new_name")
+    entries are re-keyed by their current name, then keep-last and sort.  Of
+    several renames of one name the largest new name holds."""
+    r = renames.groupBy(F.col("old_name").alias(name_col)).agg(F.max("new_name").alias("new_name"))
     keyed = log.join(r, name_col, "left").withColumn(
         name_col, F.coalesce(F.col("new_name"), F.col(name_col))).drop("new_name")
     return latest(keyed.select(*log.columns), name_col, seq_col)

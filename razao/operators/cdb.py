@@ -14,26 +14,26 @@ orders the lines of a file).  The layout rules:
 * EXTRATO drops ``Saldo anterior`` / ``capital`` / ``Saldo final`` lines, and
   when more than 3 lines remain, body lines 2k and 2k+1 form one record,
   joined without separator, with ``-`` and ``valor juros`` removed and
-  ``Rendimento  mensal`` renamed ``Juros`` (an unpaired last line is
-  quarantined);
+  ``Rendimento  mensal`` renamed ``Juros`` (an unpaired last line, and the one
+  body line of a section of 3 lines, is quarantined);
 * fields are whitespace-separated, dates ``dd/mm`` take the statement year.
 
-Labels come from a small per-file array of layout markers; section ranks
-are chunked scans (``operators.windows``), so a very long statement is not
-processed by one task.  Pairing is an aggregate over (file, account, pair
+Labels and section ranks are chunked scans (``operators.windows``), so a very
+long statement is not processed by one task.  Pairing is an aggregate over (file, account, pair
 index) with two rows each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.amounts import br_number
 from ..functions.dates import br_date, day_month_in_year
-from ..functions.text import clean_line, fields, is_blank
+from ..functions.text import clean_line, decode_cp1252, fields, is_blank
 from ..session import ensure_checkpoint_dir
-from .windows import DEFAULT_WIDTH, chunked_rank
+from ..sources.documents import read_binary
+from .windows import DEFAULT_WIDTH, chunked_forward_fill, chunked_rank
 
 # Fixed values of the statement layout (same as the reference).
 ACCOUNTS = {"BB CDB DI": "CDBDI", "BB CDB PROGRESSIVO": "CDBPG"}
@@ -65,46 +65,32 @@ def labelled_lines(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Clean lines labelled with ``year``, ``account``, ``section``, ``rn``
     (rank inside the section, EXTRATO skip lines removed) and ``n_lines``.
 
-    Layout markers (the period line, account headers, section titles) are a
-    handful per statement: they are aggregated into one sorted array per
-    file and joined back on ``file``, and each line takes the last account
-    marker before it and the last section title between that header and
-    itself.  The labelled lines are checkpointed once; the rank inside a
-    section is a chunked scan (``operators.windows``) over them, so a very
-    long statement is never one task.
+    Account headers and section titles are filled forward over the line
+    positions, and lines are ranked inside their section, by chunked scans
+    (``operators.windows``): work is linear in the lines, nothing is gathered
+    per file, and a very long statement is never one task.
     """
     year = F.nullif(F.regexp_extract("line", r"Período:\s*\d{1,2}/\d{1,2}/(\d{4})", 1), F.lit(""))
     x = lines.select("file", "pos", clean_line("line").alias("line"))
     noise = F.lit(False)
     for n in NOISE:
         noise = noise | F.col("line").contains(n)
+    # the period line may itself be noise; it is looked up before filtering
+    years = (x.select("file", "pos", year.alias("_y")).filter(F.col("_y").isNotNull())
+             .groupBy("file").agg(F.min_by("_y", "pos").cast("int").alias("year")))
     acc = _first_match(F.col("line"), ACCOUNTS)
     sec = _first_match(F.col("line"), SECTION_TITLES)
-    kind = F.when(acc.isNotNull(), F.lit("A")).when(sec.isNotNull(), F.lit("S"))
-    # the period line may itself be noise; it is looked up before filtering
-    marks = x.select("file", F.struct(
-        F.col("pos").alias("p"),
-        F.when(year.isNotNull(), F.lit("Y")).when(~noise & ~is_blank("line"), kind).alias("k"),
-        F.coalesce(year, acc, sec).alias("v")).alias("m")).filter(F.col("m.k").isNotNull())
-    per_file = marks.groupBy("file").agg(F.array_sort(F.collect_list("m")).alias("_marks"))
-    x = x.filter(~noise & ~is_blank("line")).join(per_file, "file", "left")
-    pos = F.col("pos")
-    marks_col = F.coalesce(F.col("_marks"), F.array().cast("array<struct<p:bigint,k:string,v:string>>"))
-    last_acc = F.try_element_at(F.filter(marks_col, lambda m: (m["k"] == "A") & (m["p"] <= pos)), F.lit(-1))
-    x = x.withColumns({
-        "year": F.try_element_at(F.filter(marks_col, lambda m: m["k"] == "Y"), F.lit(1))["v"].cast("int"),
-        "account": last_acc["v"],
-        "_acc_pos": last_acc["p"],
-    }).filter(F.col("account").isNotNull())
-    last_sec = F.try_element_at(F.filter(marks_col, lambda m: (m["k"] == "S") & (m["p"] >= F.col("_acc_pos"))
-                                         & (m["p"] <= pos)), F.lit(-1))
-    x = x.withColumn("section", F.coalesce(last_sec["v"], F.lit("EXTRATO"))).drop("_marks", "_acc_pos")
+    x = x.filter(~noise & ~is_blank("line")).withColumns({
+        "_acc": acc, "_sec": F.when(acc.isNotNull(), F.lit("EXTRATO")).otherwise(sec)})
+    # an account header opens its EXTRATO, a title the section after it
+    x = chunked_forward_fill(x, ["file"], "pos", "_acc", "account", width)
+    x = chunked_forward_fill(x.filter(F.col("account").isNotNull()), ["file"], "pos", "_sec", "section", width)
+    x = x.join(years, "file", "left").drop("_acc", "_sec")
     skip = F.lit(False)
     for s in EXTRATO_SKIP:
         skip = skip | F.col("line").contains(s)
     x = x.filter(~((F.col("section") == "EXTRATO") & skip))
-    # the ranked scan reads the labelled lines twice (rows, chunk sizes):
-    # cut the lineage once instead of re-deriving them per branch
+    # four sections read the labelled lines: cut the lineage once
     ensure_checkpoint_dir(x.sparkSession)
     x = x.checkpoint(eager=True)
     return chunked_rank(x, ["file", "account", "section"], "pos", "rn", width, total_col="n_lines")
@@ -178,7 +164,10 @@ def parse(lines: DataFrame, width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
         bad.append(df.filter(~parsed_ok).select("file", "account", "pos", F.lit(name).alias("section")))
     unpaired = ext.filter(F.col("_unpaired")).select("file", "account", "pos",
                                                      F.lit("EXTRATO").alias("section"))
-    q = unpaired
+    # a section of 3 lines has one body line, which makes no record
+    alone = lab.filter((F.col("section") == "EXTRATO") & (F.col("n_lines") == 3) & (F.col("rn") == 3)) \
+        .select("file", "account", "pos", "section")
+    q = unpaired.unionByName(alone)
     for b in bad:
         q = q.unionByName(b)
     out["quarantine"] = q
@@ -189,3 +178,13 @@ def statement_lines(texts: DataFrame, text_col: str = "text", file_col: str = "f
     """Whole statement texts -> line table ``file, pos, line``."""
     return texts.select(F.col(file_col).alias("file"),
                         F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+
+
+def statement_files(spark: SparkSession, path: str, width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
+    """cp1252 statement files on disk -> the four sections and quarantine.
+
+    A print-style statement is one row of bytes until its lines are split, so
+    a single file is bounded by Spark's 2 GB limit of a binary value.
+    """
+    files = read_binary(spark, path)
+    return parse(statement_lines(files.select("file_data", decode_cp1252("content").alias("text"))), width)

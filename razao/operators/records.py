@@ -138,7 +138,9 @@ def conform(df: DataFrame, table: str, data_columns: list[str], existing: DataFr
             out = out.withColumn("_ord", F.struct(*order_cols))
             out = keep_first(out, "RecId", "_ord").drop("_ord")
         else:
-            out = out.dropDuplicates(["RecId"])
+            # no order given: the smallest row in column order, the same on every run
+            out = out.withColumn("_ord", F.to_json(F.struct(*[c for c in cols if c != "RecId"])))
+            out = keep_first(out, "RecId", "_ord").drop("_ord")
     if "RecTimestamp" not in cols:
         out = out.withColumn("RecTimestamp", stamp(as_of))
     if "RecStatus" not in cols:
@@ -162,9 +164,23 @@ def insert_records(table: DataFrame, new_rows: DataFrame, data_columns: list[str
                    order_cols=order_cols, as_of=as_of)
 
 
+def fold_edits(edits: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One ``changes`` map per ``RecId``: of several edits of a column the last
+    in ``order_col`` wins (without one, the largest value: a fixed choice).
+
+    The fold is per (id, column), which combines before its shuffle; the map
+    of an id then has at most one entry per column.
+    """
+    order = F.col(order_col) if order_col else F.lit(0)
+    each = edits.select("RecId", order.alias("_o"), F.explode_outer("changes").alias("_k", "_v"))
+    last = each.groupBy("RecId", "_k").agg(F.max(F.struct("_o", "_v")).alias("_e"))
+    entries = F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", F.col("_e._v").alias("_v"))))
+    return last.groupBy("RecId").agg(F.map_from_entries(entries).alias("changes"))
+
+
 def edit_records(table: DataFrame, edits: DataFrame, as_of: str | None = None,
-                 data_columns: list[str] | None = None) -> DataFrame:
-    """Apply a batch of keyed edits.
+                 data_columns: list[str] | None = None, order_col: str | None = None) -> DataFrame:
+    """Apply a batch of keyed edits; several edits of one id are folded first.
 
     ``edits`` has ``RecId`` and ``changes MAP<STRING,STRING>``: a key present
     in the map overwrites that column (a NULL value writes NULL), absent keys
@@ -172,7 +188,7 @@ def edit_records(table: DataFrame, edits: DataFrame, as_of: str | None = None,
     With ``data_columns`` only those (plus ``RecStatus``) may be edited.
     """
     allowed = set(data_columns) | {"RecStatus"} if data_columns else None
-    e = edits.select("RecId", F.col("changes").alias("_chg"))
+    e = fold_edits(edits, order_col).withColumnRenamed("changes", "_chg")
     joined = table.join(e, "RecId", "left")
     cols = []
     for c in table.columns:
@@ -196,7 +212,7 @@ def unmatched_edits(table: DataFrame, edits: DataFrame) -> DataFrame:
 
 def archive_records(table: DataFrame, rec_ids: DataFrame, as_of: str | None = None) -> DataFrame:
     """Soft delete: ``RecStatus = 'Off'`` (and a fresh stamp) for the ids."""
-    edits = rec_ids.select("RecId", F.create_map(F.lit("RecStatus"), F.lit("Off")).alias("changes"))
+    edits = rec_ids.select("RecId").distinct().select("RecId", F.create_map(F.lit("RecStatus"), F.lit("Off")).alias("changes"))
     return edit_records(table, edits, as_of=as_of)
 
 

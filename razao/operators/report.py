@@ -12,7 +12,7 @@ aggregate per (flow, category) plus windows over those rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import round_half_even
@@ -70,7 +70,7 @@ def _category_columns(long: DataFrame, max_categories: int) -> list[tuple[str, s
             .orderBy("Flow", "Categoria").limit(max_categories + 1).collect())
     if len(rows) > max_categories:
         raise ValueError(
-            f"more than {max_categories} category columns; use cashflow_long() instead")
+            f"more than {max_categories} category columns; use cashflow_panel_map() instead")
     pairs = [(r["Flow"], r["Categoria"]) for r in rows]
     ins = {c for f, c in pairs if f == "In"}
     outs = {c for f, c in pairs if f == "Out"}
@@ -78,6 +78,28 @@ def _category_columns(long: DataFrame, max_categories: int) -> list[tuple[str, s
     return [(f, c, f"{c}__{f}" if c in both else c) for f, c in pairs]
 
 
+def cashflow_panel_map(cash_flow: DataFrame, year: int) -> DataFrame:
+    """Monthly panel for any number of categories: ``Ano, Mes, Fluxo, Entradas,
+    Saidas`` and the MAP columns ``Entradas_Categoria`` and
+    ``Saidas_Categoria`` (category -> sum) of the months with movements.  One
+    aggregate of the year's rows; nothing comes to the driver."""
+    long = _long_flows(year_filter(cash_flow, year))
+
+    def total(flow: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("Flow") == flow, F.col("v"))), F.lit(0)).cast("double")
+
+    def by_category(flow: str) -> Column:
+        entry = F.when((F.col("Flow") == flow) & F.col("Categoria").isNotNull(),
+                       F.struct("Categoria", F.col("v").cast("double")))
+        return F.map_from_entries(F.array_sort(F.collect_list(entry)))
+
+    per_month = long.groupBy("Mes").agg(
+        total("In").alias("Entradas"), total("Out").alias("Saidas"),
+        by_category("In").alias("Entradas_Categoria"), by_category("Out").alias("Saidas_Categoria"))
+    return per_month.select(F.lit(year).alias("Ano"), "Mes", (F.col("Entradas") + F.col("Saidas")).alias("Fluxo"),
+                            "Entradas", "Saidas", "Entradas_Categoria", "Saidas_Categoria")
+
+
 def cashflow_panel(cash_flow: DataFrame, year: int, opening=None,
                    max_categories: int = MAX_PIVOT_CATEGORIES) -> DataFrame:
     """Monthly panel of ``year``: ``Ano, Mes, Fluxo, Entradas, Saidas``, one
@@ -109,14 +131,15 @@ def cashflow_panel(cash_flow: DataFrame, year: int, opening=None,
     panel = panel.withColumn("Fluxo", F.col("Entradas") + F.col("Saidas"))
 
     if isinstance(opening, DataFrame):
-        # a lookup of one value: scalar subqueries over the balances of the
-        # year (first value wins; none -> 0 and the flag is False)
+        # a lookup of one value among the balances of the year (none: 0, and
+        # the flag is False)
         of_year = opening.filter(F.col("Year") == year)
-        value = of_year.agg(F.first("Value").cast(money)).scalar()
-        found = of_year.agg(F.count(F.lit(1)) > 0).scalar()
+        # (largest of several balances, found): one subquery, one scan
+        found = of_year.agg(F.struct(F.max("Value").cast(money).alias("value"),
+                                     (F.count(F.lit(1)) > 0).alias("found"))).scalar()
         panel = panel.withColumns({
-            "_open": F.coalesce(value, zero),
-            "Saldo_Inicial_Found": found,
+            "_open": F.coalesce(found["value"], zero),
+            "Saldo_Inicial_Found": found["found"],
         })
     else:
         panel = panel.withColumns({

@@ -94,6 +94,8 @@ def _reason() -> Column:
 def standardize(df: DataFrame, dialect: Dialect | str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Canonical rows of a raw statement (good rows only); ``keep`` columns
     (e.g. the source file) are carried after the canonical ones."""
+    if dialect == "bb-cdb":
+        raise ValueError("bb-cdb statements are print-style text: use operators.cdb.statement_files")
     d = DIALECTS[dialect] if isinstance(dialect, str) else dialect
     p = _parsed(df, d).filter(_reason().isNull())
     if d.category_from:
@@ -132,5 +134,6 @@ def drop_report(df: DataFrame, dialect: Dialect | str) -> DataFrame:
 def registry_table(spark) -> DataFrame:
     """The dialect registry as a small dimension table."""
     rows = [(d.name, d.bank, d.account) for d in DIALECTS.values()]
+    # not a table dialect: print-style text, read by operators.cdb.statement_files
     rows.append(("bb-cdb", "Banco do Brasil", "Aplicação CDB"))
     return spark.createDataFrame(rows, "account_type string, bank string, account string")

@@ -224,9 +224,30 @@ def statements_sql() -> dict[str, str]:
     cd = "WITH " + T0_CD_SQL.strip() + "\n"
     pp = "WITH " + T0_PP_SQL.strip() + "\n"
     cc_std = t0 + std("t0", cc_drop, _br_amount_sql("Valor"))
+    # the mixed layouts: raw cells as written, and the cells as they are meant
+    n = 'CAST("N° documento" AS BIGINT)'
+    mixed = "WITH " + T0_SQL.strip() + f""",
+tm AS (
+  SELECT CASE WHEN {n} % 97 = 0 THEN '31/02/2024' ELSE Data END AS Data,
+         CASE WHEN {n} % 97 = 0 THEN '31/02/2024'
+              WHEN {n} % 7 = 0 THEN chr(9) || strftime(strptime(Data, '%d/%m/%Y'), '%-d/%-m/%Y') || chr(160)
+              ELSE Data END AS Roh_Data,
+         "Lançamento", "N° documento",
+         CASE WHEN {n} % 5 = 0 THEN 'said "' || "Lançamento" || '", then' || chr(10) || 'left; ok'
+              ELSE Detalhes END AS Detalhes,
+         CASE WHEN {n} % 83 = 0 THEN 'R$ ?' ELSE Valor END AS Valor,
+         CASE WHEN {n} % 83 = 0 THEN 'R$ ?' ELSE Valor || chr(9) END AS Roh_Valor
+  FROM t0
+)
+"""
     return {
         "t0_standardize": cc_std,
         "t0_header_alias": cc_std,
+        "t0_mixed_headers": mixed + std("tm", cc_drop, _br_amount_sql("Valor")),
+        "t0_mixed_quarantine": mixed + (
+            f"SELECT CASE WHEN {cc_drop} THEN 'dropped' WHEN try_strptime(Data, '%d/%m/%Y') IS NULL THEN 'bad_date' "
+            "ELSE 'bad_amount' END AS reason, \"N° documento\" AS Documento, Roh_Data AS Data, Roh_Valor AS Valor FROM tm "
+            f"WHERE {cc_drop} OR try_strptime(Data, '%d/%m/%Y') IS NULL OR {_br_amount_sql('Valor')} IS NULL"),
         "t0_drops": t0 + drops("t0", cc_drop, _br_amount_sql("Valor")),
         "pj_standardize": cd + std("t0_cd", pj_drop, _cd_amount_sql("Valor")),
         "pj_drops": cd + drops("t0_cd", pj_drop, _cd_amount_sql("Valor")),
@@ -391,6 +412,17 @@ FROM r2"""
         "rec_conform": conform,
         "rec_insert": insert,
         "rec_edit": edit,
+        "rec_edit_repeated": bud + (
+            ", e AS (SELECT printf('Rec%04d', l_orderkey + 1) AS id, max(l_linenumber) AS n FROM lineitem GROUP BY 1)\n"
+            f"SELECT RecId, CASE WHEN e.id IS NULL THEN RecTimestamp ELSE '{STAMP_AS_OF}' END AS RecTimestamp, "
+            "CASE WHEN e.id IS NULL THEN Protocol ELSE CAST(e.n AS VARCHAR) END AS Protocol "
+            "FROM bud LEFT JOIN e ON e.id = bud.RecId"),
+        "rec_unmatched": bud + ("\nSELECT RecId FROM (SELECT printf('Rec%04d', c_custkey * 1000 + 1) AS RecId FROM customer) c "
+                                "WHERE RecId NOT IN (SELECT RecId FROM bud)"),
+        "budget_frequency_quarantine": bud + (
+            "\nSELECT RecId, Freq, 'bad_frequency' AS reason FROM (SELECT RecId, "
+            "CASE WHEN Status = 'Expected' THEN '2W' ELSE Status END AS Freq FROM bud) f "
+            "WHERE Freq IS NULL OR Freq <> '2W'"),
         "rec_archive": archive,
         "rec_next_id": bud + ("\nSELECT coalesce(max(CAST(substr(RecId, 4) AS BIGINT)), 0) AS last, "
                               "printf('Rec%04d', coalesce(max(CAST(substr(RecId, 4) AS BIGINT)), 0) + 1) AS next FROM bud"),
@@ -586,10 +618,10 @@ FROM refs"""
     pp_std = std["pp_standardize"].split("\nSELECT", 1)
     multi = (f"WITH {T0_SQL.strip()}, {T0_PP_SQL.strip()},\n"
              f"cc AS (SELECT{cc_std[1]}),\npp AS (SELECT{pp_std[1]})\n"
-             "SELECT CAST(Data AS VARCHAR) AS Data, CAST(CAST(Valor AS DECIMAL(20,4)) AS VARCHAR) AS Valor, "
+             "SELECT CAST(Data AS VARCHAR) AS Data, CAST(CAST(Valor AS DECIMAL(30,10)) AS VARCHAR) AS Valor, "
              "nullif(Categoria, '') AS Categoria, nullif(Descricao, '') AS Descricao, nullif(Lancamento, '') AS Lancamento, "
              "nullif(Detalhes, '') AS Detalhes, nullif(Documento, '') AS Documento, CAST(year(Data) AS INTEGER) AS Ano FROM cc "
-             "UNION ALL SELECT CAST(Data AS VARCHAR), CAST(CAST(Valor AS DECIMAL(20,4)) AS VARCHAR), nullif(Categoria, ''), "
+             "UNION ALL SELECT CAST(Data AS VARCHAR), CAST(CAST(Valor AS DECIMAL(30,10)) AS VARCHAR), nullif(Categoria, ''), "
              "nullif(Descricao, ''), NULL, NULL, NULL, NULL FROM pp")
     rec_cols = ["RecId", "RecTable", "RecTimestamp", "RecStatus"] + BUDGET_DATA_COLUMNS
     roundtrip = (f"WITH {BUD_SQL.strip()}\nSELECT "

@@ -658,10 +658,10 @@ def t0_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = views.statement_personal(spark, sf_dir).withColumn(
         "Mes", F.concat(F.substring("Data", 7, 4), F.lit("-"), F.substring("Data", 4, 2)))
     raw.write.partitionBy("Mes").option("header", True).option("encoding", "ISO-8859-1") \
-        .option("quoteAll", True).csv(f"{root}/t0")
+        .option("quoteAll", True).option("escape", '"').csv(f"{root}/t0")
     inc.run_incremental(spark, f"{root}/t0", f"{root}/t1", f"{root}/ckpt")
     inc.run_incremental(spark, f"{root}/t0", f"{root}/t1", f"{root}/ckpt")   # no new files: no rows
-    t1 = spark.read.parquet(f"{root}/t1")
+    t1 = spark.read.parquet(f"{root}/t1").drop("batch")
     return t1.select(*stm.CANONICAL).withColumn("Valor", F.col("Valor").cast("double"))
 
 
@@ -683,7 +683,7 @@ def cf_file_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch tool end to end: daily cash flow written per year as ';'
     CSV, read back with a typed schema, monthly summary."""
     root = _scratch(spark, "cashflow_files")
-    daily = cfo.priority_order(views.cash_flow(spark, sf_dir, with_category=False))
+    daily = cfo.priority_order(views.cash_flow(spark, sf_dir))
     wr.write_table_csv(daily.withColumn("Ano", F.year("Data")), f"{root}/diario", partition_by=["Ano"])
     back = csvs.read_table_csv(
         spark, f"{root}/diario",
@@ -699,7 +699,7 @@ def t0_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = views.statement_personal(spark, sf_dir).withColumn(
         "Mes", F.concat(F.substring("Data", 7, 4), F.lit("-"), F.substring("Data", 4, 2)))
     raw.write.partitionBy("Mes").option("header", True).option("encoding", "ISO-8859-1") \
-        .option("quoteAll", True).csv(f"{root}/t0")
+        .option("quoteAll", True).option("escape", '"').csv(f"{root}/t0")
     back = csvs.read_raw_statement(spark, f"{root}/t0", columns=inc.RAW_COLUMNS["bb-cc"])
     t1 = stm.standardize(back, "bb-cc")
     return t1.withColumn("Valor", F.col("Valor").cast("double"))
@@ -718,7 +718,7 @@ def dataset_bootfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dataset export with its metadata boot file, read back as one record
     restricted to the expected fields."""
     root = _scratch(spark, "dataset")
-    data = views.cash_flow(spark, sf_dir, with_category=False)
+    data = views.cash_flow(spark, sf_dir)
     fields = [("name", F.lit("CashFlow")), ("alias", cat.alias_of(F.lit("CashFlow"))),
               ("size", F.col("size").cast("string")), ("start", F.col("start").cast("string")),
               ("end", F.col("end").cast("string")), ("source", F.lit("lineitem"))]
@@ -758,3 +758,78 @@ def rec_export_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["rec_export_fields"] = rec_export_fields
+
+
+def _mixed_statements(spark: SparkSession, sf_dir: str) -> str:
+    """Statement files of three layouts: current headers, legacy headers, and
+    another column order; with quotes and line breaks inside cells, unpadded
+    dates between white space, and dates and amounts that cannot be read."""
+    raw = views.statement_personal(spark, sf_dir)
+    n = F.col("`N° documento`").cast("long")
+    raw = raw.withColumns({
+        "_n": n,
+        "Detalhes": F.when(n % 5 == 0, F.concat(F.lit('said "'), F.col("`Lançamento`"), F.lit('", then\nleft; ok')))
+        .otherwise(F.col("Detalhes")),
+        "Data": F.when(n % 97 == 0, F.lit("31/02/2024"))
+        .when(n % 7 == 0, F.concat(F.lit("\t"), F.regexp_replace("Data", r"\b0", ""), F.lit("\u00a0"))).otherwise(F.col("Data")),
+        "Valor": F.when(n % 83 == 0, F.lit("R$ ?")).otherwise(F.concat("Valor", F.lit("\t"))),
+    })
+    root = _scratch(spark, "t0_mixed")
+    legacy = {"Lançamento": "Histórico", "N° documento": "Número do documento"}
+    order = ["Valor", "N° documento", "Lançamento", "Data", "Detalhes"]
+    names = inc.RAW_COLUMNS["bb-cc"]
+    for i, df in enumerate([raw.select("_n", *names), raw.select("_n", *names).withColumnsRenamed(legacy),
+                            raw.select("_n", *order)]):
+        df.filter(F.col("_n") % 3 == i).drop("_n").write.option("header", True).option("encoding", "ISO-8859-1") \
+            .option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+            .option("ignoreTrailingWhiteSpace", False).csv(f"{root}/layout{i}")
+    return root
+
+
+def t0_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical rows of a folder of mixed layouts, bound by header name."""
+    raw = csvs.read_raw_statement(spark, _mixed_statements(spark, sf_dir), columns=inc.RAW_COLUMNS["bb-cc"],
+                                  aliases=stm.LEGACY_HEADER_ALIASES)
+    return stm.standardize(raw, "bb-cc").withColumn("Valor", F.col("Valor").cast("double"))
+
+
+def t0_mixed_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the same folder, processed as a stream, leaves out, with the reason."""
+    root = _mixed_statements(spark, sf_dir)
+    inc.run_incremental(spark, root, f"{root}-t1", f"{root}-ckpt", quarantine_folder=f"{root}-bad")
+    bad = spark.read.parquet(f"{root}-bad")
+    return bad.select("reason", F.col("`N° documento`").alias("Documento"), "Data", "Valor")
+
+
+def rec_edit_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of line items, several per record: the last line number wins."""
+    li = views.read_table(spark, sf_dir, "lineitem")
+    edits = li.select(F.format_string("Rec%04d", F.col("l_orderkey") + 1).alias("RecId"),
+                      F.create_map(F.lit("Method"), F.col("l_returnflag"), F.lit("Protocol"),
+                                   F.col("l_linenumber").cast("string")).alias("changes"), "l_linenumber")
+    out = rec.edit_records(views.budget(spark, sf_dir), edits, as_of=STAMP_AS_OF,
+                           data_columns=bdg.BUDGET_DATA_COLUMNS, order_col="l_linenumber")
+    return out.select("RecId", "RecTimestamp", "Protocol")
+
+
+def rec_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of ids that the table doesn't have."""
+    c = views.read_table(spark, sf_dir, "customer")
+    edits = c.select(F.format_string("Rec%04d", F.col("c_custkey") * 1000 + 1).alias("RecId"))
+    return rec.unmatched_edits(views.budget(spark, sf_dir), edits)
+
+
+def budget_frequency_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template rows whose frequency (here the priority text) is none."""
+    tpl = views.budget(spark, sf_dir).withColumn(
+        "Freq", F.when(F.col("Status") == "Expected", F.lit("2W")).otherwise(F.col("Status")))
+    return bdg.expand_quarantine(tpl.select("RecId", "Freq", "Date_Due"), RECURRENCE_YEAR).select("RecId", "Freq", "reason")
+
+
+QUERIES.update({
+    "t0_mixed_headers": t0_mixed_headers,
+    "t0_mixed_quarantine": t0_mixed_quarantine,
+    "rec_edit_repeated": rec_edit_repeated,
+    "rec_unmatched": rec_unmatched,
+    "budget_frequency_quarantine": budget_frequency_quarantine,
+})

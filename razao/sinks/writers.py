@@ -16,8 +16,16 @@ from ..operators.records import BASE_COLUMNS, active
 
 def write_table_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
                     mode: str = "overwrite") -> str:
-    """``;`` CSV with header (UTF-8)."""
-    w = df.write.mode(mode).option("header", True).option("sep", ";").option("encoding", "UTF-8")
+    """``;`` CSV with header (UTF-8); quotes inside a cell are doubled.
+
+    A partitioned write is clustered by the partition columns first (AQE splits
+    a large partition), so a partition has few files, not one per task.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    w = (df.write.mode(mode).option("header", True).option("sep", ";").option("encoding", "UTF-8")
+         .option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     w.csv(path)

@@ -12,45 +12,60 @@ survives executor and driver restarts.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.text import fix_latin1_c1
 from ..operators.files import base_name, t1_name
-from ..operators.statements import DIALECTS, standardize
+from ..operators.statements import DIALECTS, quarantine, standardize
+from ..sources.csv import read_raw_statement
 
 RAW_COLUMNS = {
     "bb-cc": ["Data", "Lançamento", "Detalhes", "N° documento", "Valor"],
     "bb-ccpj": ["Data", "Lançamento", "Detalhes", "N° documento", "Valor"],
     "bb-pp": ["Data", "Histórico", "Valor"],
 }
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def raw_stream(spark: SparkSession, folder: str, dialect: str, max_files_per_trigger: int | None = None):
-    """Streaming read of raw statement CSV files (cp1252, all text)."""
-    schema = StructType([StructField(c, StringType()) for c in RAW_COLUMNS[dialect]])
-    reader = (spark.readStream.schema(schema).option("header", True).option("sep", ",")
-              .option("quote", '"').option("encoding", "ISO-8859-1").option("nullValue", "\u0000")
+def new_files(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of the paths of statement files (their content is pruned)."""
+    reader = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
               .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = reader.csv(folder)
-    cols = [F.coalesce(fix_latin1_c1(F.col(f"`{c}`")), F.lit("")).alias(c) for c in schema.fieldNames()]
-    return df.select(*cols, F.col("_metadata.file_path").alias("t0_file"))
+    return reader.load(folder).select("path")
 
 
 def run_incremental(spark: SparkSession, t0_folder: str, t1_folder: str, checkpoint: str,
-                    dialect: str = "bb-cc") -> int:
+                    dialect: str = "bb-cc", quarantine_folder: str | None = None,
+                    max_files_per_trigger: int | None = None) -> int:
     """Convert the raw statements not processed yet; returns the number of
-    canonical rows written by this run."""
-    raw = raw_stream(spark, t0_folder, dialect)
-    canon = standardize(raw, DIALECTS[dialect], keep=("t0_file",)).withColumn(
-        "t1_file", base_name(t1_name("t0_file")))
-    q = (canon.writeStream.format("parquet").option("path", t1_folder)
+    canonical rows written by this run.
+
+    Each micro-batch hands its file names to the batch reader, which binds
+    columns by header (legacy headers, any order).  Rows without a canonical
+    form go to ``quarantine_folder`` with a reason.  A batch writes to its own
+    ``batch=<id>`` folder, overwriting: a batch that is run again after a
+    failure replaces its output.
+    """
+    d = DIALECTS[dialect]
+    written = []
+
+    def convert(batch: DataFrame, batch_id: int) -> None:
+        files = sorted(unquote(r["path"]) for r in batch.select("path").distinct().collect())
+        if not files:
+            return
+        raw = read_raw_statement(spark, files, columns=RAW_COLUMNS[dialect], aliases=d.aliases) \
+            .withColumnRenamed("file", "t0_file")
+        canon = standardize(raw, d, keep=("t0_file",)).withColumn("t1_file", base_name(t1_name("t0_file")))
+        out = f"{t1_folder}/batch={batch_id}"
+        canon.write.mode("overwrite").parquet(out)
+        if quarantine_folder:
+            quarantine(raw, d).write.mode("overwrite").parquet(f"{quarantine_folder}/batch={batch_id}")
+        written.append(spark.read.schema(canon.schema).parquet(out).count())
+
+    q = (new_files(spark, t0_folder, max_files_per_trigger).writeStream.foreachBatch(convert)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    rows = 0
-    for p in q.recentProgress:
-        rows += int(p.get("numInputRows", 0) if isinstance(p, dict) else p.numInputRows)
-    return rows
+    return sum(written)
