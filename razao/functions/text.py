@@ -75,11 +75,12 @@ def squeeze_blank_lines(col: Column | str) -> Column:
     """
     c = F.col(col) if isinstance(col, str) else col
     lines = F.split(c, "\n", -1)
-    last = F.size(lines) - 1
-    blank = F.transform(lines, lambda x: strip_ws(x) == "")
-    again = F.transform(blank, lambda b, i: b & (i > 0) & (i < last) & F.coalesce(F.get(blank, i - 1), F.lit(False)))
-    kept = F.filter(F.arrays_zip(lines.alias("line"), again.alias("again")), lambda z: ~z["again"])
-    return F.array_join(F.transform(kept, lambda z: z["line"]), "\n")
+    body = F.slice(lines, 1, F.size(lines) - 1)
+    blank = F.transform(body, lambda x: strip_ws(x) == "")
+    # zipped, so that no array is looked up (and computed) once per element
+    pairs = F.arrays_zip(body.alias("line"), blank.alias("here"), F.concat(F.array(F.lit(False)), blank).alias("before"))
+    kept = F.filter(pairs, lambda z: z["line"].isNotNull() & ~(z["here"] & z["before"]))
+    return F.array_join(F.concat(F.transform(kept, lambda z: z["line"]), F.array(F.element_at(lines, -1))), "\n")
 
 
 def hashtags(col: Column | str) -> Column:
