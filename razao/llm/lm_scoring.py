@@ -40,7 +40,9 @@ ALPHA = 0.4
 MIN_COUNT = 2
 ORDERS = 3
 #: bytes of text in a block, and of the whole corpus behind one hash bucket
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: bytes hashed at a time
+HASH_BYTES = 2 << 20
 BUCKET_BYTES = 7 << 20
 
 _BITS = U64((1 << 56) - 1)
@@ -49,9 +51,17 @@ _BITS = U64((1 << 56) - 1)
 def grams(texts: Texts) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Document of each word; per order the n-gram ending at each word that has
     one, and those words."""
-    data = LOWER[texts.data]
-    start, end, doc = texts.words(data)
-    word = PrefixHash(data).of(start, end, 30)
+    words, docs, row = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
+    while row < texts.n:  # a few documents at a time: prefix hashes take 24 bytes a byte
+        upto = int(np.searchsorted(texts.offsets, texts.offsets[row] + HASH_BYTES, side="right")) - 1
+        upto = min(max(upto, row + 1), texts.n)
+        part = Texts(LOWER[texts.data[texts.offsets[row]: texts.offsets[upto]]],
+                     texts.offsets[row: upto + 1] - texts.offsets[row], 0)
+        start, end, doc = part.words()
+        words.append(PrefixHash(part.data).of(start, end, 30))
+        docs.append(doc + row)
+        row = upto
+    word, doc = np.concatenate(words), np.concatenate(docs)
     at = np.arange(len(word))
     first = np.searchsorted(doc, doc)  # the document's first word
     out, where, gram = [], [], word
