@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import groups, joined, pack, unpack
-from .tables import stored
+from .tables import small_batches, stored
 from .textbatch import U64, PrefixHash, Texts, mix, slices
 
 WINDOW = 50
@@ -43,10 +43,10 @@ ANCHOR = 16
 #: a null id, in comparisons
 LAST = (1 << 63) - 1
 #: bytes of text whose anchors make one bucket, and go out in one packed row a bucket
-BUCKET_BYTES = 28 << 20
-FLUSH_BYTES = 32 << 20
+BUCKET_BYTES = 12 << 20
+FLUSH_BYTES = 12 << 20
 #: longer texts are cut into pieces that overlap by WINDOW - 1 bytes
-PIECE = 8 << 20
+PIECE = 2 << 20
 
 _PLACE = (1 << 24) - 1
 _48 = U64((1 << 48) - 1)
@@ -55,6 +55,7 @@ _ENTRY = ("u8", "u8", "i4", "i4", "u1", "u1", "i8", "i4")
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``ord`` orders documents, ``key`` tells rows apart that share an id."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"),
                        F.hash("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
@@ -111,7 +112,7 @@ def _pieces(texts: Texts) -> Iterator[tuple[Texts, int]]:
 
 
 def _anchored(docs: DataFrame, buckets: int) -> DataFrame:
-    """``(bucket, cell)``: packed anchors, a row for each bucket and some 32 MB of text.
+    """``(bucket, cell)``: packed anchors, a row for each bucket and some 12 MB of text.
 
     Of equal segments in one flush only the smallest id's are sent to be
     compared; the others are known to repeat, so a passage that very many
@@ -146,7 +147,7 @@ def _anchored(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             ords = batch.column("ord").to_numpy()
             keys = batch.column("key").to_numpy()
-            for run_ in slices(batch.column("text")):
+            for run_ in slices(batch.column("text"), PIECE):
                 for texts, start in _pieces(run_):
                     ah, sh, doc, lo, cnt = segments(texts)
                     held.append((ah, sh, doc + texts.first - run_.first + n_docs,
