@@ -13,13 +13,14 @@ Candidates without pairs of a whole bucket: equal texts are one vertex.  In
 each bucket one member (the one that meets most others over all its buckets;
 for a group of edited copies that is the original) is compared with the rest,
 links become components, and only buckets that still hold several components
-go on, with members of their smallest component as the next centres, four
+go on, with members of their smallest component as the next centres, sixteen
 times as many each round.  A pair is left out only when both are in one component
 already, so the classes are those of all verified candidate pairs.
 
 Before a pair is made, a bound leaves out those that cannot be linked: shingles
-found in one text only are in no partner, so their share, and the difference in
-length, limit the mass that two texts can have in common (``_possible``).  In
+found in one text only are in no partner, so their share, the difference in
+length, and what each shares with the bucket's first centre limit the mass that
+two texts can have in common (``_possible``).  In
 a group of heavily edited copies this settles nearly all pairs without making
 them, and no link is lost.
 
@@ -198,7 +199,11 @@ def novelty(texts: DataFrame) -> DataFrame:
 
 
 def _possible(similarity: float) -> Column:
-    """Can x and y (columns s, w, u, uw and s2, w2, u2, uw2) be linked at all?
+    """Can x and y (columns s, w, u, uw, m and s2, w2, u2, uw2, m2) be linked at all?
+
+    m is what a text has in common with its bucket's first centre.  Two texts
+    share at most the smaller m of the centre's shingles, and of the others at
+    most those that are not one text's own.
 
     With common mass at most a in x and b in y, the probability Jaccard is at
     most ``ab / (a + b - ab)``: every term of its sum is a concave function,
@@ -208,11 +213,13 @@ def _possible(similarity: float) -> Column:
     weights 1 for the plain Jaccard.
     """
     c = F.col
+    common = F.coalesce(F.least("m", "m2") + F.greatest(F.least(c("s") - c("m") - c("u"), c("s2") - c("m2") - c("u2")), F.lit(0)),
+                        F.least("s", "s2"))
     fits = F.lit(1 + 1 / similarity + 1e-9)
 
     def bound(w: Column, u: Column, w2: Column, u2: Column) -> Column:
-        a = 1 - F.greatest(u, c("s") - c("s2") + c("u2")) / w
-        b = 1 - F.greatest(u2, c("s2") - c("s") + c("u")) / w2
+        a = 1 - F.greatest(u, c("s") - c("s2") + c("u2"), c("s") - common) / w
+        b = 1 - F.greatest(u2, c("s2") - c("s") + c("u"), c("s2") - common) / w2
         return (a > 0) & (b > 0) & (F.try_divide(F.lit(1.0), a) + F.try_divide(F.lit(1.0), b) <= fits)
 
     return bound(c("w"), c("uw"), c("w2"), c("uw2")) | bound(c("s"), c("u"), c("s2"), c("u2"))
@@ -220,15 +227,16 @@ def _possible(similarity: float) -> Column:
 
 def similarities(a: Texts, b: Texts) -> tuple[float, float]:
     """Probability Jaccard and plain Jaccard of two single texts."""
-    return _compare(shingles(a)[1:], shingles(b)[1:])
+    return _compare(shingles(a)[1:], shingles(b)[1:])[:2]
 
 
-def _compare(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+def _compare(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float, int]:
+    """Probability Jaccard, plain Jaccard, number of common shingles."""
     (ga, wa), (gb, wb) = a, b
     both, ia, ib = np.intersect1d(ga, gb, assume_unique=True, return_indices=True)
     union = len(ga) + len(gb) - len(both)
     if not len(both):
-        return 0.0, 0.0
+        return 0.0, 0.0, 0
     # sum over the common x of 1 / sum_y max(wa(y)/wa(x), wb(y)/wb(x)): in the
     # order of wa/wb every y takes its share of a on one side of x, of b on the other
     xa, xb = wa[ia], wb[ib]
@@ -237,11 +245,11 @@ def _compare(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     only_a, only_b = wa.sum() - xa.sum(), wb.sum() - xb.sum()
     from_here = only_a + np.cumsum(xa[::-1])[::-1]
     before = only_b + np.concatenate([[0.0], np.cumsum(xb)[:-1]])
-    return float((1.0 / (from_here / xa + before / xb)).sum()), len(both) / union
+    return float((1.0 / (from_here / xa + before / xb)).sum()), len(both) / union, len(both)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs ``(a, b)`` that are similar.  ``a`` may be in very many pairs:
+    """``(a, b, similar, common)`` of the pairs.  ``a`` may be in very many pairs:
     its rows are split by adaptive skew handling, its text is one row."""
     left = pairs.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
     full = left.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
@@ -250,7 +258,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
         last, last_set = None, None
         for batch in batches:
             name_a, name_b = batch.column("a"), batch.column("b")
-            keep = np.zeros(len(batch), bool)
+            keep, common = np.zeros(len(batch), bool), np.zeros(len(batch), np.int64)
             row = 0
             for run in slices(batch.column("text_b")):
                 doc, gram, weight = shingles(run)
@@ -260,12 +268,14 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
                         last = name_a[row].as_py()
                         last_set = shingles(next(slices(batch.column("text_a").slice(row, 1))))[1:]
                     own = slice(edge[i], edge[i + 1])
-                    keep[row] = max(_compare(last_set, (gram[own], weight[own]))) >= similarity
+                    probable, plain, common[row] = _compare(last_set, (gram[own], weight[own]))
+                    keep[row] = max(probable, plain) >= similarity
                     row += 1
-            yield pa.RecordBatch.from_arrays([name_a, name_b], ["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([name_a, name_b, pa.array(keep), pa.array(common)],
+                                             ["a", "b", "similar", "common"])
 
     return (full.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-            .mapInArrow(similar, "a string, b string"))
+            .mapInArrow(similar, "a string, b string, similar boolean, common long"))
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS,
@@ -282,7 +292,8 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS,
     # a text of which more than the rest to 0.8 is its own has no partner
     left = stored(left.join(stored(novelty(texts), "novelty"), "v")
                   .where(F.least(F.col("uw") / F.col("w"), F.col("u") / F.col("s")) <= 1 - similarity + 1e-9), "members")
-    facts = ["s", "w", "u", "uw"]
+    left = left.withColumn("m", F.lit(None).cast("long"))
+    facts = ["s", "w", "u", "uw", "m"]
     edges, checked = empty, empty
     component = spark.createDataFrame([], "node string, component string")
     centres = 1
@@ -309,7 +320,8 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS,
         pairs = pairs.join(checked.select(F.col("a").alias("lo"), F.col("b").alias("hi")), ["lo", "hi"], "left_anti")
         pairs = stored(pairs, "pairs")
         checked = checked.unionByName(pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-        new = stored(verify(pairs.select("a", "b"), texts, similarity), "links")
+        seen = stored(verify(pairs.select("a", "b"), texts, similarity), "compared")
+        new = seen.where("similar").select("a", "b")
         if not new.isEmpty():
             edges = edges.unionByName(new)
             component = stored(connected_components(edges), "components")
@@ -317,7 +329,13 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS,
         left = stored(state.drop("c").join(
             chosen.select("shared", "centre"),
             (F.col("bucket") == F.col("shared")) & (F.col("v") == F.col("centre")), "left_anti"), "members")
-        centres *= 4
+        if centres == 1:  # what each member has in common with its bucket's first centre
+            met = seen.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "common")
+            left = stored(left.drop("m").join(chosen.select("shared", "centre"), F.col("bucket") == F.col("shared"))
+                          .withColumns({"lo": F.least("v", "centre"), "hi": F.greatest("v", "centre")})
+                          .join(met, ["lo", "hi"], "left")
+                          .select("bucket", "v", "degree", "s", "w", "u", "uw", F.col("common").alias("m")), "members")
+        centres *= 16
     return signed, component.select(F.col("node").alias("v"), "component")
 
 
