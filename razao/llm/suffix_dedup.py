@@ -9,9 +9,13 @@ document with a smaller id.  Strings are judged on the input.
    Consecutive windows with one anchor make a segment.  Only (anchor hash,
    segment hash, place) is shuffled, packed by anchor bucket: one entry for some
    18 windows.
+   Of equal segments of one flush only the first holder's goes there; the
+   others are known to repeat and go straight to their documents.
 2. A segment that equals one of a smaller id is repeated as a whole.  What is
    left undecided are the first holders of segments whose anchor has other
-   segments too.
+   segments too.  An anchor with very many contexts (``_hot``) is dealt by the
+   whole segment here and by the whole window in step 3, where again a flush
+   sends only the first holder of a window; so no anchor is one task.
 3. Their suffixes are sorted.  Two suffixes are compared by their longest common
    extension, found by binary search over prefix polynomial hashes; a mergesort
    runs over all groups of an anchor at once.  Neighbours that agree in WINDOW
@@ -50,7 +54,15 @@ PIECE = 2 << 20
 
 _PLACE = (1 << 24) - 1
 _48 = U64((1 << 48) - 1)
-_ENTRY = ("u8", "u8", "i4", "i4", "u1", "u1", "i8", "i4")
+_ENTRY = ("u8", "u8", "i4", "i4", "u1", "i8", "i4")
+#: repeats on their way to their documents, in groups of negative numbers
+_KNOWN = ("i8", "i4", "i4", "i4")
+#: an anchor is hot with so many contexts in one of SAMPLE texts; at most MOST_HOT are
+SAMPLE, HOT_CONTEXTS, MOST_HOT = 64, 8, 100_000
+#: segments met so often in a flush are remembered by the task, so many at most
+OFTEN, MOST_SEEN = 4, 100_000
+#: bytes of undecided segments sorted at once (one anchor's at least)
+SORT_BYTES = 1 << 20
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -111,38 +123,98 @@ def _pieces(texts: Texts) -> Iterator[tuple[Texts, int]]:
         yield Texts(part, np.array([0, len(part)]), texts.first), start
 
 
-def _anchored(docs: DataFrame, buckets: int) -> DataFrame:
+def _hot(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the anchors with the most contexts, from one of SAMPLE texts.
+
+    They only tell by which key an anchor's entries are dealt; results are the
+    same whatever is in the list.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run_ in slices(batch.column("text"), PIECE):
+                for texts, _ in _pieces(run_):
+                    ah, sh = segments(texts)[:2]
+                    order = np.lexsort((sh, ah))
+                    ah, sh = ah[order], sh[order]
+                    new = np.append(True, (ah[1:] != ah[:-1]) | (sh[1:] != sh[:-1])) if len(ah) else np.zeros(0, bool)
+                    starts, bounds = groups(ah[new])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ah[new][starts].view(np.int64)), pa.array(np.diff(bounds).astype(np.int64))], ["ah", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    counts = some.mapInArrow(run, "ah long, n long").groupBy("ah").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= HOT_CONTEXTS).orderBy(F.col("n").desc(), "ah").limit(MOST_HOT).collect()
+    return np.sort(np.array([r["ah"] for r in rows], np.int64).view(U64))
+
+
+def _is_hot(ah: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(ah), bool)
+    return hot[np.minimum(np.searchsorted(hot, ah), len(hot) - 1)] == ah
+
+
+def _known(ord_: np.ndarray, key: np.ndarray, lo: np.ndarray, cnt: np.ndarray) -> tuple[int, bytes]:
+    """Group number and cell of spans that are known to repeat: a group for each flush."""
+    order = np.lexsort((lo, key, ord_))
+    ord_, key, lo, cnt = (x[order] for x in (ord_, key, lo, cnt))
+    name = mix(ord_[-1:].view(U64) ^ mix(ord_[:1].view(U64) + lo[:1].astype(U64)), 24)
+    return -1 - int(name[0] >> U64(2)), pack(ord_, key, lo.astype(np.int32), cnt.astype(np.int32))
+
+
+def _cells(numbered: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n for n, _ in numbered], pa.int64()),
+                                       pa.array([c for _, c in numbered], pa.binary())], ["bucket", "cell"])
+
+
+def _anchored(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """``(bucket, cell)``: packed anchors, a row for each bucket and some 12 MB of text.
 
     Of equal segments in one flush only the smallest id's are sent to be
-    compared; the others are known to repeat, so a passage that very many
-    documents hold takes one entry a flush.
+    compared; the others are known to repeat and go to a group of their flush,
+    in no bucket.  A task remembers what it met OFTEN, so a passage that very
+    many documents hold takes one entry a task and one for each smaller id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, names, held_bytes, n_docs = [], [], 0, 0
+        seen = (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64))
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, names, held_bytes, n_docs
+            nonlocal held, names, held_bytes, n_docs, seen
             ah, sh, doc, lo, cnt = (np.concatenate(x) for x in zip(*held, strict=True))
             ords, keys = (np.concatenate(x) for x in zip(*names, strict=True))
             held, names, held_bytes, n_docs = [], [], 0, 0
-            order = np.lexsort((ords[doc], sh, ah))
-            ah, sh, doc, lo, cnt = (x[order] for x in (ah, sh, doc, lo, cnt))
-            ord_ = ords[doc]
+            if not len(ah):
+                return
+            n = len(ah)
+            ah, sh = np.concatenate([ah, seen[0]]), np.concatenate([sh, seen[1]])
+            ord_ = np.concatenate([ords[doc], seen[2]])
+            order = np.lexsort((ord_, sh, ah))
+            ah, sh, ord_ = ah[order], sh[order], ord_[order]
             new = np.concatenate([[True], (ah[1:] != ah[:-1]) | (sh[1:] != sh[:-1])])
-            first = ord_[np.flatnonzero(new)][np.cumsum(new) - 1]
-            state = (ord_ > first).astype(np.uint8)  # 1: repeats
-            of = (ah % U64(buckets)).astype(np.int64)
+            number, at = np.cumsum(new) - 1, np.flatnonzero(new)
+            times = np.bincount(number, np.where(order < n, 1, OFTEN))
+            often = np.flatnonzero(times >= OFTEN)
+            often = at[often[np.argsort(-times[often], kind="stable")[:MOST_SEEN]]]
+            seen = (ah[often], sh[often], ord_[often])
+            own = order < n
+            repeat = (ord_ > ord_[at][number])[own]
+            ah, sh, i = ah[own], sh[own], order[own]
+            doc, lo, cnt = doc[i], lo[i], cnt[i]
+            out = []
+            if repeat.any():
+                out.append(_known(ords[doc[repeat]], keys[doc[repeat]], lo[repeat], cnt[repeat]))
+            ah, sh, doc, lo, cnt = (x[~repeat] for x in (ah, sh, doc, lo, cnt))
+            of = (np.where(_is_hot(ah, hot), mix(ah ^ mix(sh, 25), 26), ah) % U64(buckets)).astype(np.int64)
             order = np.argsort(of, kind="stable")
             starts, bounds = groups(of[order])
-            cells = []
             for a, b in zip(starts, bounds[1:], strict=True):
                 i = order[a:b]
                 used, at = np.unique(doc[i], return_inverse=True)
-                cells.append(pack(ah[i], sh[i], at.astype(np.int32), lo[i], cnt[i], state[i], ords[used], keys[used]))
-            yield pa.RecordBatch.from_arrays([pa.array(of[order[starts]]), pa.array(cells, pa.binary())],
-                                             ["bucket", "cell"])
+                out.append((int(of[order[a]]),
+                            pack(ah[i], sh[i], at.astype(np.int32), lo[i], cnt[i], ords[used], keys[used])))
+            yield _cells(out)
 
         for batch in batches:
             ords = batch.column("ord").to_numpy()
@@ -180,20 +252,32 @@ def _by_doc(ord_: np.ndarray, key: np.ndarray, lo: np.ndarray, cnt: np.ndarray,
          pa.ListArray.from_arrays(offsets, pa.array(ah.astype(np.int64)))], ["ord", "key", "lo", "cnt", "ah"])
 
 
-def _judge_segments(bucket: pa.Table) -> pa.Table:
+def _told(bucket: pa.Table) -> pa.Table | None:
+    """The repeats of a group that holds known ones."""
+    if bucket.column("bucket")[0].as_py() >= 0:
+        return None
+    ord_, key, lo, cnt = joined((c.as_buffer() for c in bucket.column("cell")), *_KNOWN)
+    return _by_doc(ord_, key, lo, cnt, np.full(len(ord_), -1))
+
+
+def _judge_segments(bucket: pa.Table, hot: np.ndarray) -> pa.Table:
     """Whole segments of one anchor bucket: repeats, and what is undecided."""
-    parts = [unpack(c, *_ENTRY) for c in bucket.column("cell").to_pylist()]
-    ah, sh, lo, cnt, state = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4, 5))
-    ord_, key = (np.concatenate([p[i][p[2]] for p in parts]) for i in (6, 7))
+    told = _told(bucket)
+    if told is not None:
+        return told
+    parts = [unpack(c.as_buffer(), *_ENTRY) for c in bucket.column("cell")]
+    ah, sh, lo, cnt = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4))
+    ord_, key = (np.concatenate([p[i][p[2]] for p in parts]) for i in (5, 6))
+    del parts
     order = np.lexsort((ord_, sh, ah))
-    ah, sh, ord_, key, lo, cnt, state = (x[order] for x in (ah, sh, ord_, key, lo, cnt, state))
+    ah, sh, ord_, key, lo, cnt = (x[order] for x in (ah, sh, ord_, key, lo, cnt))
     if not len(ah):
         return _by_doc(ord_, key, lo, cnt, ah)
     new_anchor = np.concatenate([[True], ah[1:] != ah[:-1]])
     new = new_anchor | np.concatenate([[True], sh[1:] != sh[:-1]])
     segment, anchor = np.cumsum(new) - 1, np.cumsum(new_anchor) - 1
     first = ord_[np.flatnonzero(new)]
-    repeat = (ord_ > first[segment]) | (state == 1)
+    repeat = ord_ > first[segment]
     # an anchor with several segments, not all of one document
     of_segment = anchor[np.flatnonzero(new)]
     low = np.full(anchor[-1] + 1, LAST)
@@ -201,6 +285,7 @@ def _judge_segments(bucket: pa.Table) -> pa.Table:
     np.minimum.at(low, of_segment, first)
     np.maximum.at(high, of_segment, first)
     several = (np.bincount(of_segment) > 1) & (low < high)
+    several |= _is_hot(ah[np.flatnonzero(new_anchor)], hot)  # its other segments are in other buckets
     open_ = ~repeat & several[anchor]
     take = repeat | open_
     return _by_doc(ord_[take], key[take], lo[take], cnt[take], np.where(repeat, -1, ah.astype(np.int64))[take])
@@ -216,10 +301,46 @@ def _gathered(spans: DataFrame) -> DataFrame:
 _UNDECIDED = ("u8", "i8", "i4", "i4", "i4", "i4", "u1")
 
 
-def _undecided(docs: DataFrame, buckets: int) -> DataFrame:
-    """``(bucket, cell)``: undecided segments with their bytes."""
+def _undecided(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """``(bucket, cell)``: undecided segments with their bytes.
+
+    Equal windows have equal bytes on both sides of the anchor, so those of a
+    hot anchor go by all of their bytes, a window at a time; of equal windows in
+    one flush only the smallest id's go on, as for segments.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_bytes = [], 0
+
+        def packed(ah, ords, keys, lo, cnt, size, data) -> Iterator[tuple[int, bytes]]:
+            of = (ah % U64(buckets)).astype(np.int64)
+            base = np.cumsum(size, dtype=np.int64) - size
+            order = np.argsort(of, kind="stable")
+            starts, bounds = groups(of[order])
+            for a, b in zip(starts, bounds[1:], strict=True):
+                i = order[a:b]
+                yield int(of[i[0]]), pack(ah[i], ords[i], keys[i], lo[i], cnt[i], size[i], data[_ranges(base[i], size[i])])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, held_bytes
+            ah, ords, keys, lo, cnt, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, held_bytes = [], 0
+            base = np.cumsum(size, dtype=np.int64) - size
+            often = _is_hot(ah, hot)
+            for mine in (np.flatnonzero(~often), np.flatnonzero(often)):
+                some = [x[mine] for x in (ah, ords, keys, lo, cnt, size)]
+                some.append(data[_ranges(base[mine], size[mine])])
+                if len(mine) and often[mine[0]]:
+                    for piece, within, hit, windows, name in _windows(some[0], some[1], *some[4:]):
+                        if hit.any():
+                            i = piece[hit]
+                            yield _cells([_known(some[1][i], some[2][i], some[3][i] + within[hit], np.ones(len(i), np.int32))])
+                        i, one = piece[~hit], np.ones(int((~hit).sum()), np.int32)
+                        yield _cells(list(packed(name[~hit], some[1][i], some[2][i], (some[3][i] + within[~hit]).astype(np.int32),
+                                                 one, one * WINDOW, windows(~hit))))
+                elif len(mine):
+                    yield _cells(list(packed(*some)))
+
         for batch in batches:
             lists = batch.column("ah")
             flat = lists.flatten().to_numpy()
@@ -233,23 +354,24 @@ def _undecided(docs: DataFrame, buckets: int) -> DataFrame:
             text = batch.column("text").cast(pa.large_string())
             base = np.frombuffer(text.buffers()[1], np.int64)[text.offset: text.offset + len(text)]
             data = np.frombuffer(text.buffers()[2], np.uint8)
-            of = (ah % U64(buckets)).astype(np.int64)
-            order = np.argsort(of, kind="stable")
-            starts, bounds = groups(of[order])
-            cells = []
-            for a, b in zip(starts, bounds[1:], strict=True):
-                i = order[a:b]
-                size = cnt[i] + WINDOW - 1
-                begin = base[row[i]] + lo[i]
-                within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                cells.append(pack(ah[i], ords[i], keys[i], lo[i], cnt[i], size.astype(np.int32),
-                                  data[np.repeat(begin, size) + within]))
-            yield pa.RecordBatch.from_arrays([pa.array(of[order[starts]]), pa.array(cells, pa.binary())],
-                                             ["bucket", "cell"])
+            size = (cnt + WINDOW - 1).astype(np.int32)
+            for part in np.array_split(np.arange(len(pick)), int(size.sum()) // FLUSH_BYTES + 1):
+                held.append((ah[part], ords[part], keys[part], lo[part], cnt[part], size[part],
+                             data[_ranges(base[row[part]] + lo[part], size[part])]))
+                held_bytes += int(size[part].sum())
+                if held_bytes >= FLUSH_BYTES:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return docs.select("ord", "key", "text", "lo", "cnt", "ah").mapInArrow(run, "bucket long, cell binary")
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0] .. begin[0] + size[0] - 1, begin[1] .. and so on."""
+    return np.repeat(begin - (np.cumsum(size, dtype=np.int64) - size), size) + np.arange(int(size.sum()))
+
+
 class SuffixSort:
     """Sorts suffixes of one buffer, cut to ``length`` bytes, group by group."""
 
@@ -320,30 +442,54 @@ class SuffixSort:
         return order
 
 
+def _windows(ah: np.ndarray, ord_: np.ndarray, cnt: np.ndarray, size: np.ndarray, data: np.ndarray) -> Iterator[tuple]:
+    """Suffix sort of all windows, some SORT_BYTES of whole anchors at a time.
+
+    Yields the windows' segment and place in it, whether an equal window has a
+    smaller id, a function that gives the bytes of some, and a hash of the bytes.
+    """
+    by = np.argsort(ah, kind="stable")
+    base = np.cumsum(size, dtype=np.int64) - size
+    upto = np.concatenate([[0], np.cumsum(size[by], dtype=np.int64)])
+    ends = groups(ah[by])[1][1:]
+    step = np.arange(WINDOW)
+    a = 0
+    while a < len(by):
+        fit = int(np.searchsorted(upto[ends], upto[a] + SORT_BYTES, side="right")) - 1
+        b = int(max(ends[max(fit, 0)], ends[np.searchsorted(ends, a, side="right")]))
+        i, a = by[a:b], b
+        part = data[_ranges(base[i], size[i])]
+        begin = np.cumsum(size[i], dtype=np.int64) - size[i]
+        start = _ranges(begin, cnt[i])
+        piece = np.repeat(i, cnt[i])
+        within = start - np.repeat(begin, cnt[i])
+        sorter = SuffixSort(np.append(part, np.uint8(0)), WINDOW)
+        order = sorter.sort(start, ah[piece])
+        piece, within, start = piece[order], within[order], start[order]
+        same = np.zeros(len(start), bool)
+        x, y = start[:-1], start[1:]
+        close = np.flatnonzero((sorter.common(x, y) >= WINDOW) & (ah[piece[:-1]] == ah[piece[1:]]))
+        for c in np.array_split(close, len(close) // 100_000 + 1):  # verified byte by byte
+            same[c + 1] = (part[x[c][:, None] + step] == part[y[c][:, None] + step]).all(axis=1)
+        number = np.cumsum(~same) - 1
+        smallest = np.full(number[-1] + 1, LAST)
+        np.minimum.at(smallest, number, ord_[piece])
+
+        def windows(some: np.ndarray, part=part, start=start) -> np.ndarray:
+            return part[(start[some][:, None] + step).ravel()]
+
+        yield (piece, within, ord_[piece] > smallest[number], windows,
+               mix(sorter.hashes.raw(start, start + WINDOW), 27) & _48)
+
+
 def _judge_windows(bucket: pa.Table) -> pa.Table:
     """Suffix sort of the undecided windows of one bucket: the repeats among them."""
-    ah, ord_, key, lo, cnt, size, data = joined(bucket.column("cell").to_pylist(), *_UNDECIDED)
-    base = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
-    piece = np.repeat(np.arange(len(ah)), cnt)
-    within = np.arange(len(piece)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-    start = base[piece] + within
-    order = np.argsort(ah[piece], kind="stable")
-    piece, within, start = piece[order], within[order], start[order]
-    sorter = SuffixSort(np.append(data, np.uint8(0)), WINDOW)
-    order = sorter.sort(start, ah[piece])
-    piece, within, start = piece[order], within[order], start[order]
-    same = np.zeros(len(start), bool)
-    if len(start) > 1:
-        a, b = start[:-1], start[1:]
-        close = np.flatnonzero((sorter.common(a, b) >= WINDOW) & (ah[piece[:-1]] == ah[piece[1:]]))
-        step = np.arange(WINDOW)
-        for part in np.array_split(close, len(close) // 100_000 + 1):  # verified byte by byte
-            same[part + 1] = (data[a[part][:, None] + step] == data[b[part][:, None] + step]).all(axis=1)
-    number = np.cumsum(~same) - 1
-    smallest = np.full(number[-1] + 1 if len(number) else 0, LAST)
-    np.minimum.at(smallest, number, ord_[piece])
-    hit = ord_[piece] > smallest[number]
-    piece, within = piece[hit], within[hit]
+    told = _told(bucket)
+    if told is not None:
+        return told
+    ah, ord_, key, lo, cnt, size, data = joined((c.as_buffer() for c in bucket.column("cell")), *_UNDECIDED)
+    found = [(piece[hit], within[hit]) for piece, within, hit, _, _ in _windows(ah, ord_, cnt, size, data)]
+    piece, within = (np.concatenate(x) for x in zip(*found, strict=True))
     return _by_doc(ord_[piece], key[piece], lo[piece] + within, np.ones(len(piece), np.int32),
                    np.full(len(piece), -1))
 
@@ -380,11 +526,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    judged = _anchored(rows, buckets).groupBy("bucket").applyInArrow(_judge_segments, _SPANS)
+    hot = _hot(rows)
+
+    def judge(bucket: pa.Table) -> pa.Table:
+        return _judge_segments(bucket, hot)
+
+    judged = _anchored(rows, buckets, hot).groupBy("bucket").applyInArrow(judge, _SPANS)
     shared = _gathered(judged)
     texts = stored(rows.join(shared, (F.col("ord") == F.col("o")) & (F.col("key") == F.col("k")))
                    .select("ord", "key", "text", "lo", "cnt", "ah"), "shared-passages")
-    late = _undecided(texts, buckets).groupBy("bucket").applyInArrow(_judge_windows, _SPANS)
+    late = _undecided(texts, buckets, hot).groupBy("bucket").applyInArrow(_judge_windows, _SPANS)
     late = _gathered(late).select("o", "k", F.col("lo").alias("lo2"), F.col("cnt").alias("cnt2"), F.col("ah").alias("ah2"))
     both = (texts.join(late, (F.col("ord") == F.col("o")) & (F.col("key") == F.col("k")), "left")
             .select("ord", "key", "text",
