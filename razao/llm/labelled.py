@@ -1,9 +1,9 @@
-"""A bounded sample of labelled documents and the cut that separates them."""
+"""A bounded sample of trusted documents, and the cut that separates all labelled ones."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import ngrams
 from .tables import documents
 
-#: most labelled documents used to fit and calibrate a classifier
+#: most labelled documents used to fit a classifier; the cut takes all held-out ones
 MOST_LABELS = 20_000
 #: score histogram: cells a unit of mean log ratio
 CELLS = 1000
@@ -21,13 +21,13 @@ CELLS = 1000
 GOOD_WEIGHT = 5.0
 
 
-def sample(labels: DataFrame, most: int = MOST_LABELS, seed: int = 7) -> DataFrame:
-    """``(doc_id, role)`` of at most ``most`` labelled documents.
+def roles(labels: DataFrame, seed: int = 7) -> DataFrame:
+    """``(doc_id, role, h)`` of every labelled document.
 
     Role ``fit`` (three quarters of the trusted ones: quality 1, not toxic)
     trains, ``good`` (the other trusted ones) and ``bad`` (quality 0)
-    calibrate.  Which rows are taken depends on a hash of the id only.  Of
-    several labels of one document the worst holds; null labels say nothing.
+    calibrate.  The role depends on a hash of the id only.  Of several labels
+    of one document the worst holds; null labels say nothing.
     """
     h = F.xxhash64(F.col("doc_id"), F.lit(seed))
     one = (labels.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -40,7 +40,12 @@ def sample(labels: DataFrame, most: int = MOST_LABELS, seed: int = 7) -> DataFra
             .when(F.col("toxic") != 0, None)
             .when(F.pmod(h, F.lit(4)) > 0, "fit")
             .otherwise("good"))
-    return (one.select("doc_id", role.alias("role"), h.alias("h")).where("role IS NOT NULL")
+    return one.select("doc_id", role.alias("role"), h.alias("h")).where("role IS NOT NULL")
+
+
+def sample(labels: DataFrame, most: int = MOST_LABELS, seed: int = 7, role: str = "fit") -> DataFrame:
+    """``(doc_id, role)`` of at most ``most`` documents of a role that trains."""
+    return (roles(labels, seed).where(F.col("role") == role)
             .orderBy("h", "doc_id").limit(most).select("doc_id", "role"))
 
 
@@ -49,33 +54,42 @@ def model(docs: DataFrame, labels: DataFrame, buckets: int = ngrams.BUCKETS,
     """Log ratio per bucket and the cut on the mean log ratio of a document.
 
     The raw multinomial covers every n-gram of every document, the target
-    multinomial those of the ``fit`` sample.  The cut is chosen on held-out
+    multinomial those of the ``fit`` sample.  The cut is chosen on all held-out
     labelled documents.  Without labels all ratios are 0 and the cut is -inf.
     """
     docs = documents(docs)
     # at most ``most`` rows of two short columns: a proven broadcast bound
-    roles = F.broadcast(sample(labels, most))
-    marked = docs.join(roles, "doc_id", "left").select(
+    fit = F.broadcast(sample(labels, most))
+    marked = docs.join(fit, "doc_id", "left").select(
         "text", (F.col("role") == "fit").alias("trusted"))
     ratio = ngrams.log_ratio(ngrams.histogram(marked, buckets), buckets)
-    return ratio, cut(docs.join(roles.where("role <> 'fit'"), "doc_id"), ratio)
+    return ratio, cut(docs, roles(labels).where("role IN ('good', 'bad')"),
+                      lambda text: _mean(*ngrams.scores(text, ratio)))
+
 
+def _mean(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, total / np.maximum(n, 1), np.nan)
 
-def cut(docs: DataFrame, ratio: np.ndarray) -> float:
-    """The cut on the mean log ratio with the fewest weighted errors.
 
-    Of equally good cuts the middle of the widest interval is taken.  The
-    driver gets a histogram with CELLS cells a unit, not the documents.
+def cut(docs: DataFrame, held_out: DataFrame, score: Callable[[pa.Array], np.ndarray]) -> float:
+    """The cut on ``score`` with the fewest weighted errors on ``held_out(doc_id, role)``.
+
+    Of equally good cuts the middle of the widest interval is taken.  Documents
+    are scored where they are and only ids and cells meet the labels; the driver
+    gets a histogram with CELLS cells a unit, not the documents.  A document
+    that scores NaN has no place in it.
     """
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, n = ngrams.scores(batch.column("text"), ratio)
-            cell = np.floor(total[n > 0] / n[n > 0] * CELLS).astype(np.int64)
-            good = np.asarray(batch.column("role").to_pylist())[n > 0] == "good" if len(n) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(good)], ["cell", "good"])
-
-    rows = (docs.select("text", "role").mapInArrow(score, "cell long, good boolean")
+            value = score(batch.column("text"))
+            some = ~np.isnan(value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").filter(pa.array(some)),
+                 pa.array(np.floor(value[some] * CELLS).astype(np.int64))], ["doc_id", "cell"])
+
+    rows = (docs.where("doc_id IS NOT NULL").mapInArrow(cells, "doc_id long, cell long")
+            .join(held_out.select("doc_id", (F.col("role") == "good").alias("good")), "doc_id")
             .groupBy("cell").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
             .orderBy("cell").collect())
     n_good, n_bad = sum(r["good"] for r in rows), sum(r["bad"] for r in rows)

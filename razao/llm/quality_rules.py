@@ -3,8 +3,8 @@
 Every document gets the length-normalised log-likelihood ratio between a
 trusted-target multinomial and the raw-corpus multinomial over hashed
 unigrams and bigrams, and one threshold decides.  The raw counts cover the
-whole corpus; the target counts and the threshold come from a bounded,
-documented sample of labelled documents (``labelled.MOST_LABELS``).
+whole corpus, the threshold comes from all held-out labelled documents; only
+the target counts come from a bounded sample (``labelled.MOST_LABELS``).
 
 Two passes over the corpus, no shuffle of texts: the first sums one vector of
 ``ngrams.BUCKETS`` cells, the second scores each document in its own row.

@@ -119,6 +119,20 @@ def test_keep_documents(docs, labels):
     assert sorted(map(str, want)) == sorted(str(r["doc_id"]) for r in kept.collect())
 
 
+def test_cut_covers_all_held_out_labels(spark):
+    """A small fit sample and rare bad labels: the cut still sees all of them."""
+    good = [(i, " ".join(f"word{(i * k) % 17}" for k in range(60))) for i in range(1, 400)]
+    bad = [(i, "%% $$ && ## zz " * 20) for i in range(400, 405)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 400), 0) for i, _ in good + bad], "doc_id long, quality int, toxic int")
+    ratio, cut = labelled.model(docs, labels, most=8)
+    held = {r["doc_id"]: r["role"] for r in labelled.roles(labels).collect()}
+    total, n = ngrams.scores(pa.array([t for _, t in good + bad]), ratio)
+    kept = dict(zip([i for i, _ in good + bad], total / n >= cut, strict=True))
+    assert np.isfinite(cut) and not any(kept[i] for i, _ in bad)
+    assert np.mean([kept[i] for i, r in held.items() if r == "good"]) > 0.9
+
+
 def test_label_sample_is_bounded(spark):
     many = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic")
     assert labelled.sample(many, 100).count() == 100
