@@ -45,7 +45,9 @@ def file_groups(spark: SparkSession, path: str | list[str], sep: str, encoding:
     One pass over the lines tells each file's header, whether a cell breaks
     over lines (a line with an odd number of quotes) and whether it holds a
     byte that cp1252 leaves undefined.  The driver gets one short row per
-    file, as it does for any file listing.
+    file, as it does for any file listing.  The header is the first line that
+    is not blank, as for Spark's own reader; a file that Spark would give
+    another header raises.
     """
     text = spark.read.option("recursiveFileLookup", True)
     if encoding == "UTF-8":
@@ -59,12 +61,18 @@ def file_groups(spark: SparkSession, path: str | list[str], sep: str, encoding:
                         F.monotonically_increasing_id().alias("n")))
     odd = (F.length("v") - F.length(F.replace(F.col("v"), F.lit('"'), F.lit("")))) % 2 == 1
     at = F.struct("file_block_start", "n")
+    # characters up to the blank are blank for Spark's reader
+    some = F.regexp_like("v", F.lit(r"[^\x00-\x20]"))
     facts = rows.groupBy("file_path").agg(
-        F.min_by("v", at).alias("header"), F.coalesce(F.max(odd), F.lit(False)).alias("multiline"),
+        F.min_by("v", F.when(some, at)).alias("header"),
+        F.min_by("v", F.when(~F.col("v").isin("", "\r"), at)).alias("first"), F.coalesce(F.max(odd), F.lit(False)).alias("multiline"),
         F.coalesce(F.max(F.regexp_like("v", F.lit(_UNDEFINED))), F.lit(False)).alias("undefined")).collect()
     out: dict[tuple, list[str]] = {}
     for r in sorted(facts, key=lambda r: r["file_path"]):
         cells = tuple(next(csv.reader([(r["header"] or "").lstrip("\ufeff").rstrip("\r")], delimiter=sep), []))
+        # a scan of cells that break over lines takes a line of blanks for the header
+        if r["header"] is not None and (not cells or r["multiline"] and r["first"] != r["header"]):
+            raise ValueError(f"no header in the first lines of {r['file_path']}")
         if cells:
             out.setdefault((cells, r["multiline"], r["undefined"]), []).append(unquote(r["file_path"]))
     return [FileGroup(*k, tuple(v)) for k, v in out.items()]

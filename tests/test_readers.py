@@ -191,3 +191,18 @@ def test_cdb_files_and_long_statements(spark, tmp_path):
 def test_cdb_is_no_table_dialect(spark):
     with pytest.raises(ValueError, match="statement_files"):
         stm.standardize(spark.createDataFrame([("",)], "Data string"), "bb-cdb")
+
+
+def test_blank_lines_before_the_header(spark, tmp_path):
+    """The header is the first line that is not blank; no row is lost."""
+    (tmp_path / "a.csv").write_text("\n  \na;b\n1;x\n2;y\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_bytes(b"\r\na;b\r\n3;\"two\r\nlines\"\r\n")
+    (tmp_path / "empty.csv").write_text("\n\n", encoding="utf-8")
+    rows = csvs.read_table_csv(spark, str(tmp_path), columns=["a", "b"]).collect()
+    assert sorted((r["a"], r["b"].replace("\r", "")) for r in rows) == [("1", "x"), ("2", "y"), ("3", "two\nlines")]
+
+
+def test_file_without_header_raises(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("  \na;b\n1;\"x\ny\"\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="no header"):
+        csvs.read_table_csv(spark, str(tmp_path))
