@@ -15,6 +15,8 @@ from .tables import documents
 
 #: most labelled documents used to fit a classifier; the cut takes all held-out ones
 MOST_LABELS = 20_000
+#: cells of the toxic evidence: so many that a long document fills few of them
+TOXIC_BUCKETS = 1 << 18
 #: score histogram: cells a unit of mean log ratio
 CELLS = 1000
 #: a trusted document under the cut weighs as many untrusted ones over it
@@ -26,18 +28,20 @@ def roles(labels: DataFrame, seed: int = 7) -> DataFrame:
 
     Role ``fit`` (three quarters of the trusted ones: quality 1, not toxic)
     trains, ``good`` (the other trusted ones) and ``bad`` (quality 0)
-    calibrate.  The role depends on a hash of the id only.  Of several labels
+    calibrate; ``toxic_fit`` and ``toxic`` do so for toxic documents that are
+    not ``bad``.  The role depends on a hash of the id only.  Of several labels
     of one document the worst holds; null labels say nothing.
     """
     h = F.xxhash64(F.col("doc_id"), F.lit(seed))
     one = (labels.select(F.col("doc_id").cast("long").alias("doc_id"),
                          F.col("quality").cast("int").alias("quality"),
                          F.col("toxic").cast("int").alias("toxic"))
-           .where("doc_id IS NOT NULL AND quality IS NOT NULL")
+           .where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic <> 0)")
            .groupBy("doc_id").agg(F.min("quality").alias("quality"),
                                   F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")))
     role = (F.when(F.col("quality") == 0, "bad")
-            .when(F.col("toxic") != 0, None)
+            .when((F.col("toxic") != 0) & (F.pmod(h, F.lit(4)) > 0), "toxic_fit")
+            .when(F.col("toxic") != 0, "toxic")
             .when(F.pmod(h, F.lit(4)) > 0, "fit")
             .otherwise("good"))
     return one.select("doc_id", role.alias("role"), h.alias("h")).where("role IS NOT NULL")
@@ -67,6 +71,43 @@ def model(docs: DataFrame, labels: DataFrame, buckets: int = ngrams.BUCKETS,
                       lambda text: _mean(*ngrams.scores(text, ratio)))
 
 
+def toxicity(docs: DataFrame, labels: DataFrame, buckets: int = TOXIC_BUCKETS,
+             most: int = MOST_LABELS) -> tuple[np.ndarray, float]:
+    """Evidence per cell, toxic over trusted, and the least ``mildness`` that is kept.
+
+    A toxic document may be a few words in a long clean one, so a cell's
+    evidence is the log ratio of the shares of documents that hold it, and a
+    document is judged by its strongest cell.  Without toxic labels to train
+    and to calibrate nothing is rejected.
+    """
+    docs = documents(docs)
+    fit = sample(labels, most).unionByName(sample(labels, most, role="toxic_fit"))
+    marked = docs.join(F.broadcast(fit), "doc_id").select("text", (F.col("role") == "fit").alias("trusted"))
+    held, n_all, n_trusted = np.zeros((2, buckets)), 0, 0
+    for r in ngrams.holders(marked, buckets).collect():
+        if r["bucket"] < 0:
+            n_all, n_trusted = r["raw"], r["target"]
+        else:
+            held[:, r["bucket"]] = r["raw"] - r["target"], r["target"]
+    n_toxic = n_all - n_trusted
+    if not n_toxic or not n_trusted:
+        return np.zeros(buckets), -math.inf
+    evidence = np.log((held[0] + 0.5) / (n_toxic + 1)) - np.log((held[1] + 0.5) / (n_trusted + 1))
+    return evidence, cut(docs, roles(labels).where("role IN ('good', 'toxic')"), lambda text: mildness(text, evidence))
+
+
+def mildness(column: pa.Array, evidence: np.ndarray) -> np.ndarray:
+    """Minus the strongest toxic evidence in each row; NaN without n-grams."""
+    return -ngrams.strongest(column, evidence)
+
+
+def mild(column: pa.Array, toxic: tuple[np.ndarray, float]) -> np.ndarray:
+    """Is a row kept by the cut of ``toxicity``?"""
+    if not math.isfinite(toxic[1]):
+        return np.ones(len(column), bool)
+    return ~(mildness(column, toxic[0]) < toxic[1])
+
+
 def _mean(total: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, total / np.maximum(n, 1), np.nan)
 

@@ -71,6 +71,38 @@ def histogram(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
 
 
+def holders(docs: DataFrame, buckets: int) -> DataFrame:
+    """As ``histogram``, with the number of documents that hold a cell; bucket -1 has all documents with text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = np.zeros(buckets + 1, np.int64)
+        target = np.zeros(buckets + 1, np.int64)
+        for batch in batches:
+            trusted = np.asarray(batch.column("trusted").to_numpy(zero_copy_only=False), bool)
+            for texts in slices(batch.column("text")):
+                cell, doc = features(texts, buckets)
+                both = np.unique(np.concatenate([doc * (buckets + 1) + cell + 1, np.unique(doc) * (buckets + 1)]))
+                doc, cell = both // (buckets + 1), both % (buckets + 1)
+                raw += np.bincount(cell, minlength=buckets + 1)
+                target += np.bincount(cell[trusted[texts.first + doc]], minlength=buckets + 1)
+        used = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used - 1), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
+
+    return (docs.select("text", "trusted")
+            .mapInArrow(count, "bucket long, raw long, target long")
+            .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
+
+
+def strongest(column: pa.Array, value: np.ndarray) -> np.ndarray:
+    """The largest value of a row's n-grams; NaN without any."""
+    top = np.full(len(column), -np.inf)
+    for texts in slices(column):
+        cell, doc = features(texts, len(value))
+        np.maximum.at(top, texts.first + doc, value[cell])
+    return np.where(np.isinf(top), np.nan, top)
+
+
 def log_ratio(counts: DataFrame, buckets: int = BUCKETS, smooth: float = 1.0) -> np.ndarray:
     """log p_target(cell) - log p_raw(cell), additive smoothing.
 

@@ -8,7 +8,8 @@ derived from the id and a seed is added, and the k documents with the largest
 keys are drawn (Gumbel top-k: sampling without replacement in proportion to
 the weights).  Unless k is given, it is the number of documents whose key
 exceeds the cut calibrated on held-out labelled documents, so that the draw
-rejects what the target model rejects and keeps clean documents.
+rejects what the target model rejects and keeps clean documents.  Documents
+that ``labelled.toxicity`` rejects are not drawn.
 
 Defined results: an empty or null text has log weight 0; a null id draws its
 noise from 0; documents that tie at the k-th key are all drawn; without labels
@@ -44,17 +45,18 @@ def _keys(column_id: pa.Array, text: pa.Array, ratio: np.ndarray, seed: int) ->
     return weight, weight + noise
 
 
-def weights(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
-    """``(doc_id, log_weight, gumbel_key)`` of every document; no shuffle."""
+def weights(docs: DataFrame, ratio: np.ndarray, toxic: tuple[np.ndarray, float], seed: int = SEED) -> DataFrame:
+    """``(doc_id, log_weight, gumbel_key, mild)`` of every document; no shuffle."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weight, key = _keys(batch.column("doc_id"), batch.column("text"), ratio, seed)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(weight), pa.array(key)],
-                ["doc_id", "log_weight", "gumbel_key"])
+                [batch.column("doc_id"), pa.array(weight), pa.array(key),
+                 pa.array(labelled.mild(batch.column("text"), toxic))],
+                ["doc_id", "log_weight", "gumbel_key", "mild"])
 
-    return documents(docs).mapInArrow(score, "doc_id long, log_weight double, gumbel_key double")
+    return documents(docs).mapInArrow(score, "doc_id long, log_weight double, gumbel_key double, mild boolean")
 
 
 def kth_largest(scored: DataFrame, k: int, col: str = "gumbel_key") -> float:
@@ -89,20 +91,23 @@ def kth_largest(scored: DataFrame, k: int, col: str = "gumbel_key") -> float:
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None,
              buckets: int = ngrams.BUCKETS, seed: int = SEED,
-             most_labels: int = labelled.MOST_LABELS) -> tuple[DataFrame, np.ndarray, float]:
-    """Scored documents (stored), the model and the key from which on they are drawn."""
+             most_labels: int = labelled.MOST_LABELS) -> tuple[DataFrame, np.ndarray, tuple, float]:
+    """Scored documents (stored), both models and the key from which on the mild ones are drawn."""
     ratio, cut = labelled.model(docs, labels, buckets, most_labels)
-    scored = stored(weights(docs, ratio, seed), "gumbel")
+    toxic = labelled.toxicity(docs, labels, most=most_labels)
+    scored = stored(weights(docs, ratio, toxic, seed), "gumbel")
+    mild = scored.where("mild")
     if k is None:
-        k = scored.where(F.col("gumbel_key") >= F.lit(float(cut * REFERENCE))).count() \
-            if math.isfinite(cut) else scored.count()
-    return scored, ratio, kth_largest(scored, k)
+        k = mild.where(F.col("gumbel_key") >= F.lit(float(cut * REFERENCE))).count() \
+            if math.isfinite(cut) else mild.count()
+    return scored, ratio, toxic, kth_largest(mild, k)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, k: int | None = None, **options) -> DataFrame:
     """``(doc_id, log_weight, gumbel_key, kept)`` for every document."""
-    scored, _, least = resample(docs, labels, k, **options)
-    return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(float(least)))
+    scored, _, _, least = resample(docs, labels, k, **options)
+    return scored.select("doc_id", "log_weight", "gumbel_key",
+                         (F.col("mild") & (F.col("gumbel_key") >= F.lit(float(least)))).alias("kept"))
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
@@ -111,12 +116,12 @@ def keep_documents(docs: DataFrame, labels: DataFrame, k: int | None = None, see
     The key is a function of a row alone, so it is computed again where the
     row is instead of joining the verdicts to the texts.
     """
-    _, ratio, least = resample(docs, labels, k, seed=seed)
+    _, ratio, toxic, least = resample(docs, labels, k, seed=seed)
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, key = _keys(batch.column("doc_id").cast(pa.int64()), batch.column("text"), ratio, seed)
-            yield batch.filter(pa.array(key >= least))
+            yield batch.filter(pa.array((key >= least) & labelled.mild(batch.column("text"), toxic)))
 
     return docs.select(*names).mapInArrow(keep, docs.schema)

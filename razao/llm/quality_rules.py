@@ -2,7 +2,8 @@
 
 Every document gets the length-normalised log-likelihood ratio between a
 trusted-target multinomial and the raw-corpus multinomial over hashed
-unigrams and bigrams, and one threshold decides.  The raw counts cover the
+unigrams and bigrams, and one threshold decides; a document with a cell that
+tells toxic labels from trusted ones (``labelled.toxicity``) is not kept.  The raw counts cover the
 whole corpus, the threshold comes from all held-out labelled documents; only
 the target counts come from a bounded sample (``labelled.MOST_LABELS``).
 
@@ -72,6 +73,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = ngrams.BUCK
                   most_labels: int = labelled.MOST_LABELS) -> DataFrame:
     """Base counts, log-likelihood ratio and verdict of every document."""
     ratio, threshold = labelled.model(docs, labels, buckets, most_labels)
+    toxic = labelled.toxicity(docs, labels, most=most_labels)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +86,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = ngrams.BUCK
             failed = (n_words < LEAST_WORDS) | (100 * repeat > MOST_REPEATED_PERCENT * n_words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *map(pa.array, counts), pa.array(failed),
-                 pa.array(~failed & (llr >= threshold)), pa.array(llr)],
+                 pa.array(~failed & (llr >= threshold) & labelled.mild(text, toxic)), pa.array(llr)],
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                  "base_failed", "kept", "llr"])
 

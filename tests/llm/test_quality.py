@@ -133,6 +133,23 @@ def test_cut_covers_all_held_out_labels(spark):
     assert np.mean([kept[i] for i, r in held.items() if r == "good"]) > 0.9
 
 
+def test_toxic_words_in_good_text(spark):
+    """Held-out documents with toxic = 1 and quality 1 go, clean ones stay, whatever their length."""
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(300)]
+    clean = [(i, " ".join(rng.choice(words, rng.integers(60, 400)))) for i in range(400)]
+    toxic = [(400 + i, " ".join(rng.choice(words, 300)) + " grubby " + " ".join(rng.choice(words, 80))) for i in range(80)]
+    docs = spark.createDataFrame(clean + toxic, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 400)) for i, _ in clean + toxic], "doc_id long, quality int, toxic int")
+    held = {r["doc_id"]: r["role"] for r in labelled.roles(labels).collect()}
+    for got in (qc.quality_classifier(docs, labels).collect(), qr.quality_rules(docs, labels).collect()):
+        kept = {r["doc_id"]: r["kept"] for r in got}
+        assert not any(kept[i] for i, r in held.items() if r == "toxic")
+        assert np.mean([kept[i] for i, r in held.items() if r == "good"]) > 0.95
+    stay = {r["doc_id"] for r in qc.keep_documents(docs, labels).collect()}
+    assert not any(i in stay for i, r in held.items() if r == "toxic")
+
+
 def test_label_sample_is_bounded(spark):
     many = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic")
     assert labelled.sample(many, 100).count() == 100
