@@ -3,14 +3,16 @@
 For every participant of a dialogue the dialogue is rendered once with that
 speaker as the assistant and all others as named users; the loss mask covers
 the assistant's words and their end marks.  A long dialogue is rendered in
-consecutive parts of ``PART`` turns, so that no conversation, however long,
-has to fit into one task.  DataFrame operations only.
+consecutive parts of ``PART`` rows by rank, so that no conversation, however
+long or often repeated, has to fit into one task; every participant gets all
+parts, also those in which it is silent.  DataFrame operations only.
 
 Defined results: a null role speaks as ``unknown``; a null text is empty; a
 null conversation id is a conversation of its own; turns are sorted by number,
 then role, then text, and repeated rows are kept; a row without a turn number
-has no place in a dialogue and is a dialogue of its own; marks inside a text
-are made harmless by a blank after ``<``.
+has no place in a dialogue and is a dialogue of its own, without a part number;
+parts are numbered on from that of the first turn (its number by ``PART``);
+marks inside a text are made harmless by a blank after ``<``.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.records import consecutive_index
+
 #: turns of one rendered part
 PART = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -33,13 +37,20 @@ def rotate(conversations: DataFrame, part: int = PART) -> DataFrame:
     rows = conversations.select(
         "conv_id", turn.alias("turn"), F.replace(role, F.lit("<|"), F.lit("< |")).alias("role"),
         F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
-    rows = rows.withColumn("part", F.floor(F.col("turn") / part).cast("long")) \
-        .withColumn("loose", F.when(F.col("turn").isNull(), F.xxhash64("role", "text")))
-    dialogues = rows.groupBy("conv_id", "part", "loose").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    views = dialogues.select(
-        "conv_id", "part", "turns",
-        F.explode(F.array_sort(F.array_distinct(F.transform("turns", lambda t: t["role"])))).alias("speaker"))
+    rows = rows.withColumn("loose", F.when(F.col("turn").isNull(), F.xxhash64("role", "text"))) \
+        .withColumn("tie", F.monotonically_increasing_id())
+    # ranks from one range-partitioned order: rows of one turn spread as well
+    placed = consecutive_index(rows, ["conv_id", "turn", "loose", "role", "text", "tie"], start=0, name="at")
+    dialogues = placed.groupBy(F.col("conv_id").alias("c"), F.col("loose").alias("l")).agg(
+        F.min("at").alias("first"), F.floor(F.min("turn") / part).cast("long").alias("start"),
+        F.collect_set("role").alias("speakers"))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("loose").eqNullSafe(F.col("l"))
+    parts = (placed.join(dialogues.select("c", "l", "first"), same)
+             .groupBy("conv_id", "loose", F.floor((F.col("at") - F.col("first")) / part).cast("long").alias("chunk"))
+             .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")))
+    views = parts.join(dialogues.select("c", "l", "start", "speakers"), same).select(
+        "conv_id", (F.col("start") + F.col("chunk")).alias("part"), "turns",
+        F.explode(F.array_sort("speakers")).alias("speaker"))
 
     def own(t: Column) -> Column:
         return t["role"] == F.col("speaker")

@@ -111,6 +111,31 @@ def test_rotation(spark):
     assert chat_format.rotate(df.limit(0)).count() == 0
 
 
+def test_rotation_covers_silent_parts(spark):
+    """A participant heard in one part only is rendered in all of them."""
+    turns = [(1, 0, "system", "rules")] + [(1, i, ("user", "bot")[i % 2], f"t{i}") for i in range(1, 150)]
+    turns += [(1, 70, "late", "hi")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat_format.rotate(df).collect()
+    assert sorted((r["part"], r["speaker"]) for r in got) == sorted(
+        (p, s) for p in range(3) for s in ("system", "user", "bot", "late"))
+    ordered = sorted(turns, key=lambda t: (t[1], t[2], t[3]))
+    for s in ("system", "user", "bot", "late"):
+        whole = "".join(r["rendered"] for r in sorted(got, key=lambda r: r["part"]) if r["speaker"] == s)
+        assert whole == "".join(f"<|im_start|>{'assistant' if role == s else 'user name=' + role}\n{text}<|im_end|>\n"
+                                for _, _, role, text in ordered)
+
+
+def test_rotation_parts_are_bounded(spark):
+    """Rows under one id with few turn numbers are cut up by rank, none lost."""
+    turns = [(None, i % 3, ("user", "bot")[i % 2], "same" if i % 4 else f"text {i}") for i in range(500)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat_format.rotate(df).collect()
+    assert max(r["n_turns"] for r in got) == chat_format.PART
+    assert [sum(r["n_turns"] for r in got if r["speaker"] == s) for s in ("user", "bot")] == [500, 500]
+    assert sum(r["n_own_turns"] for r in got) == 500
+
+
 def brute_targets(size):
     names = sorted(size, key=lambda s: (s is None, s or ""))
     weight = {s: float(mixing.WEIGHTS[i % 3]) for i, s in enumerate(names)}
