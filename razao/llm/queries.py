@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (chat_format, decontaminate, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules,
-               secret_scan, suffix_dedup, token_output)
+               secret_scan, simhash_golay, suffix_dedup, token_output)
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_mix": op10_mix,
+    "op12_simhash_golay": op12_simhash_golay,
 }
 
 SQL: dict[str, str] = {}
