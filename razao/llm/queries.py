@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chat_format, decontaminate, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules,
-               secret_scan, simhash_golay, suffix_dedup, token_output)
+from . import (chat_format, decontaminate, lm_scoring, mixing, near_dedup, prefix_trie, quality_classifier,
+               quality_rules, secret_scan, simhash_golay, suffix_dedup, token_output)
+from .sql import PREFIX_TRIE
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,10 @@ def op12_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.branched(prefix_trie.conversations(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_mix": op10_mix,
     "op12_simhash_golay": op12_simhash_golay,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_prefix_trie": PREFIX_TRIE}
