@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chat_format, decontaminate, lm_scoring, mixing, near_dedup, prefix_trie, quality_classifier,
-               quality_rules, secret_scan, simhash_golay, suffix_dedup, token_output)
+from . import (chat_format, cross_tokenizer, decontaminate, lm_scoring, mixing, near_dedup, prefix_trie,
+               quality_classifier, quality_rules, secret_scan, simhash_golay, suffix_dedup, token_output)
 from .sql import PREFIX_TRIE
 from .tables import table
 
@@ -55,6 +55,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_mix": op10_mix,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
     "op12_simhash_golay": op12_simhash_golay,
     "op13_prefix_trie": op13_prefix_trie,
 }
