@@ -12,11 +12,15 @@ task memoises groups, links and their text form by the tuple of A's and B's ids
 and knows a window again by its ids (a hash finds it, a comparison of all ids
 confirms it).
 
+A word's windows are found when the word is new: its tokens of A and B end where
+the word ends and the next word begins with a space in both, so a word's end is
+an anchor of the document.
+
 Neither tokenizer joins anything over a single space between two other
 characters (A by its pre-tokenizer's pattern, B as no piece has a space mark
 after another character, which is checked when it is loaded).  So runs between
 such spaces are tokenised once per task as well, and a text of any length is
-worked on in pieces.  Memos are emptied when they pass a fixed size.
+worked on in pieces.  Memos are bounded: rare words go when they pass a fixed size.
 
 Counts of linked id pairs (in how many documents a pair is linked) are made in
 two steps.  A task packs blocks of documents, each with its distinct pairs;
@@ -36,7 +40,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +59,10 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MARK = "▁"
 #: a pair of ids is one number: A's id times this, plus B's id
 PAIR = 1 << 20
-#: bytes of text in a block, characters split at once, words aligned at once
-BLOCK, PIECE, SLICE = 24 << 20, 1 << 20, 1 << 18
+#: characters of text in a block, in a run of documents, split at once; new words aligned at once
+BLOCK, RUN, PIECE, SLICE = 8 << 20, 1 << 20, 1 << 20, 1 << 16
 #: words, windows and their bytes a task remembers
-MEMO, MEMO_BYTES = 400_000, 64 << 20
+MEMO, MEMO_BYTES = 160_000, 32 << 20
 
 #: parts A's ids from B's in a window's key
 NO_ID = np.array([-1], np.int32).tobytes()
@@ -82,8 +86,8 @@ def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Ragged:
     """Growing list of integer runs in one array."""
 
-    def __init__(self) -> None:
-        self.data, self.used = np.empty(1 << 12, np.int64), 0
+    def __init__(self, dtype: type = np.int32) -> None:
+        self.data, self.used = np.empty(1 << 12, dtype), 0
         self.start, self.n = np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64)
         self.rows = 0
 
@@ -103,12 +107,25 @@ class Ragged:
         n = self.n[rows]
         return self.data[_spread(self.start[rows], n)], n
 
+    def kept(self, rows: np.ndarray) -> Ragged:
+        out = Ragged(self.data.dtype.type)
+        out.extend(*self.take(rows))
+        return out
+
 
 def _flat(runs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     n = np.fromiter(map(len, runs), np.int64, len(runs))
     return np.fromiter(chain.from_iterable(runs), np.int64, int(n.sum())), n
 
 
+class Numbered(dict):
+    """Words by number, in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 @dataclass
 class Windows:
     """Memoised windows: alignments by id tuples (A's ids, ``NO_ID``, B's ids)."""
@@ -116,9 +133,14 @@ class Windows:
     of: dict = field(default_factory=dict)
     text: list = field(default_factory=list)
     groups: Ragged = field(default_factory=Ragged)
-    pairs: Ragged = field(default_factory=Ragged)
+    pairs: Ragged = field(default_factory=lambda: Ragged(np.int64))
     times: Ragged = field(default_factory=Ragged)
 
+    def kept(self, rows: np.ndarray) -> Windows:
+        keys = list(self.of)
+        return Windows({keys[r]: i for i, r in enumerate(rows.tolist())}, [self.text[r] for r in rows.tolist()],
+                       self.groups.kept(rows), self.pairs.kept(rows), self.times.kept(rows))
+
 
 class Aligner:
     """Both tokenizers and the memos of one task."""
@@ -148,16 +170,29 @@ class Aligner:
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.start_a, self.start_b = (np.cumsum(x) - x for x in (self.length_a, self.length_b))
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in t]) for t in (self.bytes_a, self.bytes_b))
-        self.forget()
-
-    def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.words_size = 0
+        self.words, self.words_size, self.seen = Numbered(), 0, np.zeros(0, np.int64)
         self.ids_a, self.ids_b, self.fits = Ragged(), Ragged(), np.zeros(0, bool)
-        self.windows = Windows()
-
-    def crowded(self) -> bool:
-        return len(self.words) > MEMO or self.words_size > MEMO_BYTES or len(self.windows.of) > MEMO
+        self.windows, self.in_word = Windows(), Ragged()
+
+    def trim(self, most: int | None = None, size: int | None = None) -> None:
+        """Forget rare words when there are too many, so that half of them go at least."""
+        most, size = most or MEMO, size or MEMO_BYTES
+        if len(self.words) <= most and self.words_size <= size:
+            return
+        words = list(self.words)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        often = 1
+        keep = np.arange(len(words))
+        while len(keep) > most // 2 or length[keep].sum() > size // 8:
+            often *= 2
+            keep = np.flatnonzero(self.seen >= often)
+        self.words = Numbered({words[r]: i for i, r in enumerate(keep.tolist())})
+        self.words_size, self.seen, self.fits = int(length[keep].sum()) * 2, self.seen[keep], self.fits[keep]
+        self.ids_a, self.ids_b = self.ids_a.kept(keep), self.ids_b.kept(keep)
+        row, n = self.in_word.take(keep)
+        used, row = np.unique(row, return_inverse=True)
+        self.windows, self.in_word = self.windows.kept(used), Ragged()
+        self.in_word.extend(row, n)
 
     def _tokenise(self, words: list[str]) -> None:
         """Token ids of new words, each with a space before it."""
@@ -172,7 +207,6 @@ class Aligner:
         fits = [self._fits(*x, want, size) for x in ((self.table_a, self.start_a, self.length_a, a, n_a),
                                                      (self.table_b, self.start_b, self.length_b, b, n_b))]
         self.fits = np.concatenate([self.fits, fits[0] & fits[1]])
-        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
         self.words_size += int(size.sum())
 
     @staticmethod
@@ -200,25 +234,33 @@ class Aligner:
             at = cut.end() if cut else len(text)
 
     def words_of(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Memo rows of each text's words; new words are tokenised together."""
-        found, parts, new = self.words, [[] for _ in texts], {}
-        for own, text in zip(parts, texts, strict=True):
-            for words in self._runs(text or ""):
-                rows = np.fromiter((found.get(w, -1) for w in words), np.int64, len(words))
-                miss = np.flatnonzero(rows < 0).tolist()
-                for i in miss:
-                    rows[i] = -1 - new.setdefault(words[i], len(new))
-                own.append(rows)
-        known = len(found)
+        """Memo rows of each text's words; new words are tokenised and aligned together."""
+        known, number, out = len(self.words), self.words.__getitem__, []
+        for text in texts:
+            own = [np.fromiter(map(number, words), np.int64, len(words)) for words in self._runs(text or "")]
+            out.append(np.concatenate(own) if own else np.zeros(0, np.int64))
+        new = list(islice(self.words, known, None))
         if new:
-            self._tokenise(list(new))
-        out = [np.concatenate(own) if own else np.zeros(0, np.int64) for own in parts]
-        for rows in out:
-            rows[rows < 0] = known - 1 - rows[rows < 0]
+            self._tokenise(new)
+        for at in range(known, len(self.words), SLICE):
+            self._windows_in(np.arange(at, min(at + SLICE, len(self.words))))
+        self.seen = np.append(self.seen, np.zeros(len(new), np.int64))
+        for own in out:
+            np.add.at(self.seen, own, 1)
         return out
 
+    def _windows_in(self, words: np.ndarray) -> None:
+        """Windows of new words; those that do not fit have none."""
+        fits = self.fits[words]
+        n = np.zeros(len(words), np.int64)
+        row = np.zeros(0, np.int64)
+        if fits.any():
+            row, start, n_a = self.windows_of(words[fits])
+            n[fits] = np.bincount(np.repeat(np.arange(len(n_a)), n_a)[start], minlength=len(n_a))
+        self.in_word.extend(row, n)
+
     def windows_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows of consecutive words: memo row, place of the first A token, A tokens a word."""
+        """Windows of words side by side: memo row, place of the first A token, A tokens a word."""
         a, n_a = self.ids_a.take(words)
         b, _ = self.ids_b.take(words)
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
@@ -314,23 +356,10 @@ class Aligned:
 def aligned_run(aligner: Aligner, texts: list[str | None]) -> list[Aligned | None]:
     """Alignments of some texts; None for those without tokens."""
     words = [own if len(own) and aligner.fits[own].all() else None for own in aligner.words_of(texts)]
-    doc = np.array([i for i, w in enumerate(words) if w is not None], np.int64)
-    if not len(doc):
-        return [None] * len(texts)
-    flat = np.concatenate([words[i] for i in doc])
-    of = np.repeat(doc, [len(words[i]) for i in doc])
-    rows, owner = [], []
-    for at in range(0, len(flat), SLICE):
-        part = slice(at, at + SLICE)
-        row, start, n_a = aligner.windows_of(flat[part])
-        rows.append(row)
-        owner.append(np.repeat(of[part], n_a)[start])
-    row, owner = np.concatenate(rows), np.concatenate(owner)
-    edge = np.searchsorted(owner, np.arange(len(texts) + 1))
-    return [None if w is None else Aligned(w, row[edge[i]: edge[i + 1]]) for i, w in enumerate(words)]
-
-
-def _runs_of(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[tuple[list, list]]:
+    return [None if w is None else Aligned(w, aligner.in_word.take(w)[0]) for w in words]
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch], size: int = RUN) -> Iterator[tuple[list, list]]:
     """Ids and texts of the rows, some MB of texts at a time."""
     for batch in batches:
         ids, texts, have, at = batch.column("doc_id").to_pylist(), [], 0, 0
@@ -357,8 +386,7 @@ def align(docs: DataFrame, folder: str = TOKENIZERS, name_a: str = BYTE_BPE, nam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*specs.value)
         for ids, texts in _runs_of(batches):
-            if aligner.crowded():
-                aligner.forget()
+            aligner.trim()
             out: dict[str, list] = {"a_ids": [], "b_ids": [], "a_in_group": [], "b_in_group": []}
             for x in aligned_run(aligner, texts):
                 rows = np.zeros(0, np.int64) if x is None else x.words
@@ -408,14 +436,14 @@ class Block:
             for c, v in zip(self.rows, (i, *facts, sha, len(codes)), strict=True):
                 self.rows[c].append(v)
             self.codes.append(codes)
-            self.times.append(times)
+            self.times.append(times.astype(np.int32) if len(times) and times.max() < 1 << 31 else times)
             self.size += len(text or "")
 
     def packed(self, block: int) -> pa.RecordBatch:
         codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.int64)
         names, place = np.unique(codes, return_inverse=True)
         n = np.bincount(place, minlength=len(names))
-        times = np.concatenate(self.times) if self.times else np.zeros(0, np.int64)
+        times = np.concatenate(self.times).astype(np.int64) if self.times else np.zeros(0, np.int64)
         cell = pack(np.diff(names, prepend=0), n, place.astype(np.int32), times)
         out = {"block": pa.array([block], pa.int64())}
         for c, v in self.rows.items():
@@ -437,8 +465,7 @@ def blocks(docs: DataFrame, folder: str = TOKENIZERS, name_a: str = BYTE_BPE, na
         aligner, block, done = Aligner(*specs.value), Block(), 0
         first = TaskContext.get().partitionId() << 32
         for ids, texts in _runs_of(batches):
-            if aligner.crowded():
-                aligner.forget()
+            aligner.trim()
             block.add(aligner, ids, texts)
             if block.size >= BLOCK:
                 yield block.packed(first + done)
