@@ -103,9 +103,9 @@ class Ragged:
         self.rows += len(n)
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values of the given rows one after another, and each row's number of them."""
+        """Values of the given rows one after another (as long), and each row's number of them."""
         n = self.n[rows]
-        return self.data[_spread(self.start[rows], n)], n
+        return self.data[_spread(self.start[rows], n)].astype(np.int64, copy=False), n
 
     def kept(self, rows: np.ndarray) -> Ragged:
         out = Ragged(self.data.dtype.type)
