@@ -93,15 +93,17 @@ def _cumulative(col: str, window: Window) -> Column:
 
 
 def monthly_summary(df: DataFrame, category: str | None = None,
-                    by_category: bool = False, rounded: bool = True) -> DataFrame:
+                    by_category: bool = False, rounded: bool = True, group_by: tuple[str, ...] = ()) -> DataFrame:
     """Dense monthly cash-flow summary.
 
     ``df`` needs ``Data``, ``Valor`` (exact decimal) and, for a category
     filter or ``by_category``, ``Categoria``.  With ``by_category`` every
     category gets its own calendar (its own year span) in one pass, the
     same rows as running the single-category analysis once per category.
+    ``group_by`` columns (such as the account) give a summary each, likewise in
+    one pass, and come first in the result.
     """
-    keys = ["Categoria"] if by_category else []
+    keys = [*group_by, "Categoria"] if by_category else [*group_by]
     if by_category:
         df = df.filter(F.col("Categoria").isNotNull())
         label = None
@@ -119,20 +121,21 @@ def monthly_summary(df: DataFrame, category: str | None = None,
     if not by_category:
         out = out.withColumn("Categoria", F.lit(label))
     out = out.withColumn("OIR", ratio_or_default("Saidas", "Entradas"))
-    out = out.select(*MONTHLY_COLUMNS)
+    out = out.select(*group_by, *MONTHLY_COLUMNS)
     return finish(out) if rounded else out
 
 
 def yearly_summary(monthly: DataFrame, cumulative_across_years: bool = True,
-                   rounded: bool = True) -> DataFrame:
+                   rounded: bool = True, group_by: tuple[str, ...] = ()) -> DataFrame:
     """Yearly roll-up of the (unrounded) monthly summary.
 
     Cumulatives run across years (one in-memory call).  With
     ``cumulative_across_years=False`` they restart each year, which is what
     the per-year file outputs of the batch tool contain.  Rows are per
-    ``Categoria`` (a single ``Geral`` label or one per category).
+    ``Categoria`` (a single ``Geral`` label or one per category) and ``group_by``
+    columns, as in ``monthly_summary``.
     """
-    keys = ["Categoria"]
+    keys = [*group_by, "Categoria"]
     out = monthly.groupBy(*keys, "Ano").agg(
         F.sum("Entradas").alias("Entradas"),
         F.sum("Entradas_N").alias("Entradas_N"),
@@ -155,7 +158,7 @@ def yearly_summary(monthly: DataFrame, cumulative_across_years: bool = True,
             "Fluxo_Acum": F.col("Fluxo"),
         })
     out = out.withColumn("OIR", ratio_or_default("Saidas", "Entradas"))
-    out = out.select(*YEARLY_COLUMNS)
+    out = out.select(*group_by, *YEARLY_COLUMNS)
     return finish(out) if rounded else out
 
 

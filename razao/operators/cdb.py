@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import br_number
 from ..functions.dates import br_date, day_month_in_year
-from ..functions.text import clean_line, decode_cp1252, fields, is_blank
+from ..functions.text import clean_line, fields, is_blank
 from ..session import ensure_checkpoint_dir
-from ..sources.documents import read_binary
+from ..sources.documents import read_lines_cp1252
 from .windows import DEFAULT_WIDTH, chunked_forward_fill, chunked_rank
 
 # Fixed values of the statement layout (same as the reference).
@@ -180,11 +180,10 @@ def statement_lines(texts: DataFrame, text_col: str = "text", file_col: str = "f
                         F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
 
 
-def statement_files(spark: SparkSession, path: str, width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
+def statement_files(spark: SparkSession, path: str | list[str], width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
     """cp1252 statement files on disk -> the four sections and quarantine.
 
-    A print-style statement is one row of bytes until its lines are split, so
-    a single file is bounded by Spark's 2 GB limit of a binary value.
+    Files are read line by line in splits, so a statement of any size is read
+    by many tasks.
     """
-    files = read_binary(spark, path)
-    return parse(statement_lines(files.select("file_data", decode_cp1252("content").alias("text"))), width)
+    return parse(read_lines_cp1252(spark, path), width)

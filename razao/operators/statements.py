@@ -12,11 +12,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.amounts import br_amount, cd_amount
+from ..functions.amounts import MONEY, br_amount, cd_amount
 from ..functions.dates import br_date
+from ..sources.csv import read_raw_statement
+from ..sources.documents import read_lines_cp1252
+from .cdb import parse as parse_cdb
 
 # Fixed values of the statement layout (same as the reference).
 LEGACY_HEADER_ALIASES = {"Histórico": "Lançamento", "Número do documento": "N° documento"}
@@ -54,6 +57,13 @@ DIALECTS: dict[str, Dialect] = {
                      category_from="Histórico", projection=tuple(CANONICAL_SAVINGS)),
 }
 
+# Columns of each table dialect's raw files, by their current names.
+RAW_COLUMNS = {
+    "bb-cc": ["Data", "Lançamento", "Detalhes", "N° documento", "Valor"],
+    "bb-ccpj": ["Data", "Lançamento", "Detalhes", "N° documento", "Valor"],
+    "bb-pp": ["Data", "Histórico", "Valor"],
+}
+
 
 def normalize_columns(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """Rename legacy headers when the current name is absent; the entry
@@ -93,9 +103,14 @@ def _reason() -> Column:
 
 def standardize(df: DataFrame, dialect: Dialect | str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Canonical rows of a raw statement (good rows only); ``keep`` columns
-    (e.g. the source file) are carried after the canonical ones."""
+    (e.g. the source file) are carried after the canonical ones.
+
+    A ``bb-cdb`` statement is a line table (``file, pos, line``); its movements
+    (the EXTRATO section) are canonical rows as those of a savings account, and
+    ``account`` and ``file`` can be kept."""
     if dialect == "bb-cdb":
-        raise ValueError("bb-cdb statements are print-style text: use operators.cdb.statement_files")
+        rows = parse_cdb(df)["EXTRATO"].withColumn("Valor", F.col("Valor").cast(MONEY))
+        return rows.select(*CANONICAL_SAVINGS, *keep)
     d = DIALECTS[dialect] if isinstance(dialect, str) else dialect
     p = _parsed(df, d).filter(_reason().isNull())
     if d.category_from:
@@ -116,7 +131,11 @@ def standardize(df: DataFrame, dialect: Dialect | str, keep: tuple[str, ...] = (
 
 def quarantine(df: DataFrame, dialect: Dialect | str) -> DataFrame:
     """Rows that ``standardize`` leaves out, with ``reason`` (dropped by the
-    dialect, bad_date, bad_amount) and the raw columns."""
+    dialect, bad_date, bad_amount) and the raw columns; of a ``bb-cdb`` statement
+    the lines of its EXTRATO that make no record."""
+    if dialect == "bb-cdb":
+        return (parse_cdb(df)["quarantine"].where("section = 'EXTRATO'")
+                .select(F.lit("bad_record").alias("reason"), "file", "account", "pos"))
     d = DIALECTS[dialect] if isinstance(dialect, str) else dialect
     p = _parsed(df, d)
     raw = [c for c in p.columns if not c.startswith("_")]
@@ -131,9 +150,17 @@ def drop_report(df: DataFrame, dialect: Dialect | str) -> DataFrame:
     return q.groupBy("reason", entry.alias("Lancamento")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def read_statements(spark: SparkSession, path: str | list[str], account_type: str) -> DataFrame:
+    """Raw statement files of any account type, ready for ``standardize`` and
+    ``quarantine`` of that type."""
+    if account_type == "bb-cdb":
+        return read_lines_cp1252(spark, path)
+    return read_raw_statement(spark, path, columns=list(RAW_COLUMNS[account_type]), aliases=DIALECTS[account_type].aliases)
+
+
 def registry_table(spark) -> DataFrame:
     """The dialect registry as a small dimension table."""
     rows = [(d.name, d.bank, d.account) for d in DIALECTS.values()]
-    # not a table dialect: print-style text, read by operators.cdb.statement_files
+    # not a table dialect: print-style text, read line by line
     rows.append(("bb-cdb", "Banco do Brasil", "Aplicação CDB"))
     return spark.createDataFrame(rows, "account_type string, bank string, account string")

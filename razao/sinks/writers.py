@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.records import BASE_COLUMNS, active
+from .named_files import write_named_files
 
 
 def write_table_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -32,15 +33,6 @@ def write_table_csv(df: DataFrame, path: str, partition_by: list[str] | None = N
     return path
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                  mode: str = "overwrite") -> str:
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
-    w.parquet(path)
-    return path
-
-
 def bootfile_suffix(suffix: str) -> str:
     """Metadata file suffix: a leading ``_`` is added only when the suffix
     has none."""
@@ -72,7 +64,6 @@ def export_record_fields(vertical: DataFrame, path: str) -> str:
     return write_table_csv(vertical.select("RecId", "Field", "Value"), path)
 
 
-def write_text(df: DataFrame, text_col: str, path: str) -> str:
-    """One text file per partition with the given column (notes)."""
-    df.select(text_col).write.mode("overwrite").text(path)
-    return path
+def export_notes(notes: DataFrame, path: str, name_col: str = "name", text_col: str = "text", mode: str = "overwrite") -> str:
+    """One markdown file per note, named by ``name_col``."""
+    return write_named_files(notes.select(F.col(name_col).alias("name"), F.col(text_col).alias("text")), path, mode)

@@ -17,14 +17,9 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.files import base_name, t1_name
-from ..operators.statements import DIALECTS, quarantine, standardize
+from ..operators.statements import DIALECTS, RAW_COLUMNS, quarantine, standardize
 from ..sources.csv import read_raw_statement
 
-RAW_COLUMNS = {
-    "bb-cc": ["Data", "Lançamento", "Detalhes", "N° documento", "Valor"],
-    "bb-ccpj": ["Data", "Lançamento", "Detalhes", "N° documento", "Valor"],
-    "bb-pp": ["Data", "Histórico", "Valor"],
-}
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
