@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -60,9 +61,9 @@ MARK = "▁"
 #: a pair of ids is one number: A's id times this, plus B's id
 PAIR = 1 << 20
 #: characters of text in a block, in a run of documents, split at once; new words aligned at once
-BLOCK, RUN, PIECE, SLICE = 8 << 20, 1 << 20, 1 << 20, 1 << 16
+BLOCK, RUN, PIECE, SLICE = 8 << 20, 1 << 18, 1 << 20, 1 << 16
 #: words, windows and their bytes a task remembers
-MEMO, MEMO_BYTES = 160_000, 32 << 20
+MEMO, MEMO_BYTES = 80_000, 32 << 20
 
 #: parts A's ids from B's in a window's key
 NO_ID = np.array([-1], np.int32).tobytes()
@@ -146,6 +147,8 @@ class Aligner:
     """Both tokenizers and the memos of one task."""
 
     def __init__(self, spec_a: str, model_b: bytes):
+        # Spark runs the tasks in parallel
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
