@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the budget table layout (same as the reference).
@@ -129,55 +129,83 @@ def budget_formulas(as_of: str) -> dict[str, Formula]:
     }
 
 
-# Frequencies of the recurrence expansion (pandas offset aliases), each with
-# an optional leading multiple ("2W"); W may name its weekday ("W-MON").
-FREQUENCIES = ("D", "B", "W", "MS", "ME", "QS", "QE", "YS", "YE")
+# Names in pandas offset aliases.
 WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
-_FREQ = r"^(\d*)(D|B|W|MS|ME|QS|QE|YS|YE)(?:-([A-Z]{3}))?$"
-
-
-def recurrence_dates(year: int, freq: Column) -> Column:
-    """Array of the dates of ``freq`` from Jan 1 of ``year`` to Jan 1 of the
-    next year, both ends included: D daily, B Monday to Friday, W Sundays (or
-    the weekday named), MS / QS / YS month / quarter / year starts, ME / QE /
-    YE their ends.  A leading number n takes every n-th date, from the first
-    on.  Unknown frequency (NULL, a multiple of 0): NULL."""
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+# An alias without its anchor has this one.
+DEFAULT_ANCHORS = {"W": "SUN", "QS": "JAN", "QE": "DEC", "BQS": "JAN", "BQE": "DEC",
+                   "YS": "JAN", "YE": "DEC", "BYS": "JAN", "BYE": "DEC"}
+_FREQ = r"^(\d*)([A-Z]+)(?:-([0-9A-Z]+))?$"
+
+
+def date_rules(spark: SparkSession, year: int) -> DataFrame:
+    """``rule, date, i``: the dates of every offset rule from Jan 1 of ``year`` to
+    Jan 1 of the next, both included, numbered from 0.
+
+    D days, B weekdays, W-SUN.. weekdays by name; MS / ME month starts and ends,
+    BMS / BME those on business days; SMS the 1st and 15th, SME the 15th and the
+    last; QS- / QE- / YS- / YE- with their anchor month, BQS-.. on business days;
+    WOM-1MON.. the n-th weekday of a month.  A few thousand rows, whatever the
+    data.
+    """
     start = F.lit(f"{year}-01-01").cast("date")
     end = F.lit(f"{year + 1}-01-01").cast("date")
-    count, unit, day = (F.regexp_extract(freq, _FREQ, i) for i in (1, 2, 3))
-    every = F.when(count == "", F.lit(1)).otherwise(count.try_cast("int"))
-
-    def starts(months: int) -> Column:
-        return F.sequence(start, end, F.expr(f"INTERVAL {months} MONTH"))
-
-    def ends(months: int) -> Column:
-        # the last day of each period of the year
-        return F.transform(F.sequence(F.add_months(start, months - 1), end, F.expr(f"INTERVAL {months} MONTH")),
-                           lambda d: F.last_day(d))
-
-    days = F.sequence(start, end, F.expr("INTERVAL 1 DAY"))
-    weekday = F.when(day == "", F.lit("SUN")).otherwise(day)
-    dates = (F.when(unit == "D", days)
-             .when(unit == "B", F.filter(days, lambda d: F.weekday(d) < 5))
-             .when((unit == "W") & weekday.isin(*WEEKDAYS),
-                   F.filter(days, lambda d: F.upper(F.date_format(d, "EEE")) == weekday)))
-    for name, months in (("M", 1), ("Q", 3), ("Y", 12)):
-        dates = dates.when(unit == f"{name}S", starts(months)).when(unit == f"{name}E", ends(months))
-    dates = F.filter(F.filter(dates, lambda d: d <= end), lambda d, i: F.pmod(i, F.greatest(every, F.lit(1))) == 0)
-    return F.when((every > 0) & ((day == "") | (unit == "W")), dates)
+    days = spark.range(1).select(F.explode(F.sequence(start, end, F.expr("INTERVAL 1 DAY"))).alias("date"))
+    d, day, month = F.col("date"), F.dayofmonth("date"), F.month("date")
+    left = F.datediff(F.last_day("date"), "date")  # days to the month's end
+    weekday = F.weekday("date")  # Monday is 0
+    business = weekday < 5
+    first, last = day == 1, left == 0
+    opens = business & (first | ((weekday == 0) & (day <= 3)))
+    closes = business & (last | ((weekday == 4) & (left <= 2)))
+    name = F.element_at(F.array(*[F.lit(w) for w in WEEKDAYS]), weekday + 1)
+
+    def rule(when: Column, text: Column) -> Column:
+        return F.when(when, text)
+
+    rules = [rule(F.lit(True), F.lit("D")), rule(business, F.lit("B")), rule(F.lit(True), F.concat(F.lit("W-"), name)),
+             rule(first | (day == 15), F.lit("SMS")), rule(last | (day == 15), F.lit("SME")),
+             rule(day <= 28, F.concat(F.lit("WOM-"), F.ceil(day / 7).cast("string"), name))]
+    for prefix, begins, ends in (("", first, last), ("B", opens, closes)):
+        for suffix, at in (("S", begins), ("E", ends)):
+            rules.append(rule(at, F.lit(f"{prefix}M{suffix}")))
+            for n, anchor in enumerate(MONTHS, start=1):
+                rules.append(rule(at & (F.pmod(month - n, F.lit(3)) == 0), F.lit(f"{prefix}Q{suffix}-{anchor}")))
+                rules.append(rule(at & (month == n), F.lit(f"{prefix}Y{suffix}-{anchor}")))
+    tagged = days.select(F.explode(F.array_compact(F.array(*rules))).alias("rule"), d)
+    return tagged.withColumn("i", F.row_number().over(Window.partitionBy("rule").orderBy("date")) - 1)
+
+
+def parsed_frequency(freq: Column) -> tuple[Column, Column]:
+    """``(rule, n)`` of a frequency such as ``2W-MON`` or ``QS``: every n-th date
+    of the rule.  NULL where the text has no such form or n is 0."""
+    count, unit, anchor = (F.regexp_extract(freq, _FREQ, i) for i in (1, 2, 3))
+    n = F.when(count == "", F.lit(1)).otherwise(count.try_cast("int"))
+    default = F.element_at(F.create_map(*[F.lit(x) for kv in DEFAULT_ANCHORS.items() for x in kv]), unit)
+    rule = F.concat_ws("-", unit, F.coalesce(F.nullif(anchor, F.lit("")), default))
+    return F.when((unit != "") & (n > 0), rule), n
 
 
 def expand_annual(template: DataFrame, year: int, freq_col: str = "Freq") -> DataFrame:
     """Repeat each template row for every date of its frequency in ``year``
-    (``Date_Due`` set to that date).  Generated per row (explode), so the
-    work is spread with the template's partitions.  Rows of an unknown
-    frequency are in ``expand_quarantine``."""
-    dates = recurrence_dates(year, F.col(freq_col))
+    (``Date_Due`` set to that date).
+
+    The rules' dates are a fixed small table that every task gets, so a row is
+    expanded where it is read.  A leading number n takes every n-th date, from
+    the first on.  Rows of an unknown frequency are in ``expand_quarantine``.
+    """
+    rule, n = parsed_frequency(F.col(f"`{freq_col}`"))
     others = [F.col(f"`{c}`") for c in template.columns if c != "Date_Due"]
-    return template.select(*others, F.explode(dates).alias("Date_Due"))
+    rows = template.select(F.struct(*others).alias("_row"), rule.alias("_rule"), n.alias("_n"))
+    dates = F.broadcast(date_rules(template.sparkSession, year))
+    hit = (F.col("_rule") == F.col("rule")) & (F.pmod(F.col("i"), F.col("_n")) == 0)
+    return rows.join(dates, hit).select("_row.*", F.col("date").alias("Date_Due"))
 
 
 def expand_quarantine(template: DataFrame, year: int, freq_col: str = "Freq") -> DataFrame:
-    """Template rows that ``expand_annual`` cannot expand, with a ``reason``."""
-    return template.filter(recurrence_dates(year, F.col(freq_col)).isNull()) \
-        .withColumn("reason", F.lit("bad_frequency"))
+    """Template rows that ``expand_annual`` cannot expand, with a ``reason``: no
+    such frequency, or one without a date in the year."""
+    rule, _ = parsed_frequency(F.col(f"`{freq_col}`"))
+    known = F.broadcast(date_rules(template.sparkSession, year).select("rule").distinct())
+    rows = template.withColumn("_rule", rule)
+    return rows.join(known, F.col("_rule") == F.col("rule"), "left_anti").drop("_rule").withColumn("reason", F.lit("bad_frequency"))

@@ -192,3 +192,43 @@ def cashflow_summary(cash_flow: DataFrame, year: int) -> DataFrame:
         round_half_even(F.col("Total") / 12, 2).cast("double").alias("Media"),
         round_half_even(pct, 2).alias("Pct_Entradas"),
     )
+
+
+def account_balances(cash_flow: DataFrame, opening: DataFrame, account_col: str = "Conta") -> DataFrame:
+    """Monthly running balance of every account over all its years:
+    ``<account>, Ano, Mes, Entradas, Saidas, Fluxo, Saldo, Saldo_Inicial_Found``.
+
+    ``opening`` has ``<account>, Year, Value``.  The balance starts anew at each
+    opening balance (the largest, if a year has several) and runs on over years
+    without one; before the first it starts at 0.  ``Saldo_Inicial_Found`` tells
+    whether the month's own year has an opening balance.  The transactions are
+    aggregated once; all windows run over the months of an account.
+    """
+    money = cash_flow.schema["Valor"].dataType
+    flows = cash_flow.where(F.col("Data").isNotNull()).groupBy(
+        account_col, F.year("Data").alias("Ano"), F.month("Data").alias("_mm")).agg(
+        F.sum(F.when(F.col("Valor") >= 0, F.col("Valor"))).alias("Entradas"),
+        F.sum(F.when(F.col("Valor") < 0, F.col("Valor"))).alias("Saidas"))
+    start = opening.where("Year is not null and Value is not null").groupBy(
+        account_col, F.col("Year").cast("int").alias("Ano")).agg(F.max("Value").alias("_open"))
+    months = flows.unionByName(start.select(account_col, "Ano", F.lit(1).alias("_mm")), allowMissingColumns=True)
+    # twelve months for each year from an account's first to its last
+    span = months.groupBy(account_col).agg(F.min("Ano").alias("_lo"), F.max("Ano").alias("_hi"))
+    calendar = span.select(account_col, F.explode(F.sequence("_lo", "_hi")).alias("Ano")).select(
+        account_col, "Ano", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("_mm"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in (account_col, "Ano", "_mm")]
+    dense = calendar.alias("c").join(flows.alias("f"), same, "left").select("c.*", "f.Entradas", "f.Saidas")
+    years = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (account_col, "Ano")]
+    zero = F.lit(0).cast(money)
+    dense = dense.alias("c").join(start.alias("s"), years, "left").select(
+        f"c.{account_col}", "c.Ano", "c._mm", F.coalesce("c.Entradas", zero).alias("Entradas"),
+        F.coalesce("c.Saidas", zero).alias("Saidas"), F.col("s._open").cast(money).alias("_open"))
+    in_order = Window.partitionBy(account_col).orderBy("Ano", "_mm")
+    opens = F.when(F.col("_mm") == 1, F.col("_open"))
+    dense = dense.withColumns({"Fluxo": F.col("Entradas") + F.col("Saidas"), "_segment": F.count(opens).over(in_order),
+                               "_first": opens})
+    segment = Window.partitionBy(account_col, "_segment").orderBy("Ano", "_mm") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dense.select(account_col, "Ano", month_key_from_parts("Ano", "_mm").alias("Mes"), "Entradas", "Saidas", "Fluxo",
+                        (F.coalesce(F.first("_first").over(segment), zero) + F.sum("Fluxo").over(segment)).alias("Saldo"),
+                        F.col("_open").isNotNull().alias("Saldo_Inicial_Found"))

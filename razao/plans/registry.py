@@ -337,12 +337,12 @@ QUERIES.update({
 # --------------------------------------------------------------------------
 
 
-def _catalog(spark, sf_dir):
-    return cat.latest(views.catalog_log(spark, sf_dir)).withColumn("alias", cat.alias_of("name"))
+def _catalog(spark, sf_dir, ordered=False):
+    return cat.latest(views.catalog_log(spark, sf_dir), ordered=ordered).withColumn("alias", cat.alias_of("name"))
 
 
 def catalog_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _catalog(spark, sf_dir)
+    return _catalog(spark, sf_dir, ordered=True)
 
 
 def catalog_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,7 +353,7 @@ def catalog_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = cat.latest(views.catalog_log(spark, sf_dir))
+    latest = cat.latest(views.catalog_log(spark, sf_dir), ordered=False)
     renames = latest.filter(F.col("source") == "purchase").select(
         F.col("name").alias("old_name"), F.regexp_replace("name", "^User_", "Member_").alias("new_name"))
     return cat.refresh(views.catalog_log(spark, sf_dir), renames).withColumn("alias", cat.alias_of("name"))

@@ -132,6 +132,21 @@ def read_raw_statement(spark: SparkSession, path: str | list[str], columns: list
                         for c in wanted], "file")
 
 
+def read_statement_tree(spark: SparkSession, folder: str, account_type: str, years: list[int] | None = None, tier: str = "T0",
+                        columns: list[str] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Statements ``<folder>/<year>/EXTRATO_<BANK>_<ACCOUNT>_*_<tier>.csv`` of one account (all years, or
+    some), with ``Conta`` and ``Ano`` from the path.
+
+    Account and years are part of the path pattern, so other folders are not
+    listed and other files not opened.
+    """
+    bank, account = account_type.upper().split("-", 1)
+    within = "{" + ",".join(f"{y:04d}" for y in sorted(years)) + "}" if years else "[0-9][0-9][0-9][0-9]"
+    rows = read_raw_statement(spark, f"{folder}/{within}/EXTRATO_{bank}_{account}_*_{tier}.csv", columns, aliases)
+    return rows.withColumns({"Conta": F.lit(f"{bank}_{account}"),
+                             "Ano": F.regexp_extract("file", r"/(\d{4})/EXTRATO_[^/]*", 1).cast("int")})
+
+
 def fix_text(name: str, undefined: bool) -> str:
     """``fix_latin1_c1`` for a header cell."""
     return name if undefined else name.translate(str.maketrans(LATIN1_C1, CP1252_GLYPHS))
