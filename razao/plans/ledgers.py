@@ -11,12 +11,15 @@ from ..functions import amounts as amt
 from ..operators import budget as bdg
 from ..operators import cashflow as cfo
 from ..operators import catalog as cat
+from ..operators import records as rec
 from ..operators import report as rpt
 from ..operators import statements as stm
 from ..operators import tax as taxo
 from ..session import scratch_path
+from ..sinks import record_store as store
+from ..sinks import writers as wr
 from ..sources import csv as csvs
-from . import views
+from . import registry, views
 from .oracle import CF_SQL, MONTHLY_COLS, finish_sql, monthly_sql
 
 # --------------------------------------------------------------------------
@@ -218,7 +221,50 @@ def statement_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t1.select("Conta", "Ano", "Data", "Documento", F.col("Valor").cast("double").alias("Valor"))
 
 
+# --------------------------------------------------------------------------
+# a stored record table: read, conform, store, insert, edit, read back
+# --------------------------------------------------------------------------
+
+
+def rec_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budget from its exported file, stored by bucket, with new records and a batch of edits."""
+    root = scratch_path(spark, f"record_store/{uuid.uuid4().hex}")
+    wr.export_records(views.budget(spark, sf_dir), f"{root}/csv", bdg.BUDGET_DATA_COLUMNS)
+    table = rec.conform(csvs.read_table_csv(spark, f"{root}/csv"), "Budget", bdg.BUDGET_DATA_COLUMNS)
+    path = store.create(table, f"{root}/store", 16)
+    store.insert(spark, path, registry._customer_entries(spark, sf_dir), bdg.BUDGET_DATA_COLUMNS, "Budget", ["c_custkey"],
+                 registry.STAMP_AS_OF)
+    store.edit(spark, path, registry._edits(spark, sf_dir), registry.STAMP_AS_OF, bdg.BUDGET_DATA_COLUMNS)
+    return store.read(spark, path)
+
+
+def rec_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that several line items share."""
+    li = views.read_table(spark, sf_dir, "lineitem")
+    return rec.duplicate_ids(li.select(F.format_string("Rec%04d", F.col("l_orderkey") + 1).alias("RecId")))
+
+
+def _store_sql() -> str:
+    from .oracle import REC_COLUMNS, budget_sql
+
+    stamp = registry.STAMP_AS_OF
+    cols = []
+    for c in REC_COLUMNS:
+        value = f"CASE WHEN t.RecTimestamp = '{stamp}' THEN t.{c} ELSE nullif(t.{c}, '') END"
+        if c == "RecTimestamp":
+            value = f"CASE WHEN e.id IS NOT NULL THEN '{stamp}' ELSE t.RecTimestamp END"
+        elif c in ("Status", "Date_Exe"):
+            value = f"CASE WHEN e.id IS NOT NULL THEN {'e.dexe' if c == 'Date_Exe' else chr(39) + 'Executed' + chr(39)} ELSE {value} END"
+        cols.append(f"{value} AS {c}")
+    return f"""WITH t AS (SELECT * FROM ({budget_sql()['rec_insert']})),
+e AS (SELECT printf('Rec%04d', o_orderkey + 1) AS id, CAST(CAST(o_orderdate AS DATE) + 30 AS VARCHAR) AS dexe
+      FROM orders WHERE o_orderpriority = '2-HIGH')
+SELECT {', '.join(cols)} FROM t LEFT JOIN e ON e.id = t.RecId"""
+
+
 QUERIES = {
+    "rec_store": rec_store,
+    "rec_duplicates": rec_duplicates,
     "catalog_renames": catalog_renames,
     "catalog_rename_chains": catalog_rename_chains,
     "balance_all_years": balance_all_years,
@@ -233,6 +279,8 @@ def all_sql() -> dict[str, str]:
     cf = "WITH " + CF_SQL.strip()
     years = ", ".join(map(str, FOUND_YEARS))
     return {
+        "rec_store": _store_sql(),
+        "rec_duplicates": "SELECT printf('Rec%04d', l_orderkey + 1) AS RecId, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
         "catalog_renames": _RENAMES_SQL + "\nSELECT old_name, new_name FROM ends",
         "catalog_rename_chains": _RENAMES_SQL + """,
 keyed AS (SELECT coalesce(e.new_name, cat.name) AS name, seq, source, description, size, Date FROM cat LEFT JOIN ends e ON e.old_name = cat.name)

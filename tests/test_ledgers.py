@@ -114,3 +114,29 @@ def test_statement_tree_opens_only_what_is_asked_for(spark):
     assert sorted((r.Conta, r.Ano, r["N° documento"]) for r in some.collect()) == [("BB_CC", 2020, "CC"), ("BB_CC", 2022, "CC")]
     assert sorted(os.path.basename(os.path.dirname(f)) for f in some.inputFiles()) == ["2020", "2022"]
     assert {r.Ano for r in read_statement_tree(spark, root, "bb-pp").collect()} == {2020, 2021, 2022}
+
+
+def test_edits_replace_their_buckets_only(spark):
+    import glob
+
+    from razao.sinks import record_store as store
+
+    path = tempfile.mkdtemp(prefix="razao-store-") + "/t"
+    table = spark.createDataFrame([(f"Rec{i:04d}", "T", "2020-01-01 00:00:00", "On", f"n{i}") for i in range(1, 41)],
+                                  "RecId string, RecTable string, RecTimestamp string, RecStatus string, Name string")
+    store.create(table, path, 8)
+    files = lambda: {p for p in glob.glob(f"{path}/**/*.parquet", recursive=True)}
+    before = files()
+    edits = spark.createDataFrame([("Rec0007", {"Name": "first"}, 1), ("Rec0007", {"Name": "last"}, 2), ("Rec9999", {"Name": "x"}, 1)],
+                                  "RecId string, changes map<string,string>, n int")
+    left = store.edit(spark, path, edits, "2025-01-01 00:00:00", ["Name"], "n")
+    assert [r.RecId for r in left.collect()] == ["Rec9999"]
+    gone = {p.split("_bucket=")[1].split("/")[0] for p in before - files()}
+    assert 1 <= len(gone) <= 2 and len(before & files()) == len(before) - len(before - files()) >= 1
+    store.insert(spark, path, spark.createDataFrame([("b", 2), ("a", 1)], "Name string, k int"), ["Name"], "T", ["k"],
+                 "2025-01-02 00:00:00")
+    rows = {r.RecId: (r.Name, r.RecTimestamp) for r in store.read(spark, path).collect()}
+    assert len(rows) == 42 and rows["Rec0007"] == ("last", "2025-01-01 00:00:00") and rows["Rec0008"][0] == "n8"
+    assert rows["Rec0041"] == ("a", "2025-01-02 00:00:00") and rows["Rec0042"][0] == "b"
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        store.create(table, path, 8)
