@@ -190,8 +190,8 @@ def novelty(texts: DataFrame) -> DataFrame:
         alone[order] = np.repeat(np.diff(bounds), np.diff(bounds)) == 1
         n = len(name)
         return pa.table({"v": pa.array(name.astype("U32")), "s": np.bincount(doc, minlength=n),
-                         "w": np.bincount(doc, weight, n), "u": np.bincount(doc[alone], minlength=n),
-                         "uw": np.bincount(doc[alone], weight[alone], n)})
+                         "w": np.bincount(doc, weight, n).astype(np.float64), "u": np.bincount(doc[alone], minlength=n),
+                         "uw": np.bincount(doc[alone], weight[alone], n).astype(np.float64)})
 
     parts = (texts.select("v", "text").mapInArrow(send, "bucket long, cell binary")
              .groupBy("bucket").applyInArrow(count, "v string, s long, w double, u long, uw double"))

@@ -129,3 +129,10 @@ def test_components(spark):
 def test_empty(no_docs):
     assert nd.near_duplicates(no_docs).count() == 0
     assert nd.keep_one(no_docs).count() == 0
+
+
+def test_texts_that_differ_in_white_space_only(spark):
+    """Candidates without a shingle of their own."""
+    df = spark.createDataFrame([(1, "one two three four five six"), (2, "one two  three four five six"), (3, "quite other words than these")],
+                               "doc_id long, text string")
+    assert sorted(map(tuple, nd.near_duplicates(df).select("doc_id", "class_id").collect())) == [(1, 1), (2, 1), (3, 3)]
