@@ -40,3 +40,30 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_con
        coalesce(child.n, 0) AS n_children, below.leaves AS n_leaves, below.saved::BIGINT AS saved_tokens, n.ends_sha256
 FROM node n JOIN below ON below.top = n.node LEFT JOIN child ON child.up = n.node LEFT JOIN node u ON u.node = n.up
 """
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(column: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}'), "
+            r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+DECONTAMINATE = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, {_words('text')} AS w FROM documents),
+b AS (SELECT item_id, {_words('text')} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i
+        FROM b WHERE len(w) > 0)),
+at AS (
+  SELECT k, n, i, list_slice(w, i, i + n - 1) AS g
+  FROM (SELECT k, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+        FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+m AS (SELECT "at".k, "at".i, "at".n, win.item_id FROM "at" JOIN win ON win.n = "at".n AND win.g = "at".g),
+hit AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(generate_series(i, i + n - 1)) AS p FROM m) GROUP BY k),
+its AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT k, item_id FROM m) GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN its USING (k)
+""".replace("\nat AS", '\n"at" AS')
