@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (chat_format, cross_tokenizer, decontaminate, lm_scoring, mixing, near_dedup, prefix_trie,
                quality_classifier, quality_rules, secret_scan, simhash_golay, suffix_dedup, token_output)
-from .sql import DECONTAMINATE, PREFIX_TRIE
+from .sql import CHAT_FORMAT, DECONTAMINATE, PREFIX_TRIE
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,4 +83,4 @@ QUERIES: dict[str, Query] = {
     "op13_prefix_trie": op13_prefix_trie,
 }
 
-SQL: dict[str, str] = {"op9_decontaminate": DECONTAMINATE, "op13_prefix_trie": PREFIX_TRIE}
+SQL: dict[str, str] = {"op8_chat_format": CHAT_FORMAT, "op9_decontaminate": DECONTAMINATE, "op13_prefix_trie": PREFIX_TRIE}

@@ -67,3 +67,27 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (k) LEFT JOIN its USING (k)
 """.replace("\nat AS", '\n"at" AS')
+
+CHAT_FORMAT = """
+WITH r AS (
+  SELECT conv_id, turn, replace(regexp_replace(coalesce(role, 'unknown'), '[\\r\\n]', ' ', 'g'), '<|', '< |') AS role,
+         replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+k AS (SELECT *, CASE WHEN turn IS NULL THEN role || chr(1) || text END AS loose FROM r),
+t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, loose ORDER BY turn, role, text) - 1 AS n,
+         CAST(floor(min(turn) OVER (PARTITION BY conv_id, loose) / 64) AS BIGINT) AS start FROM k),
+s AS (SELECT DISTINCT conv_id, loose, role AS speaker FROM k),
+p AS (
+  SELECT t.conv_id, t.loose, t.start, t.n, t.n // 64 AS chunk, s.speaker, t.role = s.speaker AS own,
+         '<|im_start|>' || CASE WHEN t.role = s.speaker THEN 'assistant' ELSE 'user name=' || t.role END || chr(10) AS head,
+         t.text || '<|im_end|>' AS body
+  FROM t JOIN s ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.loose IS NOT DISTINCT FROM t.loose),
+q AS (
+  SELECT *, length(head) + coalesce(sum(length(head) + length(body) + 1) OVER (
+      PARTITION BY conv_id, loose, speaker, chunk ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM p)
+SELECT conv_id, start + chunk AS part, speaker, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own_turns,
+       string_agg(head || body || chr(10), '' ORDER BY n) AS rendered,
+       coalesce(string_agg(CASE WHEN own THEN CAST(begins AS BIGINT) || ':' || CAST(begins + length(body) AS BIGINT) END, ',' ORDER BY n), '') AS mask,
+       CAST(coalesce(sum(CASE WHEN own THEN length(body) END), 0) AS BIGINT) AS n_masked
+FROM q GROUP BY conv_id, loose, start, chunk, speaker
+"""
