@@ -8,9 +8,7 @@ Anchors make this cheap: a shared end with a space-marked token after it in both
 streams cuts the document into windows of token ids, most of them one word.
 Shared ends are verified on the byte lengths of the tokens, and the joined bytes
 of both streams are compared with the text.  Equal windows are aligned once: a
-task memoises groups, links and their text form by the tuple of A's and B's ids
-and knows a window again by its ids (a hash finds it, a comparison of all ids
-confirms it).
+task memoises groups, links and their text form by the tuple of A's and B's ids.
 
 A word's windows are found when the word is new: its tokens of A and B end where
 the word ends and the next word begins with a space in both, so a word's end is
@@ -51,7 +49,6 @@ from pyspark.sql import functions as F
 
 from .blobs import pack, unpack
 from .tables import documents, stored
-from .textbatch import BASE, BASE_INV, U64, _geometric, mix
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -61,9 +58,9 @@ MARK = "▁"
 #: a pair of ids is one number: A's id times this, plus B's id
 PAIR = 1 << 20
 #: characters of text in a block, in a run of documents, split at once; new words aligned at once
-BLOCK, RUN, PIECE, SLICE = 8 << 20, 1 << 18, 1 << 20, 1 << 16
+BLOCK, RUN, PIECE, SLICE = 8 << 20, 1 << 19, 1 << 20, 1 << 16
 #: words, windows and their bytes a task remembers
-MEMO, MEMO_BYTES = 80_000, 32 << 20
+MEMO, MEMO_BYTES = 200_000, 32 << 20
 
 #: parts A's ids from B's in a window's key
 NO_ID = np.array([-1], np.int32).tobytes()
@@ -247,9 +244,7 @@ class Aligner:
             self._tokenise(new)
         for at in range(known, len(self.words), SLICE):
             self._windows_in(np.arange(at, min(at + SLICE, len(self.words))))
-        self.seen = np.append(self.seen, np.zeros(len(new), np.int64))
-        for own in out:
-            np.add.at(self.seen, own, 1)
+        self.seen = np.append(self.seen, np.zeros(len(new), np.int64)) + np.bincount(np.concatenate(out), minlength=len(self.words))
         return out
 
     def _windows_in(self, words: np.ndarray) -> None:
@@ -274,20 +269,18 @@ class Aligner:
         stop_a = np.flatnonzero(shared_a & np.append(self.space_a[a[1:]], True)) + 1
         stop_b = np.flatnonzero(shared_b & np.append(self.space_b[b[1:]], True)) + 1
         start_a, start_b = (np.concatenate([[0], x[:-1]]) for x in (stop_a, stop_b))
-        _, first, same = np.unique(self._hash(a, start_a, stop_a) ^ mix(self._hash(b, start_b, stop_b), 7),
-                                   return_index=True, return_inverse=True)
-        if not (self._equal(a, start_a, stop_a, first[same]) and self._equal(b, start_b, stop_b, first[same])):
-            first = same = np.arange(len(start_a))  # two windows of one hash: by ids alone
-        of, keys, new = self.windows.of, [], []
+        of, row, new = self.windows.of, [], []
         raw_a, raw_b = a.astype(np.int32).tobytes(), b.astype(np.int32).tobytes()
-        for i, p, q, x, y in zip(first.tolist(), *((4 * v[first]).tolist() for v in (start_a, stop_a, start_b, stop_b)), strict=True):
-            keys.append(key := raw_a[p:q] + NO_ID + raw_b[x:y])
-            if key not in of:
-                of[key] = len(of)
+        for i, (p, q, x, y) in enumerate(zip(*((4 * v).tolist() for v in (start_a, stop_a, start_b, stop_b)), strict=True)):
+            key = raw_a[p:q] + NO_ID + raw_b[x:y]
+            known = of.get(key)
+            if known is None:
+                known = of[key] = len(of)
                 new.append(i)
+            row.append(known)
         if new:
             self._align(a, b, shared_a, shared_b, *(v[new] for v in (start_a, stop_a, start_b, stop_b)))
-        return np.fromiter(map(of.__getitem__, keys), np.int64, len(keys))[same], start_a, n_a
+        return np.array(row, np.int64), start_a, n_a
 
     def _align(self, a: np.ndarray, b: np.ndarray, shared_a: np.ndarray, shared_b: np.ndarray, start_a: np.ndarray,
                stop_a: np.ndarray, start_b: np.ndarray, stop_b: np.ndarray) -> None:
@@ -335,18 +328,6 @@ class Aligner:
         self.windows.pairs.extend(code[new], each)
         self.windows.times.extend(np.add.reduceat(times, new), each)
 
-    @staticmethod
-    def _hash(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        prefix = np.zeros(len(ids) + 1, U64)
-        np.cumsum(mix(ids.astype(U64)) * _geometric(BASE, len(ids))[: len(ids)], out=prefix[1:])
-        return mix((prefix[stop] - prefix[start]) * _geometric(BASE_INV, len(ids))[start] + (stop - start).astype(U64))
-
-    @staticmethod
-    def _equal(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, like: np.ndarray) -> bool:
-        """Is every window equal to the one it is taken for, id by id?"""
-        n = stop - start
-        return bool((n == n[like]).all() and (ids == ids[_spread(start[like], n)]).all())
-
 
 @dataclass
 class Aligned:
