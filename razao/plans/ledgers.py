@@ -262,7 +262,31 @@ e AS (SELECT printf('Rec%04d', o_orderkey + 1) AS id, CAST(CAST(o_orderdate AS D
 SELECT {', '.join(cols)} FROM t LEFT JOIN e ON e.id = t.RecId"""
 
 
+# --------------------------------------------------------------------------
+# exported rows read back; the report in long form
+# --------------------------------------------------------------------------
+
+
+def dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an exported dataset, read back with the columns that its metadata file names."""
+    root = scratch_path(spark, f"dataset_rows/{uuid.uuid4().hex}")
+    data = views.cash_flow(spark, sf_dir)
+    names = spark.createDataFrame([("columns", ",".join(data.columns))], "field string, value string")
+    data_path, meta_path = wr.export_dataset(data, names, root, "cashflow")
+    columns = csvs.read_key_values(spark, meta_path).where("field = 'columns'").first()["value"].split(",")
+    back = csvs.read_table_csv(spark, data_path, schema="Data timestamp_ntz, Categoria string, Valor decimal(18,2), Descricao string",
+                               columns=columns)
+    return back.withColumn("Valor", F.col("Valor").cast("double"))
+
+
+def report_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year's panel as rows, for any number of categories."""
+    return rpt.cashflow_long(views.cash_flow(spark, sf_dir), registry.REPORT_YEAR)
+
+
 QUERIES = {
+    "dataset_rows": dataset_rows,
+    "report_long": report_long,
     "rec_store": rec_store,
     "rec_duplicates": rec_duplicates,
     "catalog_renames": catalog_renames,
@@ -279,6 +303,9 @@ def all_sql() -> dict[str, str]:
     cf = "WITH " + CF_SQL.strip()
     years = ", ".join(map(str, FOUND_YEARS))
     return {
+        "dataset_rows": cf + "\nSELECT Data, Categoria, CAST(Valor AS DOUBLE) AS Valor, Descricao FROM cf",
+        "report_long": cf + "\nSELECT strftime(Data, '%Y-%m') AS Mes, CASE WHEN Valor >= 0 THEN 'In' ELSE 'Out' END AS Flow, Categoria, "
+                            f"CAST(sum(Valor) AS DOUBLE) AS Valor FROM cf WHERE year(Data) = {registry.REPORT_YEAR} GROUP BY 1, 2, 3",
         "rec_store": _store_sql(),
         "rec_duplicates": "SELECT printf('Rec%04d', l_orderkey + 1) AS RecId, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
         "catalog_renames": _RENAMES_SQL + "\nSELECT old_name, new_name FROM ends",
