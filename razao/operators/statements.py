@@ -101,6 +101,11 @@ def _reason() -> Column:
             .when(F.col("_amount").isNull(), F.lit("bad_amount")))
 
 
+def _check_lines(df: DataFrame) -> None:
+    if not {"file", "pos", "line"} <= set(df.columns):
+        raise ValueError("bb-cdb statements are print-style text: read_statements gives their lines, cdb.statement_files their sections")
+
+
 def standardize(df: DataFrame, dialect: Dialect | str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Canonical rows of a raw statement (good rows only); ``keep`` columns
     (e.g. the source file) are carried after the canonical ones.
@@ -109,6 +114,7 @@ def standardize(df: DataFrame, dialect: Dialect | str, keep: tuple[str, ...] = (
     (the EXTRATO section) are canonical rows as those of a savings account, and
     ``account`` and ``file`` can be kept."""
     if dialect == "bb-cdb":
+        _check_lines(df)
         rows = parse_cdb(df)["EXTRATO"].withColumn("Valor", F.col("Valor").cast(MONEY))
         return rows.select(*CANONICAL_SAVINGS, *keep)
     d = DIALECTS[dialect] if isinstance(dialect, str) else dialect
@@ -134,6 +140,7 @@ def quarantine(df: DataFrame, dialect: Dialect | str) -> DataFrame:
     dialect, bad_date, bad_amount) and the raw columns; of a ``bb-cdb`` statement
     the lines of its EXTRATO that make no record."""
     if dialect == "bb-cdb":
+        _check_lines(df)
         return (parse_cdb(df)["quarantine"].where("section = 'EXTRATO'")
                 .select(F.lit("bad_record").alias("reason"), "file", "account", "pos"))
     d = DIALECTS[dialect] if isinstance(dialect, str) else dialect
