@@ -59,14 +59,7 @@ def file_groups(spark: SparkSession, path: str | list[str], sep: str, encoding:
                 .option("nullValue", "\u0001").csv(path)
                 .select(F.col("value").alias("v"), "_metadata.file_path", "_metadata.file_block_start",
                         F.monotonically_increasing_id().alias("n")))
-    odd = (F.length("v") - F.length(F.replace(F.col("v"), F.lit('"'), F.lit("")))) % 2 == 1
-    at = F.struct("file_block_start", "n")
-    # characters up to the blank are blank for Spark's reader
-    some = F.regexp_like("v", F.lit(r"[^\x00-\x20]"))
-    facts = rows.groupBy("file_path").agg(
-        F.min_by("v", F.when(some, at)).alias("header"),
-        F.min_by("v", F.when(~F.col("v").isin("", "\r"), at)).alias("first"), F.coalesce(F.max(odd), F.lit(False)).alias("multiline"),
-        F.coalesce(F.max(F.regexp_like("v", F.lit(_UNDEFINED))), F.lit(False)).alias("undefined")).collect()
+    facts = _file_facts(rows).collect()
     out: dict[tuple, list[str]] = {}
     for r in sorted(facts, key=lambda r: r["file_path"]):
         cells = tuple(next(csv.reader([(r["header"] or "").lstrip("\ufeff").rstrip("\r")], delimiter=sep), []))
@@ -78,6 +71,23 @@ def file_groups(spark: SparkSession, path: str | list[str], sep: str, encoding:
     return [FileGroup(*k, tuple(v)) for k, v in out.items()]
 
 
+def _file_facts(rows: DataFrame) -> DataFrame:
+    """A row per file of lines ``v, file_path, file_block_start, n``: its header and first
+    line, whether a cell breaks over lines, and whether it has an undefined byte."""
+    odd = (F.length("v") - F.length(F.replace(F.col("v"), F.lit('"'), F.lit("")))) % 2 == 1
+    at = F.struct("file_block_start", "n")
+    # characters up to the blank are blank for Spark's reader
+    some = F.regexp_like("v", F.lit(r"[^\x00-\x20]"))
+    # the first aggregate's set of booleans makes Spark hash the lines by file;
+    # text in the buffers alone would have it sort a task's lines first
+    return rows.groupBy("file_path").agg(
+        F.collect_set(odd).alias("odd"),
+        F.min_by("v", F.when(some, at)).alias("header"),
+        F.min_by("v", F.when(~F.col("v").isin("", "\r"), at)).alias("first"),
+        F.coalesce(F.max(F.regexp_like("v", F.lit(_UNDEFINED))), F.lit(False)).alias("undefined")) \
+        .withColumn("multiline", F.array_contains("odd", True)).drop("odd")
+
+
 def _scan(spark: SparkSession, group: FileGroup, sep: str, encoding: str, base: str | None,
           types: dict[str, DataType] | None = None, null_value: str | None = None) -> DataFrame:
     """One scan of a group's files; a cell may hold doubled quotes and, in files

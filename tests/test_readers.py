@@ -53,6 +53,17 @@ def test_raw_statements_by_header(spark, tmp_path):
     assert sorted(r["reason"] for r in bad) == ["bad_amount", "bad_date"]
 
 
+def test_lines_are_not_sorted_for_the_headers(spark):
+    lines = "v string, file_path string, file_block_start long, n long"
+    rows = [("a;b", "f", 0, 1), ("", "f", 0, 0), ('1;"x', "f", 9, 5), ('y"', "f", 9, 6), ("c", "g", 0, 7), ("\x81", "g", 0, 8),
+            ("", "h", 0, 9)]
+    facts = csvs._file_facts(spark.createDataFrame(rows, lines).repartition(3))
+    got = {r["file_path"]: (r["header"], r["first"], r["multiline"], r["undefined"]) for r in facts.collect()}
+    assert got == {"f": ("a;b", "a;b", True, False), "g": ("c", "c", False, True), "h": (None, None, False, False)}
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_stream_binds_by_header(spark, tmp_path):
     t0, t1, bad = (str(tmp_path / x) for x in ("t0", "t1", "bad"))
     for name, text in LAYOUTS.items():
