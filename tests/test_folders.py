@@ -53,6 +53,42 @@ def test_records_of_all_kinds_of_files(spark):
     assert {r.name for r in nfs.catalog(nfs.valid(inv)).collect()} == set(good.values())
 
 
+def test_small_files_are_not_listed_by_the_driver(spark, monkeypatch):
+    path = folder({f"d{i % 3}/e {i}é%.xml": plain(i) for i in range(7)} | {"_hidden.xml": plain(8), ".part/x.xml": plain(9)})
+    by_spark = {r.file_data for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+                .select(F.col("_metadata.file_path").alias("file_data")).collect()}
+
+    def load(self, *_, **__):
+        raise AssertionError("the driver lists the files")
+
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameReader.load", load)
+    got = read_xml_records(spark, path, "NFSe", nfs.NFSE_SCHEMA, nfs.XML_OPTIONS).collect()
+    assert sorted(r.record.infNFSe._Id for r in got) == [f"NFS{i}" for i in range(7)]
+    assert {r.file_data for r in got} == by_spark
+
+
+ODD_XML = {
+    "cdata.xml": f"<l><![CDATA[{bare(2)}]]>{bare(3)}<!-- {bare(4)} --></l>", "self.xml": "<l><NFSe/><NFSe></NFSe></l>",
+    "nested.xml": bare(5).replace("</infNFSe>", "</infNFSe><NFSe/><NFSe><infNFSe Id='x'/></NFSe>"), "space.xml": " \n ",
+    "spaces.xml": '<p:l xmlns:p="u&amp;v" a="x>y">' + bare(6).replace("<", "<p:").replace("<p:/", "</p:") + "</p:l>",
+    "latin.xml": plain(7).replace("utf-8", "ISO-8859-1").replace("RUA A", "RUA É").encode("latin-1"), "tail.xml": plain(8) + "junk",
+    "bom.xml": b"\xef\xbb\xbf" + plain(9).encode(), "end.xml": f"<l>{bare(10)}</m>", "two.xml": bare(11) + bare(12),
+    "entity.xml": '<!DOCTYPE l [<!ENTITY e "E">]><l>' + bare(13).replace("RUA A", "&e;") + bare(14) + "</l>",
+    "none.xml": "<a/>", "text.xml": "no xml", "empty.xml": ""}
+
+
+def test_small_files_give_what_streamed_files_give(spark, monkeypatch):
+    path = folder(ODD_XML)
+
+    def rows():
+        found = read_xml_records(spark, path, "NFSe", nfs.NFSE_SCHEMA, nfs.XML_OPTIONS).collect()
+        return sorted(((r.file_data, r.record and str(r.record.asDict(True)), r.raw) for r in found), key=str)
+
+    small = rows()
+    monkeypatch.setattr("razao.sources.documents.LARGE_FILE", 0)
+    assert small and small == rows()
+
+
 def test_no_files(spark):
     inv = nfs.read_folder(spark, tempfile.mkdtemp(prefix="razao-folder-"))
     assert inv.count() == 0 and nfs.catalog(nfs.valid(inv)).count() == 0
