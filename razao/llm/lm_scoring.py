@@ -84,6 +84,12 @@ def _distinct(gram: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, n
     return values[order], n[order], rank[place]
 
 
+def _steps(values: np.ndarray, buckets: int) -> np.ndarray:
+    """The sorted hashes of one bucket as differences: the remainder is the
+    bucket's, and small numbers pack well.  Their sums tell the hashes apart."""
+    return np.diff(values // U64(buckets), prepend=U64(0))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array]]:
     """``(block, ids, texts)``: runs of some BLOCK_BYTES in the order of the scan."""
     task, number = TaskContext.get().partitionId(), 0
@@ -104,7 +110,8 @@ def count_tables(docs: DataFrame, buckets: int) -> DataFrame:
             for gram in by_order:
                 values, n, _ = _distinct(gram, buckets)
                 parts.append((values, n.astype(np.uint32), np.searchsorted(values % U64(buckets), np.arange(buckets + 1))))
-            cells = [pack(*[a for values, n, edge in parts for a in (values[edge[b]:edge[b + 1]], n[edge[b]:edge[b + 1]])])
+            cells = [pack(*[a for values, n, edge in parts
+                            for a in (_steps(values[edge[b]:edge[b + 1]], buckets), n[edge[b]:edge[b + 1]])])
                      for b in range(buckets)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(buckets, block)), pa.array(np.arange(buckets)), pa.array(cells, pa.binary())],
@@ -114,7 +121,7 @@ def count_tables(docs: DataFrame, buckets: int) -> DataFrame:
         asked = [unpack(c, *["u8", "u4"] * ORDERS) for c in bucket.column("cell").to_pylist()]
         totals = []
         for order in range(ORDERS):
-            gram = np.concatenate([a[2 * order] for a in asked])
+            gram = np.concatenate([np.cumsum(a[2 * order], dtype=U64) for a in asked])
             n = np.concatenate([a[2 * order + 1] for a in asked]).astype(np.uint64)
             by = np.argsort(gram, kind="stable")
             starts, bounds = groups(gram[by])

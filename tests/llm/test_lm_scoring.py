@@ -4,9 +4,11 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from razao.llm import lm_scoring as lm
+from razao.llm.blobs import pack
 
 
 def words(text):
@@ -64,3 +66,14 @@ def test_given_documents(spark):
 
 def test_empty(no_docs):
     assert lm.lm_scores(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("buckets", [1, 73, 4286])
+def test_asked_hashes_are_packed_small(buckets):
+    # hashes of one bucket, as many as a block of 8 MB asks of it
+    q = np.unique(np.random.default_rng(5).integers(0, (1 << 56) // buckets, 1_000_000 // buckets, dtype=np.uint64))
+    values = q * np.uint64(buckets) + np.uint64(buckets - 1)
+    steps = lm._steps(values, buckets)
+    assert (np.cumsum(steps, dtype=np.uint64) == q).all()
+    assert len(pack(steps)) < 5.5 * len(values) + 100
+    assert len(lm._steps(values[:0], buckets)) == 0
