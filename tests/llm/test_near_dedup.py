@@ -136,3 +136,35 @@ def test_texts_that_differ_in_white_space_only(spark):
     df = spark.createDataFrame([(1, "one two three four five six"), (2, "one two  three four five six"), (3, "quite other words than these")],
                                "doc_id long, text string")
     assert sorted(map(tuple, nd.near_duplicates(df).select("doc_id", "class_id").collect())) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_pairs_in_a_group_grow_with_its_size(spark, vocabulary, monkeypatch):
+    """Copies with the same few edits share shingles that are not the original's; few of their pairs are made."""
+    made = []
+    keep = nd.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(nd, "stored", stored)
+    rng = random.Random(4)
+    base = [rng.choice(vocabulary) + str(i) for i in range(150)]
+    rows = [(500, " ".join(base))]
+    for i in range(100):
+        w = list(base)
+        for at in rng.sample(range(5, 145, 6), 4):
+            w[at] = f"edit{at}"
+        rows.append((i, " ".join(w)))
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    # no shingle occurs twice in a text, so both similarities are the plain Jaccard
+    sets = {i: frozenset(weighted(t)) for i, t in rows}
+    of = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if of[a] != of[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((of[a], of[b]))
+            of = {i: x if c == y else c for i, c in of.items()}
+    assert dict(map(tuple, got)) == of
+    assert sum(made) < 0.6 * len(rows) * (len(rows) - 1) / 2, made
