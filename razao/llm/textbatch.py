@@ -109,8 +109,8 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most: int = 4 << 20) -> Iterator[Texts]:
-    """The texts of a batch in runs of about ``most`` bytes (one text at least).
+def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[Texts]:
+    """The texts of a batch in runs of at most ``most`` bytes (one text at least).
 
     A null text is an empty one.  ``first`` is the row of the run's first text.
     """

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from razao.llm import labelled, ngrams, quality_classifier as qc, quality_rules as qr
-from razao.llm.textbatch import mix
+from razao.llm.textbatch import mix, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -154,3 +154,13 @@ def test_label_sample_is_bounded(spark):
     many = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic")
     assert labelled.sample(many, 100).count() == 100
     assert mix(np.arange(3, dtype=np.uint64)).dtype == np.uint64
+
+
+def test_texts_of_a_batch_come_in_small_runs():
+    """A worker's hash tables grow with the longest run and are kept: no batch makes one run of several MB."""
+    texts = [None, "ü" * 50_000, ""] + ["ab " * 30_000] * 40 + ["x" * 3_000_000, "end"]
+    runs = list(slices(pa.array(texts)))
+    assert [r.first for r in runs] == np.cumsum([0] + [r.n for r in runs])[:-1].tolist()
+    got = [bytes(r.data[a:b]).decode() for r in runs for a, b in zip(r.offsets[:-1], r.offsets[1:])]
+    assert got == [t or "" for t in texts]
+    assert all(len(r.data) <= 1 << 20 or r.n == 1 for r in runs)
