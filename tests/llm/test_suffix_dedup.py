@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 
 from razao.llm import suffix_dedup as sd
+from razao.llm import tables
 
 W = sd.WINDOW
 
@@ -112,5 +114,65 @@ def test_repeats_stay_out_of_buckets(spark, monkeypatch):
     assert entries == len(sd.segments(next(sd.slices(sd.pa.array([text]))))[0])
 
 
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Both joins read one exchange of the texts, which no table holds a copy of; verdicts go in packed rows."""
+    rng, made = random.Random(1), {}
+    pool = ["".join(rng.choice("abcdef ") for _ in range(120)) for _ in range(8)]
+    rows = [(i, "".join(rng.choice(pool)[rng.randint(0, 30):] for _ in range(4))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def stored(df, name, **how):
+        made[name] = tables_stored(df, name, **how)
+        return made[name]
+
+    tables_stored = sd.stored
+    monkeypatch.setattr(sd, "stored", stored)
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 20_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lost = sd.repeated_passages(docs)
+        assert lost.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = lost._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("- Exchange hashpartitioning(ord") == 1 and "ReusedExchange" in final
+    assert all("text" not in df.columns for df in made.values())
+    assert made["verdicts"].count() < len(rows) / 2
+
+
+def test_shuffle_files_of_a_stored_table_are_freed(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.length()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, value = shuffled(), spark.conf.get(tables._FREE, None)
+    df = tables.stored(spark.range(1000).repartition(3, "id"), "freed", free=True)
+    end = time.time() + 20
+    while {f for f in shuffled() - before if f.endswith(".data")} and time.time() < end:
+        time.sleep(0.2)
+    assert not {f for f in shuffled() - before if f.endswith(".data")} and spark.conf.get(tables._FREE, None) == value
+    assert df.count() == 1000
+
+
+def test_runs_are_maximal():
+    """Spans of several cells, touching and nested ones, of documents that share an id or a key."""
+    rng = np.random.default_rng(3)
+    ord_, key = rng.integers(-2, 2, 300), rng.integers(-2, 2, 300).astype(np.int32)
+    lo, cnt = rng.integers(0, 3000, 300).astype(np.int32), rng.integers(1, 36, 300)
+    cells = [sd._to_docs(*(x[half] for x in (ord_, key, lo, cnt)), 1) for half in (slice(0, 100), slice(100, 300))]
+    got = sd._runs_by_doc(sd.pa.concat_tables(cells)).to_pylist()
+    for r in got:
+        gone = np.zeros(4000, bool)
+        for a, n in zip(lo[(ord_ == r["o"]) & (key == r["k"])], cnt[(ord_ == r["o"]) & (key == r["k"])]):
+            gone[a:a + n + W - 1] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
+        assert list(zip(r["begin"], r["end"])) == [tuple(e) for e in edges.reshape(-1, 2).tolist()]
+    assert len(got) == len({*zip(ord_.tolist(), key.tolist())})
+
+
 def test_empty(no_docs):
     assert sd.digest(sd.remove_repeats(no_docs)).count() == 0
