@@ -158,8 +158,9 @@ def test_shuffle_files_of_a_stored_table_are_freed(spark):
     assert df.count() == 1000
 
 
-def test_runs_are_maximal():
+def test_runs_are_maximal(monkeypatch):
     """Spans of several cells, touching and nested ones, of documents that share an id or a key."""
+    monkeypatch.setattr("razao.llm.blobs._codec", {})  # as above
     rng = np.random.default_rng(3)
     ord_, key = rng.integers(-2, 2, 300), rng.integers(-2, 2, 300).astype(np.int32)
     lo, cnt = rng.integers(0, 3000, 300).astype(np.int32), rng.integers(1, 36, 300)
