@@ -10,7 +10,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_codec = {}
+
+class _Codecs(dict):
+    """Codecs of this process: they can't be pickled, so functions that use them travel without."""
+
+    def __reduce__(self):
+        return _Codecs, ()
+
+
+_codec = _Codecs()
 
 
 def _zstd() -> pa.Codec:
