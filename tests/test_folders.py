@@ -1,17 +1,23 @@
 """Folders of files: XML records, cp1252 lines, a file per row, outputs rewritten by change."""
 
+import datetime
 import glob
 import os
 import tempfile
+import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from razao.operators import cdb
 from razao.operators import invoices as nfs
 from razao.operators import statements as stm
+from razao.plans import folders
+from razao.session import checkpoint_dir, shuffles_dropped
 from razao.sinks import cashbook
-from razao.sinks.named_files import write_named_files
+from razao.sinks.named_files import remove_named_files, write_named_files
 from razao.sources.documents import read_lines_cp1252, read_whole_text, read_xml_records
 from tests.test_invoices import doc
 
@@ -89,6 +95,92 @@ def test_small_files_give_what_streamed_files_give(spark, monkeypatch):
     assert small and small == rows()
 
 
+def test_several_rows_of_a_file(spark, monkeypatch):
+    path = folder({"one.xml": plain(1), "two.xml": f"<l>{bare(2)}{bare(3)}</l>", "broken.xml": f"<l>{bare(4)}{bare(5)}</m>",
+                   "cut.xml": plain(6)[:300], "none.xml": "<a/>"})
+
+    def several():
+        rows = read_xml_records(spark, path, "NFSe", nfs.NFSE_SCHEMA, nfs.XML_OPTIONS).collect()
+        return sorted((os.path.basename(r.file_data), r.several) for r in rows)
+
+    small = several()
+    assert small == [("broken.xml", True)] * 2 + [("cut.xml", False), ("none.xml", False), ("one.xml", False)] + [("two.xml", True)] * 2
+    monkeypatch.setattr("razao.sources.documents.LARGE_FILE", 0)
+    assert several() == small
+
+
+def invoice_tables(path, n=240):
+    """Orders of all kinds, one of them twice, and their customers."""
+    keys = [*range(1, n), 5]
+    pq.write_table(pa.table({
+        "o_orderkey": pa.array(keys, pa.int64()), "o_custkey": pa.array([k % 8 for k in keys], pa.int64()),
+        "o_orderstatus": ["FPO"[k % 3] for k in keys], "o_totalprice": [k + 0.25 for k in keys],
+        "o_orderdate": pa.array([datetime.datetime(2030, 1, 1 + k % 28) for k in keys], pa.timestamp("us")),
+        "o_orderpriority": ["1-URGENT"] * len(keys)}), f"{path}/orders.parquet")
+    pq.write_table(pa.table({
+        "c_custkey": pa.array(range(8), pa.int64()), "c_name": [f"C{i}" for i in range(8)],
+        "c_nationkey": pa.array([i % 5 for i in range(8)], pa.int32()), "c_acctbal": [i - 3.5 for i in range(8)],
+        "c_mktsegment": ["X"] * 8}), f"{path}/customer.parquet")
+
+
+@pytest.mark.parametrize("query", ["nfse_quarantine"])
+def test_invoice_files_are_on_disk_a_part_at_a_time(spark, monkeypatch, tmp_path, query):
+    invoice_tables(tmp_path)
+
+    def on_disk():
+        return {os.path.basename(p) for p in glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/invoices/*/part-*/*.xml")}
+
+    before, seen = on_disk(), []
+    read = nfs.read_folder
+
+    def watched(spark, path):
+        seen.append(on_disk() - before)
+        return read(spark, path)
+
+    monkeypatch.setattr(nfs, "read_folder", watched)
+    monkeypatch.setattr(folders, "LOT", 20)
+
+    def rows():
+        return sorted(map(str, folders.QUERIES[query](spark, str(tmp_path)).collect()))
+
+    whole = rows()
+    assert len(whole) > 5 and len(seen) == 1 and not on_disk() - before
+    monkeypatch.setattr(folders, "SLICE", 60)
+    assert rows() == whole and not on_disk() - before
+    first, parts = seen[0], seen[1:]
+    assert len(parts) == 4 and set().union(*parts) == first and sum(map(len, parts)) == len(first)
+    assert max(map(len, parts)) < len(first)
+
+
+def test_files_go_when_their_rows_fail(spark, monkeypatch, tmp_path):
+    invoice_tables(tmp_path, 30)
+    monkeypatch.setattr(nfs, "quarantine", lambda inv: inv.select(F.raise_error(F.lit("no rows"))))
+    roots = lambda: set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/invoices/*"))
+    before = roots()
+    with pytest.raises(Exception, match="no rows"):
+        folders.nfse_quarantine(spark, str(tmp_path))
+    assert roots() == before
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {n for top in disk.localDirs() for _, _, names in os.walk(top.getPath()) for n in names if n.startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, conf = shuffles(), spark.conf.get(key, None)
+    path = tempfile.mkdtemp(prefix="razao-shuffle-") + "/out"
+    with shuffles_dropped(spark):
+        spark.range(1000).repartition(7, "id").write.parquet(path)
+        for _ in range(50):  # they go in the background
+            if not shuffles() - before:
+                break
+            time.sleep(0.2)
+        assert not shuffles() - before
+    assert spark.conf.get(key, None) == conf and spark.read.parquet(path).count() == 1000
+
+
 def test_no_files(spark):
     inv = nfs.read_folder(spark, tempfile.mkdtemp(prefix="razao-folder-"))
     assert inv.count() == 0 and nfs.catalog(nfs.valid(inv)).count() == 0
@@ -216,6 +308,18 @@ def test_files_are_committed_together(spark):
         assert fh.read() == b"\x00\xff"
 
 
+def test_files_are_removed(spark):
+    path = tempfile.mkdtemp(prefix="razao-named-") + "/out"
+    df = spark.range(9).select(F.format_string("n%d.md", "id").alias("name"), F.lit("x").alias("text"))
+    for p in (path, "file://" + path):
+        write_named_files(df.repartition(3), p)
+        remove_named_files(spark, p)
+        assert not os.path.exists(path)
+    write_named_files(df.limit(0), path)
+    remove_named_files(spark, path)
+    assert not os.path.exists(path)
+
+
 def test_names_of_a_task_are_its_own(spark):
     df = spark.createDataFrame([("a.md", "1"), ("a.md", "2")], "name string, text string").coalesce(1)
     path = tempfile.mkdtemp(prefix="razao-named-") + "/out"
