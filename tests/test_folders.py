@@ -123,7 +123,7 @@ def invoice_tables(path, n=240):
         "c_mktsegment": ["X"] * 8}), f"{path}/customer.parquet")
 
 
-@pytest.mark.parametrize("query", ["nfse_quarantine"])
+@pytest.mark.parametrize("query", ["nfse_quarantine", "nfse_folder"])
 def test_invoice_files_are_on_disk_a_part_at_a_time(spark, monkeypatch, tmp_path, query):
     invoice_tables(tmp_path)
 
