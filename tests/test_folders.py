@@ -110,10 +110,10 @@ def test_several_rows_of_a_file(spark, monkeypatch):
 
 
 def invoice_tables(path, n=240):
-    """Orders of all kinds, one of them twice, and their customers."""
+    """Orders of all kinds, one of them twice and one without a key, and their customers."""
     keys = [*range(1, n), 5]
     pq.write_table(pa.table({
-        "o_orderkey": pa.array(keys, pa.int64()), "o_custkey": pa.array([k % 8 for k in keys], pa.int64()),
+        "o_orderkey": pa.array([None if k == n - 1 else k for k in keys], pa.int64()), "o_custkey": pa.array([k % 8 for k in keys], pa.int64()),
         "o_orderstatus": ["FPO"[k % 3] for k in keys], "o_totalprice": [k + 0.25 for k in keys],
         "o_orderdate": pa.array([datetime.datetime(2030, 1, 1 + k % 28) for k in keys], pa.timestamp("us")),
         "o_orderpriority": ["1-URGENT"] * len(keys)}), f"{path}/orders.parquet")
